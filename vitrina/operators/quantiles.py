@@ -8,12 +8,18 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# percentile_approx errs by at most rows/ACCURACY ranks; brackets twice as wide hold the answer.
+# percentile_approx errs by at most rows/ACCURACY ranks; brackets twice as wide hold the answer
+# once a group has this many rows per accuracy step. Smaller groups are bracketed whole.
 ACCURACY = 10_000
+ROWS_PER_STEP = 10
 
 
 def exact_quantiles(
-    df: DataFrame, keys: list[str], value: str, quantiles: dict[str, float]
+    df: DataFrame,
+    keys: list[str],
+    value: str,
+    quantiles: dict[str, float],
+    accuracy: int = ACCURACY,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group with non-null keys, as doubles.
 
@@ -27,16 +33,26 @@ def exact_quantiles(
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
     counts = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
 
-    slack = 2.0 / ACCURACY
+    slack = 2.0 / accuracy
     edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
     bounds = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("v", edges, ACCURACY).alias("edges")
+        F.count(F.lit(1)).alias("n"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
+        F.percentile_approx("v", edges, accuracy).alias("edges"),
     )
+    small = F.col("n") < ROWS_PER_STEP * accuracy
     bounds = bounds.select(
         *keys,
         "n",
-        *[F.col("edges")[i].alias(f"lo_{i}") for i in range(len(probs))],
-        *[F.col("edges")[i + len(probs)].alias(f"hi_{i}") for i in range(len(probs))],
+        *[
+            F.when(small, F.col("least")).otherwise(F.col("edges")[i]).alias(f"lo_{i}")
+            for i in range(len(probs))
+        ],
+        *[
+            F.when(small, F.col("most")).otherwise(F.col("edges")[i + len(probs)]).alias(f"hi_{i}")
+            for i in range(len(probs))
+        ],
     )
     bracketed = counts.join(bounds, keys)
 
@@ -82,9 +98,10 @@ def exact_quantiles(
     )
 
     def at(rank):
-        return F.max(
+        value_at_rank = F.max(
             F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("v"))
         )
+        return F.coalesce(value_at_rank, F.raise_error(F.lit("quantile outside its bracket")))
 
     found = placed.groupBy(*keys, "i").agg(
         at(F.floor("pos")).alias("low"), at(F.ceil("pos")).alias("high"), F.max("pos").alias("pos")

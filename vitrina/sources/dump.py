@@ -72,9 +72,11 @@ def parsed_rows(routed: DataFrame, table: str) -> DataFrame:
     return tuples.select(F.transform(fields, _value).alias("fields"))
 
 
-def load_rows(routed: DataFrame, table: str, schema: StructType) -> DataFrame:
+def load_rows(routed: DataFrame, table: str, schema: StructType | str) -> DataFrame:
     """Typed rows of one table. Rows with another number of fields are left out (see
     ``rejected_rows``); a value that does not parse as its type becomes NULL."""
+    if isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
     rows = parsed_rows(routed, table).where(F.size("fields") == len(schema))
     return rows.select(*[_typed(F.col("fields")[i], f).alias(f.name) for i, f in enumerate(schema)])
 

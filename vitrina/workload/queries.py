@@ -31,7 +31,6 @@ from vitrina.plans import (
     workday,
     zero_sales,
 )
-from vitrina.schemas import SCHEMAS
 from vitrina.session import shared_dir
 from vitrina.sources import dump, profile
 from vitrina.sources.tables import read_parquet, write_parquet
@@ -81,8 +80,7 @@ PART_ROWS = "id BIGINT, nombre STRING, marca STRING, activo BOOLEAN, precio DECI
 @query
 def dump_load_rows(spark, sf_dir):
     routed = dump.route(a.dump(spark, sf_dir))
-    schema = type(SCHEMAS["cadena"]).fromDDL(PART_ROWS)
-    return dump.load_rows(routed, "part", schema).withColumn("precio", F.col("precio").cast("double"))
+    return dump.load_rows(routed, "part", PART_ROWS).withColumn("precio", F.col("precio").cast("double"))
 
 
 @query
