@@ -417,7 +417,7 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def broken_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.col("text")
-    for good, bad in (("é", "Ã©"), ("ó", "Ã³"), ("á", "Ã¡"), ("ú", "Ãº"), ("ñ", "ÃÂ±")):
+    for good, bad in (("é", "Ã©"), ("ó", "Ã³"), ("á", "Ã¡"), ("ú", "ÃÂº"), ("ñ", "Ã±")):
         broken = F.replace(broken, F.lit(good), F.lit(bad))
     return table(spark, sf_dir, "documents").select("doc_id", "lang", broken.alias("texto"))
 

@@ -458,7 +458,7 @@ ORACLES: dict[str, str] = {
     ),
     "repaired_text": "SELECT doc_id, lang, "
     + _repaired(
-        "replace(replace(replace(replace(replace(text, 'é', 'Ã©'), 'ó', 'Ã³'), 'á', 'Ã¡'), 'ú', 'Ãº'), 'ñ', 'ÃÂ±')"
+        "replace(replace(replace(replace(replace(text, 'é', 'Ã©'), 'ó', 'Ã³'), 'á', 'Ã¡'), 'ú', 'ÃÂº'), 'ñ', 'Ã±')"
     )
     + " AS texto FROM documents",
     # field operations
