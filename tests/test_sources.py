@@ -16,6 +16,10 @@ CREATE TABLE `canal` (
   KEY `k_nombre` (`nombre`)
 ) ENGINE=InnoDB;
 INSERT INTO `canal` VALUES (1,'José (hijo), \\'el\\' \\\\ 5%',_binary '\x01',-10.50),(2,NULL,_binary '\\0',NULL);
+--
+-- Dumping data for table `canal`
+--
+
 INSERT INTO `canal` VALUES (3,'corta',_binary '\x00'),(4,'',_binary '\x01',1e3),(x,'y',_binary '\x01','n/d');
 INSERT INTO `otra` VALUES (1,'INSERT INTO `canal` VALUES (9)');
 """

@@ -217,14 +217,18 @@ def critical_list(visits: DataFrame) -> DataFrame:
             "distancia_metros",
             "estado_geo",
         )
-        .orderBy(*descending("distancia_metros"))
+        .orderBy(*descending("distancia_metros"), *ascending("fecha", "promotor", "punto_venta"))
     )
 
 
 def visit_detail(visits: DataFrame, only_anomalies: bool = False) -> DataFrame:
-    """Listing with the check-in time, newest day first."""
+    """Listing with the check-in time, newest day first. The check-in moment and the store are
+    sorted on as well, so that the visits of one rep and day can be split between tasks."""
     rows = visits.where(F.col("estado_geo").isin(CRITICAL, ALERT)) if only_anomalies else visits
-    return rows.select(
+    ordered = rows.orderBy(
+        *descending("fecha"), *ascending("promotor", "hora_checkin", "punto_venta_id")
+    )
+    return ordered.select(
         "fecha",
         "promotor",
         "ruta",
@@ -236,4 +240,4 @@ def visit_detail(visits: DataFrame, only_anomalies: bool = False) -> DataFrame:
         "distancia_metros",
         "estado_geo",
         "es_fuera_ruta",
-    ).orderBy(*descending("fecha"), *ascending("promotor"))
+    )

@@ -183,17 +183,9 @@ def risk_products(risk: DataFrame, stores: DataFrame, shown: int = PRODUCTS_SHOW
             F.max(F.coalesce(F.col("cant_preagotados"), F.lit(0))).alias("preagotados"),
         )
     )
-    reported = stores.select(F.col("pdv_id").alias("punto_venta_id"), "marca").distinct()
-    kinds = (
-        seen.join(reported, ["punto_venta_id", "marca"], "left_semi")
-        .unpivot(
-            ["punto_venta_id", "marca", "producto_en_riesgo"],
-            ["agotados", "preagotados"],
-            "clase",
-            "cantidad",
-        )
-        .where(F.col("cantidad") > 0)
-    )
+    kinds = seen.unpivot(
+        ["punto_venta_id", "marca", "producto_en_riesgo"], ["agotados", "preagotados"], "clase", "cantidad"
+    ).where(F.col("cantidad") > 0)
     group = ["punto_venta_id", "marca", "clase"]
     counts = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("productos"))
     place = Window.partitionBy(*group).orderBy("producto_en_riesgo")
@@ -210,7 +202,7 @@ def risk_products(risk: DataFrame, stores: DataFrame, shown: int = PRODUCTS_SHOW
     def more(kind: str):
         return F.greatest(F.coalesce(of(kind, "productos"), F.lit(0)) - shown, F.lit(0))
 
-    return (
+    lists = (
         counts.join(first, group)
         .groupBy("punto_venta_id", "marca")
         .agg(
@@ -220,6 +212,8 @@ def risk_products(risk: DataFrame, stores: DataFrame, shown: int = PRODUCTS_SHOW
             more("preagotados").alias("preagotados_mas"),
         )
     )
+    reported = stores.select(F.col("pdv_id").alias("punto_venta_id"), "marca").distinct()
+    return lists.join(reported, ["punto_venta_id", "marca"], "left_semi")
 
 
 def with_risk_products(report: DataFrame, products: DataFrame) -> DataFrame:

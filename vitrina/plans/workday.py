@@ -1,9 +1,9 @@
 """Field operations: rep workdays, visit compliance, itineraries.
 
 The visit table is by far the largest input, so every report starts by collapsing it on
-(client, rep, team, day) with map-side aggregation and only then meets reps and teams. A rep with
+(client, rep, team, day) with map-side aggregation and only then meets teams and reps. A rep with
 a third of all visits is a handful of rows per task after that step. The collapsed rows are hashed
-by rep once and every later grouping reuses that placement.
+by rep once, after the team join, and every later step groups by rep and reuses that placement.
 """
 
 from __future__ import annotations
@@ -141,9 +141,10 @@ def _counted(collapsed: DataFrame, users: DataFrame, busy_limit: int) -> DataFra
 def _rep_days(
     visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int
 ) -> DataFrame:
-    counted = _counted(_collapsed(visits), users, busy_limit)
-    placed = with_attributes(counted, _team_names(teams), "cuadrilla_id", {"entidad": "entidad"})
-    merged = placed.groupBy(*REP, "username", "user_real_name", "entidad", "dia").agg(
+    in_team = with_attributes(
+        _collapsed(visits), _team_names(teams), "cuadrilla_id", {"entidad": "entidad"}
+    )
+    merged = _counted(in_team, users, busy_limit).groupBy(*REP, "username", "user_real_name", "entidad", "dia").agg(
         *[
             F.sum(c).alias(c)
             for c in ("planeadas", "realizadas", "tareas_realizadas", "tareas_planeadas")
@@ -216,7 +217,7 @@ def rep_kpis(
         _rep_days(visits, users, teams, busy_limit)
         .groupBy(*REP, "username", "user_real_name", "entidad")
         .agg(
-            F.countDistinct(F.when(active, F.col("dia"))).alias("dias_activos"),
+            F.count_if(active).alias("dias_activos"),  # facts hold one row per day
             F.count_if((F.col("realizadas") == 0) & (F.col("planeadas") > 0)).alias("ausencias"),
             F.sum("tareas_realizadas").alias("tareas_realizadas"),
             F.sum("tareas_planeadas").alias("tareas_planeadas"),
@@ -341,11 +342,18 @@ def itinerary(
     visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY
 ) -> DataFrame:
     """Per day and rep: entry, exit, planned, done, stores and off-route visits."""
-    counted = _counted(_collapsed(visits, "punto_venta_id"), users, busy_limit)
-    placed = with_attributes(counted, _team_names(teams), "cuadrilla_id", {"entidad": "entidad"})
+    # Store visits of a system account are unbounded, so those reps go first; what is left is at
+    # most ``busy_limit`` rows per rep and day.
+    counted = _collapsed(visits, "punto_venta_id").join(
+        excluded_users(visits, users, busy_limit), REP, "left_anti"
+    )
+    in_team = with_attributes(counted, _team_names(teams), "cuadrilla_id", {"entidad": "entidad"})
+    named = with_attributes(
+        in_team, users, "usuario_id", {"username": "username", "user_real_name": "user_real_name"}
+    )
     second = F.lit(float(MICROS_PER_SECOND))
     return (
-        placed.groupBy(*REP, "username", "user_real_name", "entidad", "dia")
+        named.groupBy(*REP, "username", "user_real_name", "entidad", "dia")
         .agg(
             hhmm(F.min("us_inicio") / second).alias("hora_entrada"),
             hhmm(F.max("us_fin") / second).alias("hora_salida"),

@@ -17,9 +17,10 @@ _BINARY = rf"_binary\s+{_TEXT}"
 _NUMBER = r"-?\d++(?:\.\d++)?+(?:[eE][-+]?\d++)?+"
 _ROW = rf"\(((?:[^'()]++|{_TEXT})*+)\)"
 _FIELD = rf"({_BINARY}|{_TEXT}|NULL|{_NUMBER})"
-_TABLE = r"(?s)^\s*(?:CREATE TABLE(?: IF NOT EXISTS)?|INSERT INTO) `(\w+)`"
+_COMMENTS = r"\A(?:\s++|--[^\n]*+(?:\n|\z))++"
+_TABLE = r"(?s)^(?:CREATE TABLE(?: IF NOT EXISTS)?|INSERT INTO) `(\w+)`"
 _COLUMN = r"(?m)^\s+`(\w+)`\s"
-_VALUES = r"(?s)^\s*INSERT INTO `\w+`(?: \([^)]*\))? VALUES\s*(.+)$"
+_VALUES = r"(?s)^INSERT INTO `\w+`(?: \([^)]*\))? VALUES\s*(.+)$"
 
 
 def read_statements(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
@@ -33,15 +34,16 @@ def read_statements(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
 def route(statements: DataFrame, tables: list[str] | None = None) -> DataFrame:
     """Add the ``tabla`` a CREATE or INSERT statement is about; other statements drop out, as do
     tables outside the list. Write the result partitioned by ``tabla`` to demultiplex a dump."""
+    bare = statements.withColumn("statement", F.regexp_replace("statement", _COMMENTS, ""))
     name = F.regexp_extract("statement", _TABLE, 1)
-    routed = statements.withColumn("tabla", name).where(F.col("tabla") != "")
+    routed = bare.withColumn("tabla", name).where(F.col("tabla") != "")
     return routed.where(F.col("tabla").isin(*tables)) if tables else routed
 
 
 def declared_columns(routed: DataFrame) -> DataFrame:
     """``tabla`` and the array ``columnas`` of each CREATE TABLE, keys and constraints left out."""
     body = F.col("statement")
-    return routed.where(body.rlike(r"^\s*CREATE TABLE")).select(
+    return routed.where(body.startswith("CREATE TABLE")).select(
         "tabla", F.regexp_extract_all(body, F.lit(_COLUMN), F.lit(1)).alias("columnas")
     )
 
@@ -65,7 +67,7 @@ def parsed_rows(routed: DataFrame, table: str) -> DataFrame:
     """One row per value tuple of the table's INSERT statements, fields still text."""
     values = F.regexp_extract("statement", _VALUES, 1)
     tuples = (
-        routed.where((F.col("tabla") == table) & F.col("statement").rlike(r"^\s*INSERT INTO"))
+        routed.where((F.col("tabla") == table) & F.col("statement").startswith("INSERT INTO"))
         .select(F.explode(F.regexp_extract_all(values, F.lit(_ROW), F.lit(1))).alias("row"))
     )
     fields = F.regexp_extract_all(F.col("row"), F.lit(_FIELD), F.lit(1))
