@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrina.operators import filters, lookups, quantiles, ranking
+from vitrina.operators import filters, lookups, quantiles, ranking, reshape
+from vitrina.plans.geofence import DETAIL_LABELS
+from vitrina.plans.workday import ITINERARY_LABELS
 
 
 def test_chosen_skips_the_all_choices(spark):
@@ -49,9 +51,9 @@ def test_one_row_per_id(spark, rows):
     assert sorted(rows(lookups.one_row_per_id(df, "entidad", "ruta"))) == [(1, "a", None), (2, None, "r1")]
 
 
-@pytest.mark.parametrize("accuracy", [20, 10_000])
-def test_exact_quantiles(spark, accuracy):
-    """Both ways of bracketing, against numpy: ties, one hot value, a single row, skewed values."""
+@pytest.mark.parametrize("slices", [1, 7, 128])
+def test_exact_quantiles(spark, slices):
+    """Against numpy: ties, one hot value, a single row, skewed values, any number of slices."""
     rng = random.Random(7)
     groups = {
         "uniforme": [round(rng.uniform(0, 1000), 2) for _ in range(3001)],
@@ -63,8 +65,21 @@ def test_exact_quantiles(spark, accuracy):
     data = [(k, v) for k, vs in groups.items() for v in vs] + [("uno", None)]
     df = spark.createDataFrame(data, "k STRING, v DOUBLE").repartition(7)
     wanted = {"q1": 0.25, "mediana": 0.5, "q3": 0.75, "ultimo": 1.0}
-    built = quantiles.exact_quantiles(df, ["k"], "v", wanted, accuracy).collect()
+    built = quantiles.exact_quantiles(df, ["k"], "v", wanted, slices=slices).collect()
     assert len(built) == len(groups)
     for row in built:
         for name, p in wanted.items():
             assert row[name] == pytest.approx(np.quantile(groups[row.k], p), rel=1e-12), (row.k, name)
+
+
+def test_weighted_quantiles_equal_repeated_rows(spark):
+    df = spark.createDataFrame([("k", 1.0, 3), ("k", 2.0, 1), ("k", 9.0, 4)], "k STRING, v DOUBLE, w INT")
+    row = quantiles.exact_quantiles(df, ["k"], "v", {"q": 0.5, "r": 0.9}, "w").first()
+    repeated = [1.0] * 3 + [2.0] + [9.0] * 4
+    assert (row.q, row.r) == (np.quantile(repeated, 0.5), np.quantile(repeated, 0.9))
+
+
+def test_display_names(spark):
+    for labels in (DETAIL_LABELS, ITINERARY_LABELS):
+        df = spark.createDataFrame([tuple("x" for _ in labels)], list(labels))
+        assert reshape.for_display(df, labels).columns == list(labels.values())

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from vitrina.plans import cleaning
+from vitrina.plans import cleaning, geofence
 from vitrina.sources import dump, export, profile, views
 from vitrina.sources.tables import Tables, write_parquet
+from vitrina.workload import adapters
 
 DUMP = """-- a dump
 DROP TABLE IF EXISTS `canal`;
@@ -39,6 +40,22 @@ def test_dump_routes_statements(routed, rows):
     assert rows(dump.route(routed.drop("tabla"), ["otra"]), "tabla") == [("otra",)]
 
 
+def test_dump_written_by_table(spark, routed, tmp_path):
+    dump.write_routed(routed, str(tmp_path / "sql"))
+    assert spark.read.parquet(str(tmp_path / "sql" / "tabla=canal")).count() == 3
+
+
+def test_enriched_visits_written_by_client(spark, sf_dir, tmp_path):
+    geo = geofence.enriched_visits(
+        adapters.visits(spark, sf_dir), adapters.stores(spark, sf_dir), adapters.teams(spark, sf_dir), [1, 3]
+    )
+    geofence.write_enriched(geo, str(tmp_path / "geo"))
+    stored = spark.read.parquet(str(tmp_path / "geo"))
+    assert sorted(p.name for p in (tmp_path / "geo").glob("cliente_id=*")) == ["cliente_id=1", "cliente_id=3"]
+    assert stored.count() == geo.count() > 0
+    assert set(stored.columns) == set(geo.columns)
+
+
 def test_dump_columns(routed, rows):
     assert rows(dump.declared_columns(routed)) == [("canal", ["id", "nombre", "activo", "precio"])]
 

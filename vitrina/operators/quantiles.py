@@ -8,10 +8,7 @@ from operator import or_
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# percentile_approx errs by at most rows/ACCURACY ranks; brackets twice as wide hold the answer
-# once a group has this many rows per accuracy step. Smaller groups are bracketed whole.
-ACCURACY = 10_000
-ROWS_PER_STEP = 10
+SLICES = 128
 
 
 def exact_quantiles(
@@ -19,94 +16,69 @@ def exact_quantiles(
     keys: list[str],
     value: str,
     quantiles: dict[str, float],
-    accuracy: int = ACCURACY,
+    weight: str | None = None,
+    slices: int = SLICES,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group with non-null keys, as doubles.
+    ``weight`` names a count of equal rows, for input that is already collapsed.
 
-    1. Rows collapse to (group, value, count), so repeated values cost nothing further.
-    2. One approximate pass brackets each wanted rank within a guaranteed rank error.
-    3. Counting what lies below a bracket and running a sum over what lies inside it finds the
-       exact values at the two neighbouring ranks. Only the bracket, a few ten-thousandths of the
-       distinct values, is ever sorted together.
+    1. Rows collapse to (group, value, count): repeated values cost nothing further.
+    2. The distinct values of a group are cut into ``slices`` of about equal size. The cuts come
+       from an approximate pass; they only have to be any cuts for the result to be exact.
+    3. A running sum over slice totals finds the slice of each wanted rank, and a running sum over
+       the values of just those slices finds the value.
     """
     names, probs = list(quantiles), list(quantiles.values())
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
-    counts = rows.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("c"))
+    rows = df.where(F.col(value).isNotNull())
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = rows.groupBy(*keys, F.col(value).cast("double").alias("v")).agg(size.alias("c"))
 
-    slack = 2.0 / accuracy
-    edges = [max(0.0, p - slack) for p in probs] + [min(1.0, p + slack) for p in probs]
-    bounds = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.percentile_approx("v", edges, accuracy).alias("edges"),
+    slices = max(slices, 2)
+    steps = [i / slices for i in range(1, slices)]
+    cuts = counts.groupBy(*keys).agg(
+        F.percentile_approx("v", steps).alias("cuts"), F.sum("c").alias("n")
     )
-    small = F.col("n") < ROWS_PER_STEP * accuracy
-    bounds = bounds.select(
+    sliced = counts.join(cuts, keys).select(
         *keys,
+        "v",
+        "c",
         "n",
-        *[
-            F.when(small, F.col("least")).otherwise(F.col("edges")[i]).alias(f"lo_{i}")
-            for i in range(len(probs))
-        ],
-        *[
-            F.when(small, F.col("most")).otherwise(F.col("edges")[i + len(probs)]).alias(f"hi_{i}")
-            for i in range(len(probs))
-        ],
+        F.size(F.filter("cuts", lambda cut: cut <= F.col("v"))).alias("slice"),
     )
-    bracketed = counts.join(bounds, keys)
 
-    below = bracketed.groupBy(*keys).agg(
-        F.max("n").alias("n"),
-        *[
-            F.coalesce(F.sum(F.when(F.col("v") < F.col(f"lo_{i}"), F.col("c"))), F.lit(0)).alias(f"below_{i}")
-            for i in range(len(probs))
-        ],
-    )
-    inside_any = reduce(
-        or_, [F.col("v").between(F.col(f"lo_{i}"), F.col(f"hi_{i}")) for i in range(len(probs))]
-    )
-    inside = (
-        bracketed.where(inside_any)
-        .select(
-            *keys,
-            "v",
-            "c",
-            F.explode(
-                F.array(
-                    *[
-                        F.when(F.col("v").between(F.col(f"lo_{i}"), F.col(f"hi_{i}")), F.lit(i))
-                        for i in range(len(probs))
-                    ]
-                )
-            ).alias("i"),
-        )
-        .where(F.col("i").isNotNull())
-    )
-    running = Window.partitionBy(*keys, "i").orderBy("v")
-    placed = inside.withColumn("upto", F.sum("c").over(running)).join(below, keys)
+    def position(p: float):
+        return F.col("n").cast("double") * F.lit(p) - F.lit(p)
 
-    position = F.element_at(F.array(*[F.lit(p) for p in probs]), F.col("i") + 1) * (F.col("n") - 1)
-    before = F.element_at(F.array(*[F.col(f"below_{i}") for i in range(len(probs))]), F.col("i") + 1)
-    placed = placed.select(
-        *keys,
-        "i",
-        "v",
-        position.alias("pos"),
-        (before + F.col("upto") - F.col("c")).alias("first_rank"),
-        (before + F.col("upto") - 1).alias("last_rank"),
+    def holds(rank, first, last):
+        return (first <= rank) & (rank <= last)
+
+    ranks = [edge(position(p)) for p in probs for edge in (F.floor, F.ceil)]
+    totals = sliced.groupBy(*keys, "slice").agg(F.sum("c").alias("t"), F.max("n").alias("n"))
+    upto = F.sum("t").over(Window.partitionBy(*keys).orderBy("slice"))
+    wanted = (
+        totals.withColumn("upto", upto)
+        .withColumn("before", F.col("upto") - F.col("t"))
+        .where(reduce(or_, [holds(r, F.col("before"), F.col("upto") - 1) for r in ranks]))
+        .select(*keys, "slice", "before")
+    )
+    running = F.sum("c").over(Window.partitionBy(*keys, "slice").orderBy("v"))
+    ranked = (
+        sliced.join(wanted, [*keys, "slice"])
+        .withColumn("last", F.col("before") + running - 1)
+        .withColumn("first", F.col("last") - F.col("c") + 1)
     )
 
     def at(rank):
-        value_at_rank = F.max(
-            F.when((F.col("first_rank") <= rank) & (rank <= F.col("last_rank")), F.col("v"))
-        )
-        return F.coalesce(value_at_rank, F.raise_error(F.lit("quantile outside its bracket")))
+        return F.max(F.when(holds(rank, F.col("first"), F.col("last")), F.col("v")))
 
-    found = placed.groupBy(*keys, "i").agg(
-        at(F.floor("pos")).alias("low"), at(F.ceil("pos")).alias("high"), F.max("pos").alias("pos")
-    )
-    answer = F.col("low") + (F.col("high") - F.col("low")) * (F.col("pos") - F.floor("pos"))
-    return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("i") == i, answer)).alias(name) for i, name in enumerate(names)]
+    found = ranked.groupBy(*keys).agg(
+        F.max("n").alias("n"),
+        *[at(F.floor(position(p))).alias(f"low_{i}") for i, p in enumerate(probs)],
+        *[at(F.ceil(position(p))).alias(f"high_{i}") for i, p in enumerate(probs)],
     )
+
+    def between(i: int, p: float):
+        low, high = F.col(f"low_{i}"), F.col(f"high_{i}")
+        return low + (high - low) * (position(p) - F.floor(position(p)))
+
+    return found.select(*keys, *[between(i, p).alias(names[i]) for i, p in enumerate(probs)])

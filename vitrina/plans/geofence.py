@@ -24,6 +24,21 @@ from vitrina.operators.quantiles import exact_quantiles
 from vitrina.operators.ranking import ascending, descending, options
 from vitrina.sources.tables import write_parquet
 
+# Display names of the visit listing.
+DETAIL_LABELS = {
+    "fecha": "Fecha",
+    "promotor": "Promotor",
+    "ruta": "Ruta",
+    "estado": "Estado",
+    "municipio": "Municipio",
+    "punto_venta": "Punto de venta",
+    "cadena": "Cadena",
+    "hora_checkin": "Hora check-in",
+    "distancia_metros": "Distancia (m)",
+    "estado_geo": "Estatus",
+    "es_fuera_ruta": "Fuera de ruta",
+}
+
 
 def enriched_visits(
     visits: DataFrame,
@@ -166,10 +181,14 @@ def map_points(visits: DataFrame) -> DataFrame:
 
 
 def map_center(visits: DataFrame) -> DataFrame:
-    """Median store coordinate per client."""
-    points = map_points(visits)
-    lat = exact_quantiles(points, ["cliente_id"], "lat_pdv", {"lat": 0.5})
-    lon = exact_quantiles(points, ["cliente_id"], "lon_pdv", {"lon": 0.5})
+    """Median store coordinate per client, from visits collapsed to store positions."""
+    positions = (
+        map_points(visits)
+        .groupBy("cliente_id", "lat_pdv", "lon_pdv")
+        .agg(F.count(F.lit(1)).alias("visitas"))
+    )
+    lat = exact_quantiles(positions, ["cliente_id"], "lat_pdv", {"lat": 0.5}, "visitas")
+    lon = exact_quantiles(positions, ["cliente_id"], "lon_pdv", {"lon": 0.5}, "visitas")
     return lat.join(lon, "cliente_id")
 
 

@@ -35,6 +35,20 @@ WORKDAY_TARGET_HOURS = 8
 WORKDAY_MAX_HOURS = 16
 NO_TEAM = "Sin entidad"
 
+# Display names of the itinerary.
+ITINERARY_LABELS = {
+    "fecha": "Fecha",
+    "username": "Usuario",
+    "promotor": "Promotor",
+    "entidad": "Entidad",
+    "hora_entrada": "Entrada",
+    "hora_salida": "Salida",
+    "visitas_planeadas": "Planeadas",
+    "visitas_realizadas": "Realizadas",
+    "pdvs_visitados": "PDVs",
+    "fuera_de_ruta": "Fuera ruta",
+}
+
 REP = ["cliente_id", "usuario_id"]
 
 

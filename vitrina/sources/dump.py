@@ -40,6 +40,11 @@ def route(statements: DataFrame, tables: list[str] | None = None) -> DataFrame:
     return routed.where(F.col("tabla").isin(*tables)) if tables else routed
 
 
+def write_routed(routed: DataFrame, path: str) -> None:
+    """Demultiplexed dump: one folder of statements per table, a big table split over several."""
+    routed.hint("rebalance", "tabla").write.mode("overwrite").partitionBy("tabla").parquet(path)
+
+
 def declared_columns(routed: DataFrame) -> DataFrame:
     """``tabla`` and the array ``columnas`` of each CREATE TABLE, keys and constraints left out."""
     body = F.col("statement")
