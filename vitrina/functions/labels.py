@@ -21,6 +21,9 @@ START_LEVELS = (70, 40)
 END_LEVELS = (50, 25)
 PLANOGRAM_LEVELS = (80, 50)
 STOCKOUT_LEVELS = (10, 5)
+NEAR_STOCKOUT_LIMIT = 5
+MANAGERIAL_LEVELS = (85, 70)
+MANAGERIAL_STOCKOUT_LIMIT = 15
 
 OWN = "Propio"
 COMPETITOR = "Competencia"
@@ -57,6 +60,11 @@ def level(c: ColumnLike, limits: tuple[float, float], higher_is_better: bool = T
     return F.when(value > strict, "red").when(value > loose, "yellow").otherwise("green")
 
 
+def over(c: ColumnLike, limit: float, above: str, within: str = "green") -> Column:
+    """Two-step light: ``above`` the limit or ``within`` it; NULL counts as 0."""
+    return F.when(F.coalesce(as_column(c), F.lit(0)) > limit, above).otherwise(within)
+
+
 def price_kind(is_own: ColumnLike = "is_propio") -> Column:
     """Own or competitor; an unknown owner counts as competitor."""
     return F.when(as_column(is_own).cast("int") == 1, OWN).otherwise(COMPETITOR)

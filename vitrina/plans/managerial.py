@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vitrina.functions.labels import MANAGERIAL_LEVELS, MANAGERIAL_STOCKOUT_LIMIT, level, over
 from vitrina.functions.numbers import percent
 from vitrina.operators.lookups import named_or_id, with_attributes
 from vitrina.operators.ranking import ascending
@@ -57,6 +58,16 @@ def managerial_report(
     )
 
 
+def with_levels(report: DataFrame) -> DataFrame:
+    """Traffic lights of compliance and of stock-outs."""
+    return report.withColumns(
+        {
+            "nivel_cumplimiento": level("pct_cumplimiento", MANAGERIAL_LEVELS),
+            "nivel_agotados": over("pct_agotados", MANAGERIAL_STOCKOUT_LIMIT, "red"),
+        }
+    )
+
+
 def managerial_totals(
     executions: DataFrame,
     compliant: str = "planograma",

@@ -60,12 +60,8 @@ def price_by_category(prices: DataFrame) -> DataFrame:
 
 def price_distribution(prices: DataFrame) -> DataFrame:
     """Minimum, quartiles and maximum of the price by type."""
-    kinds = with_kind(prices).where(F.col("precio").isNotNull())
-    ends = kinds.groupBy("tipo").agg(
-        F.min("precio").cast("double").alias("minimo"), F.max("precio").cast("double").alias("maximo")
-    )
-    quartiles = exact_quantiles(kinds, ["tipo"], "precio", {"q1": 0.25, "mediana": 0.5, "q3": 0.75})
-    return ends.join(quartiles, "tipo")
+    summary = {"minimo": 0.0, "q1": 0.25, "mediana": 0.5, "q3": 0.75, "maximo": 1.0}
+    return exact_quantiles(with_kind(prices), ["tipo"], "precio", summary)
 
 
 def active_prices(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.functions.labels import NEAR_STOCKOUT_LIMIT, PLANOGRAM_LEVELS, STOCKOUT_LEVELS, level, over
 from vitrina.functions.numbers import percent, total
 from vitrina.operators.ranking import ascending, descending, listing, options, top
 from vitrina.operators.reshape import melt
@@ -140,14 +141,17 @@ def chain_options(report: DataFrame) -> DataFrame:
 
 def store_brand_report(report: DataFrame) -> DataFrame:
     """Counters and percentages by chain, store and brand. Store attributes are functionally
-    dependent on the key; should they differ between rows, the largest is shown."""
+    dependent on the key; should they differ between rows, the largest is shown. They group the
+    first pass, so that raw rows are hash-aggregated and only its few results are sorted."""
 
     def text(c: str):
         return F.coalesce(F.col(c), F.lit("")).alias(c)
 
     attributes = ("punto_venta", "municipio", "estado")
-    sums = report.groupBy("cadena", "pdv_id", "marca").agg(
-        *[F.max(c).alias(c) for c in attributes], *[total(c).alias(c) for c in COUNTERS]
+    key = ["cadena", "pdv_id", "marca"]
+    collapsed = report.groupBy(*key, *attributes).agg(*[total(c).alias(c) for c in COUNTERS])
+    sums = collapsed.groupBy(*key).agg(
+        *[F.max(c).alias(c) for c in attributes], *[F.sum(c).alias(c) for c in COUNTERS]
     )
     visits, sku = "total_visitas", "cant_sku"
     return sums.select(
@@ -168,6 +172,18 @@ def in_report_order(report: DataFrame) -> DataFrame:
     return report.orderBy("cadena", "punto_venta", "marca", *ascending("pdv_id"))
 
 
+def with_levels(report: DataFrame) -> DataFrame:
+    """Traffic lights of the store-brand report."""
+    levels = {
+        "nivel_planograma": level("pct_planograma", PLANOGRAM_LEVELS),
+        "nivel_visitas_agotados": level("pct_visitas_agotados", STOCKOUT_LEVELS, higher_is_better=False),
+        "nivel_sku_agotados": level("pct_sku_agotados", STOCKOUT_LEVELS, higher_is_better=False),
+        "nivel_visitas_preagotados": over("pct_visitas_preagotados", NEAR_STOCKOUT_LIMIT, "yellow"),
+        "nivel_sku_preagotados": over("pct_sku_preagotados", NEAR_STOCKOUT_LIMIT, "yellow"),
+    }
+    return report.withColumns(levels)
+
+
 def risk_products(risk: DataFrame, stores: DataFrame, shown: int = PRODUCTS_SHOWN) -> DataFrame:
     """Per reported store and brand: the products seen out of stock and nearly out of stock, as
     the first ``shown`` names and the number of further ones. Only those few names per group are

@@ -940,3 +940,22 @@ for _name, _keys in (("managerial_by_store", "nombre_cadena, nombre_pdv"), ("man
         {_pct("COALESCE(SUM(planograma), 0)", "COUNT(id)", 2)} AS pct_cumplimiento,
         {_pct("SUM(cant_agotados)", "SUM(cant_sku)", 2, "0")} AS pct_agotados FROM managed GROUP BY {_keys}""",
     )
+
+ORACLES["managerial_levels"] = f"""SELECT nombre_cadena, nombre_pdv,
+    CASE WHEN pct_cumplimiento >= 85 THEN 'green' WHEN pct_cumplimiento >= 70 THEN 'yellow' ELSE 'red' END AS nivel_cumplimiento,
+    CASE WHEN pct_agotados > 15 THEN 'red' ELSE 'green' END AS nivel_agotados
+    FROM ({ORACLES["managerial_by_store"]})"""
+
+
+def _light(pct: str) -> str:
+    return f"CASE WHEN {pct} > 10 THEN 'red' WHEN {pct} > 5 THEN 'yellow' ELSE 'green' END"
+
+
+ORACLES["store_brand_levels"] = _sql(
+    "store_brand",
+    f"""SELECT cadena, pdv_id, marca,
+    CASE WHEN pct_planograma >= 80 THEN 'green' WHEN pct_planograma >= 50 THEN 'yellow' ELSE 'red' END AS nivel_planograma,
+    {_light("pct_visitas_agotados")} AS nivel_visitas_agotados, {_light("pct_sku_agotados")} AS nivel_sku_agotados,
+    CASE WHEN pct_visitas_preagotados > 5 THEN 'yellow' ELSE 'green' END AS nivel_visitas_preagotados,
+    CASE WHEN pct_sku_preagotados > 5 THEN 'yellow' ELSE 'green' END AS nivel_sku_preagotados FROM store_brand""",
+)

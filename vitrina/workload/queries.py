@@ -296,6 +296,18 @@ def _managerial(by: str) -> Query:
     )
 
 
+@query
+def store_brand_levels(spark, sf_dir):
+    built = shelf.with_levels(shelf.store_brand_report(a.brand_report(spark, sf_dir)))
+    return built.select("cadena", "pdv_id", "marca", *[c for c in built.columns if c.startswith("nivel_")])
+
+
+@query
+def managerial_levels(spark, sf_dir):
+    built = managerial.with_levels(_managerial("pdv")(spark, sf_dir))
+    return built.select("nombre_cadena", "nombre_pdv", "nivel_cumplimiento", "nivel_agotados")
+
+
 QUERIES["managerial_by_store"] = _managerial("pdv")
 QUERIES["managerial_by_chain"] = _managerial("cadena")
 QUERIES["managerial_totals"] = _on(a.executions, managerial.managerial_totals)
