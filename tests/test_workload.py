@@ -17,7 +17,8 @@ TYPES = {
     "DATE": "date",
     "TIMESTAMP": "timestamp_ntz",
 }
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+from vitrina.workload.oracles import ORACLES  # noqa: E402
+from vitrina.workload.queries import QUERIES  # noqa: E402
 
 
 @pytest.fixture(scope="module")
