@@ -13,9 +13,10 @@ from __future__ import annotations
 
 import base64
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -24,11 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Encoded pre-tokens that a worker keeps; the store is emptied when full, which affects speed only.
-KEPT_PRETOKENS = 500_000
+KEPT_PRETOKENS = 300_000
 #: Pre-tokens beyond this many bytes get a queue of their own.
 SHORT_BYTES = 64
 #: Texts that are split and encoded together, in characters.
-TOGETHER_CHARS = 32_000_000
+TOGETHER_CHARS = 8_000_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -128,7 +129,9 @@ class ByteBpe:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.known: dict[str, bytes] = {}
+        self.places: defaultdict[str, int] = defaultdict()  # pre-tokens seen, numbered as they come
+        self.places.default_factory = self.places.__len__
+        self.codes: list[bytes] = []  # and their packed ids
         self.byte_ids = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int64)
         pairs = sorted(
             (ranks[token[:cut]] << 32 | ranks[token[cut:]], rank)
@@ -238,25 +241,27 @@ class ByteBpe:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > KEPT_PRETOKENS:
-            self.known.clear()
-        known, split, out = self.known, [self.split(text) for text in texts], []
-        unseen = [x for x in set(chain.from_iterable(split)) if x not in known]
-        pieces = [x.encode() for x in unseen]
+        if len(self.codes) > KEPT_PRETOKENS:
+            self.places.clear()
+            self.codes.clear()
+        split, place = self.split, self.places.__getitem__
+        placed = [np.fromiter(map(place, split(text)), np.int32) for text in texts]  # strings go at once
         short = []
-        for text, piece in zip(unseen, pieces):
+        for text in islice(self.places, len(self.codes), None):
+            piece = text.encode()
             whole = self.ranks.get(piece)
             if whole is not None:
-                known[text] = whole.to_bytes(4, "little")
+                self.codes.append(whole.to_bytes(4, "little"))
             elif len(piece) > SHORT_BYTES:
-                known[text] = np.array(self.merge(piece), "<u4").tobytes()
+                self.codes.append(np.array(self.merge(piece), "<u4").tobytes())
             else:
-                short.append((text, piece))
+                short.append((len(self.codes), piece))
+                self.codes.append(b"")
         if short:
-            known.update(zip([x for x, _ in short], self.merge_all([x for _, x in short])))
-        for words in split:
-            out.append(b"".join(map(known.__getitem__, words)))
-        return out
+            for (at, _), code in zip(short, self.merge_all([piece for _, piece in short])):
+                self.codes[at] = code
+        code = self.codes.__getitem__
+        return [b"".join(map(code, places.tolist())) for places in placed]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
