@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import base64
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 from heapq import heappop, heappush
 from itertools import islice
 
@@ -24,6 +26,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrina.llm.common import short_batches
+
 #: Encoded pre-tokens that a worker keeps; the store is emptied when full, which affects speed only.
 KEPT_PRETOKENS = 300_000
 #: Pre-tokens beyond this many bytes get a queue of their own.
@@ -133,20 +137,27 @@ class ByteBpe:
         self.places.default_factory = self.places.__len__
         self.codes: list[bytes] = []  # and their packed ids
         self.byte_ids = np.array([ranks.get(bytes([x]), -1) for x in range(256)], np.int64)
-        pairs = sorted(
-            (ranks[token[:cut]] << 32 | ranks[token[cut:]], rank)
-            for token, rank in ranks.items()
-            for cut in range(1, len(token))
-            if token[:cut] in ranks and token[cut:] in ranks
-        )
-        self.pair_keys = np.array([key for key, _ in pairs] + [1 << 62], np.int64)
-        self.pair_ranks = np.array([rank for _, rank in pairs] + [-1], np.int64)
+    @cached_property
+    def pair_table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all token pairs that make a token, ascending, and the token's rank."""
+        ranks = self.ranks
+        keys, made = array("q"), array("q")
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    keys.append(left << 32 | right)
+                    made.append(rank)
+        keys, made = np.array(keys, np.int64), np.array(made, np.int64)
+        order = np.argsort(keys)
+        return np.append(keys[order], 1 << 62), np.append(made[order], -1)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of the token that two tokens make together, -1 if there is none."""
         key = left << 32 | right
-        at = np.searchsorted(self.pair_keys, key)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], -1)
+        keys, made = self.pair_table
+        at = np.searchsorted(keys, key)
+        return np.where(keys[at] == key, made[at], -1)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -298,6 +309,7 @@ def _portions(texts: pd.Series) -> Iterator[list[str]]:
 
 def token_ids(spark: SparkSession, text: Column, ranks: dict[bytes, int], pattern: str) -> Column:
     """Ids of a text column as packed little-endian unsigned 32-bit integers (binary)."""
+    short_batches(spark)
     coder = _coder(spark, ranks, pattern)
 
     @F.pandas_udf("binary")
@@ -311,6 +323,7 @@ def token_ids(spark: SparkSession, text: Column, ranks: dict[bytes, int], patter
 
 def token_bytes(spark: SparkSession, ids: Column, ranks: dict[bytes, int], pattern: str) -> Column:
     """Bytes that packed ids stand for; NULL ids give no bytes."""
+    short_batches(spark)
     coder = _coder(spark, ranks, pattern)
 
     @F.pandas_udf("binary")

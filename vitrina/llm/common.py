@@ -46,3 +46,15 @@ def discard(spark: SparkSession, path: str) -> None:
 def text_bytes(column: Column) -> Column:
     """UTF-8 bytes of a text; NULL counts as empty."""
     return F.coalesce(column, F.lit("")).cast("binary")
+
+
+#: Rows that go to a Python worker at once: texts are large rows, and a worker holds a few batches.
+BATCH_ROWS = 2_000
+
+
+def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Bound the Arrow batches of this session. A smaller bound that is set already stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))

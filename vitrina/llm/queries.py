@@ -8,12 +8,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import bpe
-from vitrina.llm.common import table, text_bytes
+from vitrina.llm import bpe, mixing, oracles, pii, quality, secrets, simhash, url_filter
+from vitrina.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality.judge_documents(docs).select("doc_id", "quality.*")
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -26,5 +37,46 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op6_byte_bpe": op6_byte_bpe}
-ORACLES: dict[str, str] = {}
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find_private(docs).select("doc_id", "private.*")
+    kinds = F.transform(F.split("base", ","), lambda s: F.substring_index(s, ":", 1))
+    return found.select(
+        "doc_id",
+        *(F.size(F.filter(kinds, lambda k: k == kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2("base", 256).alias("base_sha256"),
+        "spans",
+    )
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.classes(docs).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.find_secrets(docs, secrets.clearing_bins(docs)).select("doc_id", "secrets")
+    base = F.filter("secrets", lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        *(
+            F.size(F.filter("secrets", lambda s: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+            for k, kind in enumerate(secrets.KINDS[:3])
+        ),
+        F.sha2(secrets.written(base), 256).alias("base_sha256"),
+        secrets.written(F.col("secrets")).alias("spans"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op3_url_filter, op4_quality_rules, op6_byte_bpe, op7_mixing, op8_pii, op9_simhash, op10_secrets)
+}
+ORACLES: dict[str, str] = {"op3_url_filter": oracles.OP3, "op7_mixing": oracles.OP7}
