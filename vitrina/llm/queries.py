@@ -8,12 +8,31 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import bpe, mixing, oracles, pii, quality, secrets, simhash, url_filter
+from vitrina.llm import bpe, embedding_dedup, mixing, oracles, pii, quality, secrets, simhash, suffix_dedup, url_filter, warc
 from vitrina.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lengths = F.transform("spans", lambda s: (s["end"] - s["start"]).cast("long"))
+    return cut.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate(lengths, F.lit(0).cast("long"), lambda acc, x: acc + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return warc.read_archives(spark, archives).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
@@ -25,6 +44,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = bpe.read_ranks(public_tokenizers.path(RANK_FILE))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -77,6 +100,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op3_url_filter, op4_quality_rules, op6_byte_bpe, op7_mixing, op8_pii, op9_simhash, op10_secrets)
+    for f in (op1_suffix_dedup, op2_warc, op3_url_filter, op4_quality_rules, op5_embedding_dedup, op6_byte_bpe, op7_mixing, op8_pii, op9_simhash, op10_secrets)
 }
 ORACLES: dict[str, str] = {"op3_url_filter": oracles.OP3, "op7_mixing": oracles.OP7}

@@ -63,13 +63,21 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def upper_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal variable, to about 1e-7 (a rational approximation)."""
-    x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + 0.3275911 * x)
-    poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
-    half = poly * F.exp(-x * x) / 2
-    return F.when(z >= 0, half).otherwise(1 - half)
+
+    def tail(s: Column) -> Column:
+        t = s["t"]
+        poly = t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429))))
+        half = poly * F.exp(-s["z"] * s["z"] / 2) / 2
+        return F.when(s["z"] >= 0, half).otherwise(1 - half)
+
+    return let(z, lambda v: let(F.struct(v.alias("z"), (1 / (1 + 0.3275911 / math.sqrt(2) * F.abs(v))).alias("t")), tail))
 
 
 def encoding(token: Column) -> Column:
@@ -88,42 +96,45 @@ def combined_p(token: Column) -> Column:
     """P-value of the battery under "uniform and independent"; NULL for a run that is no candidate."""
 
     def tests(e: Column) -> Column:
-        size, n = F.length(e["alphabet"]).cast("double"), F.length(e["chars"]).cast("double")
+        size, n = F.length(e["alphabet"]).cast("double"), F.length(e["chars"])
         codes = F.transform(F.split(e["chars"], ""), lambda c: F.instr(e["alphabet"], c).cast("double") - 1)
-        return F.transform(
-            F.array(F.struct(e["chars"].alias("chars"), size.alias("size"), n.alias("n"), codes.alias("codes"))), battery
-        )[0]
+        return let(F.struct(size.alias("size"), n.cast("double").alias("n"), codes.alias("codes")), sums)
 
-    def battery(s: Column) -> Column:
-        size, n, codes = s["size"], s["n"], s["codes"]
+    def sums(s: Column) -> Column:
+        codes, last = s["codes"], s["n"].cast("int") - 1
+        neighbours = F.zip_with(
+            F.slice(codes, F.lit(1), last), F.slice(codes, F.lit(2), last), lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+        )
         squares = F.aggregate(
             F.array_distinct(codes),
             F.lit(0.0),
-            lambda acc, c: acc + F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), F.lit(2.0)),
+            lambda acc, c: acc + let(F.size(F.filter(codes, lambda x: x == c)).cast("double"), lambda k: k * k),
         )
-        chi = (size / n * squares - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
-        high = F.size(F.filter(codes, lambda x: x >= size / 2)).cast("double")
-        product = 2 * high * (n - high)
-        changes = F.size(
-            F.filter(
-                F.arrays_zip(F.slice(codes, F.lit(1), (n - 1).cast("int")).alias("a"), F.slice(codes, F.lit(2), (n - 1).cast("int")).alias("b")),
-                lambda x: (x["a"] >= size / 2) != (x["b"] >= size / 2),
-            )
-        ).cast("double")
-        spread = F.sqrt(product * (product - n) / (n * n * (n - 1)))
-        runs = F.when(spread > 0, (changes - product / n) / spread).otherwise(F.lit(9.0))
-        mean = (size - 1) / 2
-        serial = F.aggregate(
-            F.arrays_zip(F.slice(codes, F.lit(1), (n - 1).cast("int")).alias("a"), F.slice(codes, F.lit(2), (n - 1).cast("int")).alias("b")),
-            F.lit(0.0),
-            lambda acc, x: acc + (x["a"] - mean) * (x["b"] - mean),
-        ) / ((size * size - 1) / 12 * F.sqrt(n - 1))
-        least = F.lit(1e-30)
-        ps = (upper_tail(chi), 2 * upper_tail(F.abs(runs)), 2 * upper_tail(F.abs(serial)))
-        half = -sum((F.log(F.greatest(F.least(p, F.lit(1.0)), least)) for p in ps), F.lit(0.0))
-        return F.exp(-half) * (1 + half + half * half / 2)  # chi-squared with six degrees of freedom
+        high = F.size(F.filter(codes, lambda x: x >= s["size"] / 2)).cast("double")
+        changes = F.size(F.filter(neighbours, lambda x: (x["a"] >= s["size"] / 2) != (x["b"] >= s["size"] / 2)))
+        middle = (s["size"] - 1) / 2
+        product = F.aggregate(neighbours, F.lit(0.0), lambda acc, x: acc + (x["a"] - middle) * (x["b"] - middle))
+        return let(
+            F.struct(
+                s["size"].alias("size"), s["n"].alias("n"), squares.alias("squares"), (2 * high * (s["n"] - high)).alias("mixed"),
+                changes.cast("double").alias("changes"), product.alias("product"),
+            ),
+            scores,
+        )
+
+    def scores(s: Column) -> Column:
+        size, n = s["size"], s["n"]
+        chi = (size / n * s["squares"] - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
+        spread = F.sqrt(s["mixed"] * F.greatest(s["mixed"] - n, F.lit(0.0)) / (n * n * (n - 1)))
+        runs = let(spread, lambda d: F.when(d > 0, (s["changes"] - s["mixed"] / n) / d).otherwise(F.lit(9.0)))
+        serial = s["product"] / ((size * size - 1) / 12 * F.sqrt(n - 1))
+        evidence = F.array(upper_tail(chi), 2 * upper_tail(F.abs(runs)), 2 * upper_tail(F.abs(serial)))
+        bounded = lambda p: F.log(F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-30)))
+        half = -F.aggregate(evidence, F.lit(0.0), lambda acc, p: acc + bounded(p))
+        # chi-squared with six degrees of freedom
+        return let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-    return F.transform(F.array(encoding(token)), lambda e: F.when(e.isNotNull(), tests(e)))[0]
+    return let(encoding(token), lambda e: F.when(e.isNotNull(), tests(e)))
 
 
 def length_class(length: Column) -> Column:
@@ -132,7 +143,7 @@ def length_class(length: Column) -> Column:
 
 def p_bin(p: Column) -> Column:
     """Histogram bin: higher for smaller p."""
-    return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS), F.lit(BINS * DECADES)).cast("int")
+    return F.greatest(F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * BINS), F.lit(BINS * DECADES)), F.lit(0)).cast("int")
 
 
 def clearing_bins(docs: DataFrame, rate: float = RATE) -> dict[int, int]:
@@ -177,11 +188,9 @@ def find_secrets(docs: DataFrame, clear: dict[int, int], out: str = "secrets") -
     cleared = F.create_map(*(F.lit(x) for pair in clear.items() for x in pair)) if clear else None
 
     def is_random(token: Column) -> Column:
-        p = combined_p(token)
-        if cleared is None:
-            return F.coalesce(p >= 0, F.lit(False))
-        bound = F.coalesce(cleared[length_class(F.length(token))], F.lit(BINS * DECADES + 1))
-        return F.coalesce(p_bin(p) < bound, F.lit(False))
+        never = F.lit(BINS * DECADES + 1)
+        bound = never if cleared is None else F.coalesce(cleared[length_class(F.length(token))], never)
+        return F.coalesce(p_bin(combined_p(token)) < bound, F.lit(False))
 
     plain = F.col(f"{out}_base")
     random_runs = F.when(
