@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from vitrina.llm.common import short_batches
 
 #: Encoded pre-tokens that a worker keeps; the store is emptied when full, which affects speed only.
-KEPT_PRETOKENS = 300_000
+KEPT_PRETOKENS = 120_000
 #: Pre-tokens beyond this many bytes get a queue of their own.
 SHORT_BYTES = 64
 #: Texts that are split and encoded together, in characters.

@@ -49,7 +49,7 @@ def text_bytes(column: Column) -> Column:
 
 
 #: Rows that go to a Python worker at once: texts are large rows, and a worker holds a few batches.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 
 
 def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
