@@ -58,3 +58,11 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     now = int(spark.conf.get(key))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def fresh_name(df: DataFrame, label: str) -> str:
+    """A column name that ``df`` does not have (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while label.lower() in taken:
+        label = f"_{label}"
+    return label

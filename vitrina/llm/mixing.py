@@ -71,13 +71,14 @@ def copies(docs: DataFrame, rates: DataFrame, seed: str) -> DataFrame:
         table = F.broadcast(table)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("_parts")),
+        F.sequence(F.lit(1), table["_parts"]),
         F.lit(0),
         lambda acc, i: acc + F.transform(
-            F.array(uniform(F.lit(seed), key, i.cast("string"))), lambda u: F.size(F.filter("_at", lambda x: x <= u))
+            F.array(uniform(F.lit(seed), key, i.cast("string"))), lambda u: F.size(F.filter(table["_at"], lambda x: x <= u))
         )[0],
     )
-    return docs.join(table, docs["source"].eqNullSafe(table["_source"])).withColumn("copies", drawn).drop("_source", "_parts", "_at")
+    met = docs.drop("copies").join(table, docs["source"].eqNullSafe(table["_source"]))
+    return met.select(docs.drop("copies")["*"], drawn.alias("copies"))
 
 
 def mix(

@@ -46,8 +46,8 @@ class Rules:
     max_repeat_percent: int = 50
     min_chars: int = 200
     min_words: int = 100
-    max_class_distance: float = 0.25
-    max_word_distance: float = 0.75
+    max_class_distance: float = 0.315
+    max_word_distance: float = 0.355
 
 
 def _class_table() -> np.ndarray:

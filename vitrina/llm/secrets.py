@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vitrina.llm.common import fresh_name
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a maximal run of 18 or more: shorter ones fail, and so do their tails
@@ -165,10 +167,9 @@ def find_secrets(docs: DataFrame, clear: dict[int, int], out: str = "secrets") -
     kind, ``kind`` being the place in ``KINDS``. Random runs within a plain span are not repeated."""
     text = F.coalesce(F.col("text"), F.lit(""))
     kinded = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
-    hits = docs.withColumns(
-        {f"{out}_hits{k}": matches(text, p) for k, p in enumerate((ASSIGN, ACCESS, HEX, CANDIDATE))}
-    )
-    assigns, access, hexes, runs = (F.col(f"{out}_hits{k}") for k in range(4))
+    names, plain_name = [fresh_name(docs, f"{out}_hits{k}") for k in range(4)], fresh_name(docs, f"{out}_plain")
+    hits = docs.withColumns({n: matches(text, p) for n, p in zip(names, (ASSIGN, ACCESS, HEX, CANDIDATE))})
+    assigns, access, hexes, runs = map(F.col, names)
     long_enough = F.transform(matches(text, ASSIGN, 2), lambda v: F.length(v) >= 12)
     kept_assigns = F.when(
         F.size(assigns) > 0,
@@ -180,7 +181,7 @@ def find_secrets(docs: DataFrame, clear: dict[int, int], out: str = "secrets") -
         ),
     ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     base = hits.withColumn(
-        f"{out}_base",
+        plain_name,
         F.concat(
             kinded(kept_assigns, 0), kinded(located(text, access, ACCESS), 1), kinded(located(text, hexes, HEX), 2)
         ),
@@ -192,7 +193,7 @@ def find_secrets(docs: DataFrame, clear: dict[int, int], out: str = "secrets") -
         bound = never if cleared is None else F.coalesce(cleared[length_class(F.length(token))], never)
         return F.coalesce(p_bin(combined_p(token)) < bound, F.lit(False))
 
-    plain = F.col(f"{out}_base")
+    plain = F.col(plain_name)
     random_runs = F.when(
         F.size(runs) > 0,
         F.transform(
@@ -205,7 +206,7 @@ def find_secrets(docs: DataFrame, clear: dict[int, int], out: str = "secrets") -
         ),
     ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     found = base.withColumn(out, F.array_sort(F.concat(plain, kinded(random_runs, 3))))
-    return found.drop(f"{out}_base", *(f"{out}_hits{k}" for k in range(4)))
+    return found.drop(plain_name, *names)
 
 
 def written(spans: Column) -> Column:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from vitrina.llm.common import short_batches, stored
+from vitrina.llm.common import fresh_name, short_batches, stored
 from vitrina.llm.components import connected_components
 
 SEGMENTS, SEGMENT_BITS = 16, 4
@@ -177,3 +177,24 @@ def classes(docs: DataFrame) -> DataFrame:
     rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each class: that of the smallest id (a NULL id comes last, then the
+    text decides). Of repeated rows one stays."""
+    short_batches(docs.sparkSession)
+    fp, text_hash = fresh_name(docs, "fp"), fresh_name(docs, "text_hash")
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked, _ = stored(
+        docs.select("doc_id", hashed.alias("text_hash"), fingerprint(F.col("text")).alias("fp")), "fingerprints"
+    )
+    entry = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")
+    firsts = marked.groupBy("fp").agg(F.min(entry).alias("entry"))
+    roots = connected_components(fingerprint_links(firsts.select("fp"))).select(F.col("node").alias("fp"), "root")
+    rooted = firsts.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    chosen = rooted.groupBy("root").agg(F.min("entry").alias("entry")).select(
+        F.col("entry.doc_id").alias(fp), F.col("entry.text_hash").alias(text_hash)
+    )
+    hashed_docs = docs.withColumn(text_hash, hashed)
+    same = hashed_docs["doc_id"].eqNullSafe(chosen[fp]) & (hashed_docs[text_hash] == chosen[text_hash])
+    return hashed_docs.join(chosen, same, "left_semi").dropDuplicates(["doc_id", text_hash]).drop(text_hash)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import stored
+from vitrina.llm.common import fresh_name, stored
 
 # The rules of the production filter.
 RULES = {
@@ -133,24 +133,25 @@ def threshold(scores: DataFrame) -> float:
 def filter_urls(pages: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
     """``pages(url, ...)`` with ``host``, ``path``, ``rule`` (NULL where none fits) and ``verdict``."""
     plain = F.coalesce("url", F.lit(""))
-    split = pages.withColumns({"host": host_of(after_scheme(plain)), "path": path_of(after_scheme(plain))})
-    judged = split.withColumn("_ruled", ruled(F.col("host"), F.col("path"), rules))
-    urls = (
-        judged.select(plain.alias("url"), F.lower(after_scheme(plain)).alias("text"), "_ruled.verdict")
-        .distinct()
-    )
+    key, verdict = fresh_name(pages, "judged_url"), fresh_name(pages, "judged")
+    judged = pages.withColumns({"host": host_of(after_scheme(plain)), "path": path_of(after_scheme(plain)), key: plain})
+    judged = judged.withColumn(verdict, ruled(F.col("host"), F.col("path"), rules))
+    urls = judged.select(
+        F.col(key).alias("url"), F.lower(after_scheme(F.col(key))).alias("text"), F.col(verdict)["verdict"].alias("verdict")
+    ).distinct()
     scores, _ = stored(
         urls.join(url_scores(urls), "url").select("url", "verdict", held_out(F.col("url")).alias("held"), "score"), "url-scores"
     )
     bound = threshold(scores.filter("held and verdict is not null"))
-    scored = scores.select(F.col("url").alias("_url"), (F.col("score") >= bound).alias("_good"))
+    good = fresh_name(judged, "good_url")
+    scored = scores.select(F.col("url").alias(key), (F.col("score") >= bound).alias(good))
     return (
-        judged.join(scored, plain == F.col("_url"), "left")
+        judged.join(scored, key, "left")
         .withColumns(
             {
-                "rule": F.col("_ruled.rule"),
-                "verdict": F.coalesce(F.col("_ruled.verdict"), F.when(F.col("_good"), "allow").otherwise("block")),
+                "rule": F.col(verdict)["rule"],
+                "verdict": F.coalesce(F.col(verdict)["verdict"], F.when(F.col(good), "allow").otherwise("block")),
             }
         )
-        .drop("_ruled", "_url", "_good")
+        .drop(key, verdict, good)
     )
