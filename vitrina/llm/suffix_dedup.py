@@ -31,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.llm.common import short_batches, text_bytes
 
-LENGTH, GRAM, HOT = 100, 32, 20_000
+LENGTH, GRAM, HOT = 100, 32, 200_000
 #: Windows that are hashed together, and bytes that a worker gathers before it does so.
 SEGMENT, GATHERED = 1 << 18, 1 << 19
 BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
@@ -44,6 +45,21 @@ PLACE_BITS = 24
 KEY = ["doc_order", "tag"]
 
 
+def packed(raw: Column) -> Column:
+    """Bytes compressed by themselves: texts are shuffled once and read three times."""
+
+    @F.pandas_udf("binary")
+    def pack(batch: pd.Series) -> pd.Series:
+        press = zstandard.ZstdCompressor(level=3, write_content_size=True)
+        return pd.Series([press.compress(x) for x in batch], dtype=object)
+
+    return pack(raw)
+
+
+def unpacked(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.empty(n, np.uint64)
     out[0], done = 1, 1
@@ -100,7 +116,7 @@ class Sampler:
 
 
 def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(hash, doc_order, tag, at)`` of ``texts(doc_order, tag, raw)``."""
+    """``(hash, doc_order, tag, at)`` of ``texts(doc_order, tag, packed)``."""
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sampler = Sampler(length, gram)
@@ -113,7 +129,7 @@ def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 made = pd.DataFrame({"hash": value, "doc_order": order[document], "tag": tag[document], "at": at.astype(np.int32)})
                 return made.drop_duplicates()  # the pieces of a text overlap
 
-            for i, raw in enumerate(batch["raw"]):
+            for i, raw in enumerate(map(unpacked, batch["packed"])):
                 for start in range(0, len(raw) - length + 1, SEGMENT):
                     pieces.append((i, start, raw[start : start + SEGMENT + length - 1]))
                     size += len(pieces[-1][2])
@@ -166,11 +182,9 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
 
 
 def context_rows(texts: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
-    """``(hash, hot, doc_order, tag, at, left, right)`` of anchors ``(hash, hot, doc_order, tag, at)``."""
-    by_text = shared.groupBy(*KEY).agg(F.collect_list(F.struct("at", "hash", "hot")).alias("anchors"))
-    met = texts.join(by_text, KEY).select(
-        *KEY, "raw", *(F.col(f"anchors.{c}").alias(c) for c in ("at", "hash", "hot"))
-    )
+    """``(hash, doc_order, tag, at, left, right)`` of anchors ``(hash, doc_order, tag, at)``."""
+    by_text = shared.groupBy(*KEY).agg(F.collect_list(F.struct("at", "hash")).alias("anchors"))
+    met = texts.join(by_text, KEY).select(*KEY, "packed", *(F.col(f"anchors.{c}").alias(c) for c in ("at", "hash")))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -178,13 +192,13 @@ def context_rows(texts: DataFrame, shared: DataFrame, length: int, gram: int) ->
                 part = batch.iloc[begin : begin + 200]
                 sizes = part["at"].map(len).to_numpy()
                 left, right = [], []
-                for raw, places in zip(part["raw"], part["at"]):
+                for raw, places in zip(map(unpacked, part["packed"]), part["at"]):
                     for at in places:
                         left.append(raw[max(0, at + gram - length) : at][::-1])
                         right.append(raw[at : at + length])
                 yield pd.DataFrame(
                     {
-                        **{c: np.concatenate(part[c].to_list()) for c in ("hash", "hot")},
+                        "hash": np.concatenate(part["hash"].to_list()),
                         **{c: np.repeat(part[c].to_numpy(), sizes) for c in KEY},
                         "at": np.concatenate(part["at"].to_list()),
                         "left": left,
@@ -192,61 +206,89 @@ def context_rows(texts: DataFrame, shared: DataFrame, length: int, gram: int) ->
                     }
                 )
 
-    return met.mapInPandas(cut, "hash long, hot boolean, doc_order long, tag long, at int, left binary, right binary")
+    return met.mapInPandas(cut, "hash long, doc_order long, tag long, at int, left binary, right binary")
+
+
+Place = tuple[int, int, int]  # document order, tag, position
 
 
-def _groups(batches: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
-    """Rows of one hash at a time, out of sorted batches."""
-    held: list[tuple] = []
-    for batch in batches:
-        for row in zip(*(batch[c].tolist() for c in ("hash", "doc_order", "tag", "at", "left", "right"))):
-            if held and held[0][0] != row[0]:
-                yield held
-                held = []
-            if not held or held[-1][:4] != row[:4]:  # repeated rows of a document are one
-                held.append(row)
-    if held:
-        yield held
+class Group:
+    """Occurrences of one hash, in order: each distinct context once, with its first place. Later
+    places with the same context repeat that first one and are not kept."""
+
+    def __init__(self) -> None:
+        self.firsts: dict[tuple[bytes, bytes], Place] = {}
+        self.last: Place | None = None
+
+    def add(self, place: Place, left: bytes, right: bytes, length: int) -> Place | None:
+        """The place, if its whole context repeats an earlier one."""
+        if place == self.last:  # repeated rows of a document are one
+            return None
+        self.last = place
+        if self.firsts.setdefault((left, right), place) is place or len(left) + len(right) < length:
+            return None
+        return place
+
+    def spans(self, length: int) -> Iterator[tuple[int, int, int, int]]:
+        """What else repeats something earlier. All spans of an anchor hold the anchor, so the widest
+        extensions on both sides stand for all."""
+        if len(self.firsts) < 2:
+            return
+        places = list(self.firsts.values())
+        reach: dict[int, tuple[int, int]] = {}
+        for left, right, members in maximal_repeats([c[0] for c in self.firsts], [c[1] for c in self.firsts], length):
+            first = min(members)  # contexts are numbered by their first places
+            for i in members:
+                if i != first:
+                    a, b = reach.get(i, (0, 0))
+                    reach[i] = max(a, left), max(b, right)
+        for i, (left, right) in reach.items():
+            order, tag, at = places[i]
+            yield order, tag, at - left, at + right
 
 
 def tree_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """``(doc_order, tag, start, end)`` of what repeats something earlier, a row per anchor at most:
-    all spans of an anchor hold the anchor, so the widest extensions stand for all."""
+    """``(doc_order, tag, start, end)`` of what repeats something earlier."""
+    names = ["hash", *KEY, "at", "left", "right"]
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple[int, int, int, int]] = []
-        for rows in _groups(batches):
-            if len(rows) < 2:
-                continue
-            reach: dict[int, tuple[int, int]] = {}
-            for left, right, members in maximal_repeats([r[4] for r in rows], [r[5] for r in rows], length):
-                first = min(members)  # rows are sorted by document and place
-                for i in members:
-                    if i != first:
-                        a, b = reach.get(i, (0, 0))
-                        reach[i] = max(a, left), max(b, right)
-            out += [(rows[i][1], rows[i][2], rows[i][3] - a, rows[i][3] + b) for i, (a, b) in reach.items()]
-            if len(out) >= 20_000:
-                yield pd.DataFrame(out, columns=[*KEY, "start", "end"])
-                out = []
-        yield pd.DataFrame(out, columns=[*KEY, "start", "end"])
+        held, group = None, Group()
+        for batch in batches:
+            for value, order, tag, at, left, right in zip(*(batch[c].tolist() for c in names)):
+                if value != held:
+                    out += group.spans(length)
+                    held, group = value, Group()
+                if group.add((order, tag, at), left, right, length):
+                    out.append((order, tag, at - len(left), at + len(right)))
+            yield pd.DataFrame(out, columns=[*KEY, "start", "end"])
+            out = []
+        yield pd.DataFrame([*group.spans(length)], columns=[*KEY, "start", "end"])
 
     placed = contexts.repartition("hash").sortWithinPartitions("hash", *KEY, "at")
     return placed.mapInPandas(scan, "doc_order long, tag long, start int, end int")
 
 
-def window_spans(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """The same for hot hashes: every window through an anchor is a string of its own, and all but the
-    first occurrence of a string are marked."""
-    whole = F.concat(F.reverse(F.col("left").cast("string")).cast("binary"), F.col("right"))
-    back = F.sequence(F.greatest(F.lit(0), length - F.octet_length("right")), F.octet_length("left"))
-    each = contexts.filter((F.octet_length("left") + F.octet_length("right")) >= length).select(
-        *KEY, "at", F.expr("hex(left)").alias("left"), "right", F.explode(back).alias("back")
-    )
-    # The left context is reversed by bytes; in hexadecimal that is undone pair by pair.
-    ahead = F.array_join(F.transform(F.sequence(F.col("back"), F.lit(1), F.lit(-1)), lambda i: F.substring("left", 2 * i - 1, F.lit(2))), "")
-    text = F.concat(F.when(F.col("back") > 0, ahead).otherwise(""), F.hex(F.substring("right", F.lit(1), length - F.col("back"))))
-    strings = each.select(*KEY, (F.col("at") - F.col("back")).alias("start"), F.unhex(F.md5(text)).alias("string"))
+def window_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """The same for hot hashes: every window through an anchor is a string of its own, told by its
+    MD5, and all but the first occurrence of a string are marked."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                whole, before = row.left[::-1] + row.right, len(row.left)
+                starts = range(0, min(before, len(whole) - length) + 1)
+                if starts:
+                    yield pd.DataFrame(
+                        {
+                            "doc_order": row.doc_order,
+                            "tag": row.tag,
+                            "start": [row.at - before + s for s in starts],
+                            "string": [hashlib.md5(whole[s : s + length]).digest() for s in starts],
+                        }
+                    )
+
+    strings = contexts.mapInPandas(cut, "doc_order long, tag long, start int, string binary")
     firsts = strings.groupBy("string").agg(F.min(F.struct(*KEY, "start")).alias("first"))
     marked = strings.join(firsts, "string").filter(F.struct(*KEY, "start") != F.col("first"))
     return marked.select(*KEY, "start", (F.col("start") + length).alias("end"))
@@ -262,18 +304,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     narrow = docs.select("doc_id", F.octet_length(raw).alias("n_bytes"), *(c.alias(n) for n, c in key.items()))
     firsts = narrow.groupBy("digest").agg(F.min("doc_order").alias("first"))
     reps = firsts.select(F.col("first").alias("doc_order"), F.xxhash64("digest").alias("tag"))
-    texts = docs.select(key["doc_order"].alias("doc_order"), key["tag"].alias("tag"), raw.alias("raw")).join(reps, KEY, "left_semi")
+    keyed = docs.select(key["doc_order"].alias("doc_order"), key["tag"].alias("tag"), packed(raw).alias("packed"))
+    texts = keyed.join(reps, KEY, "left_semi")
     found = anchor_rows(texts, length, gram)
     counts = found.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     shared = found.join(counts, "hash").select("hash", (F.col("n") > hot).alias("hot"), *KEY, "at")
-    contexts = context_rows(texts, shared, length, gram)
-    spans = tree_spans(contexts.filter("not hot"), length).union(window_spans(contexts.filter("hot"), length, gram))
+    contexts = context_rows(texts, shared.filter("not hot"), length, gram)
+    hot_contexts = context_rows(texts, shared.filter("hot"), length, gram)
+    spans = tree_spans(contexts, length).union(window_spans(hot_contexts, length))
     by_text = spans.groupBy(*KEY).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    marked = texts.join(by_text, KEY).select(*KEY, "raw", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    marked = texts.join(by_text, KEY).select(*KEY, "packed", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def drop(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [united(*x) for x in zip(batch["raw"], batch["starts"], batch["ends"])]
+            rows = [united(*x) for x in zip(map(unpacked, batch["packed"]), batch["starts"], batch["ends"])]
             yield pd.DataFrame(
                 {
                     **{c: batch[c] for c in KEY},
