@@ -67,10 +67,12 @@ def test_rep_kpis(world):
 def test_collapsed_path_equals_row_path(spark, sf_dir):
     """Facts from collapsed visits equal facts from the joined visit rows."""
     args = (a.visits(spark, sf_dir), a.users(spark, sf_dir), a.teams(spark, sf_dir), a.BUSY_LIMIT)
-    facts = workday.rep_day_facts(*args).select("usuario_id", "entidad", "dia", "planeadas", "realizadas")
+    facts = workday.rep_day_facts(*args).select(
+        "cliente_id", "usuario_id", "entidad", "dia", "planeadas", "realizadas"
+    )
     rows = (
         workday.clean_visits(*args)
-        .groupBy("usuario_id", "entidad", "dia")
+        .groupBy("cliente_id", "usuario_id", "entidad", "dia")
         .agg(F.count(F.lit(1)).alias("planeadas"), F.count("inicio").alias("realizadas"))
     )
     assert facts.exceptAll(rows).count() == 0
@@ -105,8 +107,9 @@ def test_daily_trend_and_itinerary(world, rows):
     assert rows(workday.itinerary_totals(built, "Nadie")) == [(0, 0, 0, 0)]
 
 
-def test_last_activity_day_ignores_implausible_years(world, rows):
+def test_last_activity_day_bounds_years_only_where_asked(world, rows):
     visits, _, _ = world
     odd = visits.withColumn("fecha_planeada", F.when(F.col("usuario_id") == 2, F.lit("2099-01-01").cast("date")).otherwise(F.col("fecha_planeada")))
-    row = workday.last_activity_day(odd).first()
+    assert str(workday.last_activity_day(odd).first().ultima) == "2099-01-01"
+    row = workday.last_activity_day(odd, 2015, 2026).first()
     assert (str(row.ultima), str(row.desde)) == ("2024-01-03", "2024-01-01")

@@ -31,7 +31,9 @@ def hours(micros: ColumnLike) -> Column:
 
 
 def _two_digits(n: Column) -> Column:
-    return F.lpad(n.cast("string"), 2, "0")
+    """At least two digits; longer numbers stay whole."""
+    text = n.cast("string")
+    return F.lpad(text, F.greatest(F.length(text), F.lit(2)), F.lit("0"))
 
 
 def hhmm_from_minutes(minutes: ColumnLike) -> Column:
@@ -45,11 +47,10 @@ def hhmm(seconds: ColumnLike) -> Column:
 
 
 def minutes_of(text: ColumnLike) -> Column:
-    """HH:MM text to minutes; anything that is not five characters long gives NULL."""
+    """HH:MM text, with two or more digits for the hours, to minutes; other text gives NULL."""
     text = as_column(text)
     parts = F.split(text, ":")
-    value = F.try_add(parts[0].try_cast("int") * 60, parts[1].try_cast("int"))
-    return F.when(F.length(text) == 5, value)
+    return F.when(text.rlike(r"^\d{2,}:\d{2}$"), parts[0].try_cast("int") * 60 + parts[1].try_cast("int"))
 
 
 def clock_text(moment: ColumnLike) -> Column:

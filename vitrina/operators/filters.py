@@ -39,16 +39,21 @@ def between_days(
 
 
 def between_months(df: DataFrame, start: int | None = None, end: int | None = None) -> DataFrame:
-    """Inclusive range of ``YYYYMM``; prunes folders of a table partitioned by year and month."""
+    """Inclusive range of ``YYYYMM``. The year bounds that follow from it are stated as well: they
+    reach the scan of a table that is not partitioned, the month range prunes one that is."""
     if start is not None:
-        df = df.where(year_month() >= start)
+        df = df.where((F.col("anio") >= start // 100) & (year_month() >= start))
     if end is not None:
-        df = df.where(year_month() <= end)
+        df = df.where((F.col("anio") <= end // 100) & (year_month() <= end))
     return df
 
 
-def plausible_year(column: str, first: int = 2015, last: int = 2026) -> Column:
-    return F.year(column).between(first, last)
+def plausible_years(df: DataFrame, column: str, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Keep days from the first of year ``first`` to the last of year ``last``, where given. The
+    column is compared uncast with dates, so the bounds reach the scan."""
+    start = None if first is None else date(first, 1, 1)
+    end = None if last is None else date(last, 12, 31)
+    return between_days(df, column, start, end)
 
 
 def containing(column: str, text: str) -> Column:

@@ -24,12 +24,22 @@ def one_row_per_id(dim: DataFrame, lead: str, *attributes: str, key: str = "id")
     return kept.groupBy(key).agg(F.min_by(row, order).alias("_row")).select(key, "_row.*")
 
 
+def unique_by_id(dim: DataFrame, key: str = "id") -> DataFrame:
+    """One whole row per id: the first by the other columns in their order, NULL last. The choice
+    does not depend on which columns a job reads. Rows without an id match nothing and drop out."""
+    rest = [c for c in dim.columns if c != key]
+    order = F.struct(*[x for c in rest for x in (F.col(c).isNull(), F.col(c))])
+    first = dim.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_row"))
+    return first.select(key, "_row.*")
+
+
 def with_attributes(
     fact: DataFrame, dim: DataFrame, on: str, columns: dict[str, str | Column], key: str = "id"
 ) -> DataFrame:
-    """Left join ``dim`` on ``fact[on] = dim[key]`` and add ``columns`` (new name -> source)."""
+    """Left join ``dim``, one row per id, on ``fact[on] = dim[key]`` and add ``columns`` (new name ->
+    source). A repeated id never repeats rows of ``fact``."""
     source = {name: F.col(c) if isinstance(c, str) else c for name, c in columns.items()}
-    right = dim.select(F.col(key).alias("_key"), *[c.alias(name) for name, c in source.items()])
+    right = unique_by_id(dim, key).select(F.col(key).alias("_key"), *[c.alias(name) for name, c in source.items()])
     return fact.join(right, fact[on] == right["_key"], "left").drop("_key")
 
 

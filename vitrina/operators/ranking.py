@@ -31,6 +31,18 @@ def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 50) ->
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def page_after(
+    df: DataFrame, columns: list[str], last: tuple | None = None, size: int = 50, newest_first: bool = True
+) -> DataFrame:
+    """The page behind the row whose ``columns`` are ``last`` (the first page without it). The rows
+    before it are filtered out, not sorted and skipped, so a deep page costs what the first does.
+    ``columns`` must tell rows apart and hold no NULL."""
+    if last is not None:
+        here, there = F.struct(*columns), F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for c, v in zip(columns, last, strict=True)])
+        df = df.where(here < there if newest_first else here > there)
+    return df.orderBy(*(descending(*columns) if newest_first else ascending(*columns))).limit(size)
+
+
 def page_counts(df: DataFrame, number: int = 1, size: int = 50) -> DataFrame:
     """One row: total rows, page, page size, number of pages (at least 1)."""
     return df.agg(F.count(F.lit(1)).alias("total")).select(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.numbers import half_even, mean, total
 from vitrina.operators.filters import between_days, containing, containing_any
-from vitrina.operators.ranking import descending, page, page_counts
+from vitrina.operators.ranking import descending, page, page_after, page_counts
 
 PAGE_SIZE = 50
 
@@ -99,6 +99,15 @@ def search_page(found: DataFrame, catalog: Catalog, number: int = 1, size: int =
     return page(found, _order(found, catalog), number, size)
 
 
+def search_after(
+    found: DataFrame, catalog: Catalog, last: tuple | None = None, size: int = PAGE_SIZE
+) -> DataFrame:
+    """The page behind the row whose ordering columns are ``last``; the first page without it. Works
+    for catalogues ordered by columns that hold no NULL."""
+    ties = ["id"] if catalog.newest_first != "id" and "id" in found.columns else []
+    return page_after(found, [catalog.newest_first, *ties], last, size)
+
+
 def search_counts(found: DataFrame, number: int = 1, size: int = PAGE_SIZE) -> DataFrame:
     return page_counts(found, number, size)
 

@@ -18,7 +18,7 @@ from vitrina.functions.geo import (
 )
 from vitrina.functions.numbers import mean, percent
 from vitrina.functions.text import clean_chain, clean_municipality, clean_state
-from vitrina.operators.filters import between_days, chosen, plausible_year
+from vitrina.operators.filters import between_days, chosen, plausible_years
 from vitrina.operators.lookups import one_row_per_id, with_attributes
 from vitrina.operators.quantiles import exact_quantiles
 from vitrina.operators.ranking import ascending, descending, options
@@ -45,14 +45,14 @@ def enriched_visits(
     stores: DataFrame,
     teams: DataFrame,
     clients: list[int] | None = None,
-    first_year: int = 2015,
-    last_year: int = 2026,
+    first_year: int | None = None,
+    last_year: int | None = None,
 ) -> DataFrame:
     """Started visits with usable coordinates, plus store and team attributes. Names are
-    normalised on the store table, before the join, not once per visit."""
-    located = visits.where(
+    normalised on the store table, before the join, not once per visit. Years are bounded only
+    where the caller says so."""
+    located = plausible_years(visits, "fecha_planeada", first_year, last_year).where(
         F.col("fecha_real_inicio").isNotNull()
-        & plausible_year("fecha_planeada", first_year, last_year)
         & usable("latitude_check_in")
         & usable("longitude_check_in")
         & F.col("latitude_pdv").isNotNull()

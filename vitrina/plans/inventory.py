@@ -17,11 +17,17 @@ def _mean_days():
 
 
 def inventory_kpis(stock: DataFrame) -> DataFrame:
-    return stock.agg(
+    """One row, from stock collapsed on store and product."""
+    collapsed = stock.groupBy("punto_venta_id", "producto_id").agg(
+        *[F.sum(c).alias(c) for c in ("existencia", "venta", "is_sobre_inventario", "dias_inventario")],
+        F.count("dias_inventario").alias("con_dias"),
+        F.count(F.lit(1)).alias("filas"),
+    )
+    return collapsed.agg(
         half_even(amount("existencia"), 2).alias("existencia_total"),
-        _mean_days(),
+        half_even(ratio(F.sum("dias_inventario"), F.sum("con_dias")), 1).alias(_DAYS),
         total("is_sobre_inventario").alias("sobre_inventario"),
-        percent(F.sum("is_sobre_inventario"), F.count(F.lit(1)), 1, empty=0.0).alias("pct_sobre_inventario"),
+        percent(F.sum("is_sobre_inventario"), F.sum("filas"), 1, empty=0.0).alias("pct_sobre_inventario"),
         F.countDistinct("punto_venta_id").alias("pdvs_monitoreados"),
         F.countDistinct("producto_id").alias("productos_monitoreados"),
         half_even(amount("venta"), 2).alias("venta_total"),

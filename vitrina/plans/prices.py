@@ -6,27 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.labels import COMPETITOR, OWN, price_kind
-from vitrina.functions.numbers import half_even, mean
+from vitrina.functions.numbers import half_even, mean, ratio, total
 from vitrina.operators.filters import between_days, chosen, containing
 from vitrina.operators.quantiles import exact_quantiles
 from vitrina.operators.ranking import ascending, descending, listing
 
-# Rows of the listing.
-LISTING_ROWS = 500
-
 
 def price_kpis(prices: DataFrame) -> DataFrame:
-    """One row. Rows with an unknown owner are in neither class."""
+    """One row, from prices collapsed on product, chain and owner. Rows with an unknown owner are in
+    neither class."""
+    collapsed = prices.groupBy("producto", "cadena", "is_propio").agg(
+        F.count(F.lit(1)).alias("filas"), F.sum("precio").alias("precio"), F.count("precio").alias("precios")
+    )
     own, other = F.col("is_propio") == 1, F.col("is_propio") == 0
 
     def mean_price(condition):
-        return F.coalesce(half_even(mean(F.when(condition, F.col("precio"))), 2), F.lit(0.0))
+        sums = [F.sum(F.when(condition, F.col(c))) for c in ("precio", "precios")]
+        return F.coalesce(half_even(ratio(*sums), 2), F.lit(0.0))
 
     def products(condition):
         return F.countDistinct(F.when(condition, F.col("producto")))
 
-    return prices.agg(
-        F.count(F.lit(1)).alias("total_registros"),
+    return collapsed.agg(
+        total("filas").alias("total_registros"),
         mean_price(own).alias("precio_promedio_propio"),
         mean_price(other).alias("precio_promedio_competencia"),
         products(own).alias("productos_propios"),
@@ -82,7 +84,7 @@ def active_prices(
     return kept
 
 
-def price_listing(prices: DataFrame, rows: int | None = LISTING_ROWS) -> DataFrame:
+def price_listing(prices: DataFrame, rows: int | None = None) -> DataFrame:
     columns = with_kind(prices).select(
         "producto", "categoria", "cadena", "precio", "tipo", "fecha", "promotor"
     )

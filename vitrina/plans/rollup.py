@@ -9,9 +9,9 @@ from vitrina.functions.clock import period_text
 from vitrina.functions.numbers import amount, half_up, ratio, total
 from vitrina.functions.text import or_default, report_chain
 from vitrina.operators.filters import between_months
-from vitrina.operators.lookups import with_attributes
+from vitrina.operators.lookups import unique_by_id, with_attributes
 from vitrina.operators.ranking import ascending, descending, top
-from vitrina.sources.tables import write_parquet
+from vitrina.sources.tables import drop_partitions, write_parquet
 
 GRAIN = ["cliente_id", "anio", "mes", "canal_id", "cadena_id", "producto_id"]
 
@@ -30,8 +30,19 @@ def monthly_rollup(sales: DataFrame) -> DataFrame:
 
 
 def refresh_rollup(sales: DataFrame, path: str, start: int | None = None, end: int | None = None) -> None:
-    """Recompute the months of a ``YYYYMM`` range and replace just those partitions."""
-    write_parquet(monthly_rollup(between_months(sales, start, end)), path, ("anio", "mes"))
+    """Recompute the months of a ``YYYYMM`` range and replace just those partitions. Months of the
+    range that have no sales any more are taken out of the stored table."""
+    picked = between_months(sales, start, end)
+    write_parquet(monthly_rollup(picked), path, ("anio", "mes"))
+    # One row per month: the folders of a roll-up are few whatever the sales.
+    filled = {(r["anio"], r["mes"]) for r in picked.select("anio", "mes").distinct().collect()}
+
+    def emptied(month: dict[str, str]) -> bool:
+        year, number = int(month["anio"]), int(month["mes"])
+        inside = (start is None or year * 100 + number >= start) and (end is None or year * 100 + number <= end)
+        return inside and (year, number) not in filled
+
+    drop_partitions(sales.sparkSession, path, ("anio", "mes"), emptied)
 
 
 def of_channel(rollup: DataFrame, channels: DataFrame, name: str | None) -> DataFrame:
@@ -46,15 +57,30 @@ def _rounded(c: str) -> Column:
     return half_up(F.col(c).cast("double"), 0).alias(c)
 
 
-def rollup_kpis(rollup: DataFrame) -> DataFrame:
-    """One row per client; ``ticket_promedio`` divides by the summed store counts."""
+def with_exact_stores(report: DataFrame, detail: DataFrame, keys: list[str]) -> DataFrame:
+    """``report`` with ``pdv_distinct``: the stores of ``detail`` per group, each counted once. The
+    store counts of the roll-up add up over groups; this does not, and needs the sales detail."""
+    stores = detail.select(*keys, "punto_venta_id").distinct().groupBy(*keys)
+    counts = stores.agg(F.count("punto_venta_id").alias("pdv_distinct"))
+    renamed = counts.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return report.join(renamed, same, "left").drop(*[f"_{k}" for k in keys])
+
+
+def rollup_kpis(rollup: DataFrame, detail: DataFrame | None = None) -> DataFrame:
+    """One row per client; ``ticket_promedio`` divides by the summed store counts. With ``detail`` the
+    exact store count and the ticket over it are added."""
     sums = rollup.groupBy("cliente_id").agg(
         amount("monto").alias("monto"),
         amount("piezas").alias("piezas"),
         total("pdvs").alias("pdv_activos"),
         F.countDistinct("producto_id").alias("productos_activos"),
     )
+    if detail is not None:
+        sums = with_exact_stores(sums, detail, ["cliente_id"])
+        exact = half_up(ratio(F.col("monto"), F.col("pdv_distinct")), 0).alias("ticket_exacto")
     return sums.select(
+        *(["pdv_distinct", exact] if detail is not None else []),
         "cliente_id",
         half_up(F.col("monto"), 0).alias("monto_total"),
         half_up(F.col("piezas"), 0).alias("piezas_total"),
@@ -64,17 +90,22 @@ def rollup_kpis(rollup: DataFrame) -> DataFrame:
     )
 
 
-def rollup_trend(rollup: DataFrame) -> DataFrame:
-    return (
-        rollup.groupBy("cliente_id", "anio", "mes")
-        .agg(
-            half_up(amount("monto"), 0).alias("monto"),
-            half_up(amount("piezas"), 0).alias("piezas"),
-            total("pdvs").alias("pdv"),
-        )
-        .withColumn("periodo", period_text())
-        .orderBy(*ascending("cliente_id", "anio", "mes"))
+def rollup_trend(rollup: DataFrame, detail: DataFrame | None = None) -> DataFrame:
+    """Per client and month; ``detail`` adds the exact store count."""
+    keys = ["cliente_id", "anio", "mes"]
+    sums = rollup.groupBy(*keys).agg(
+        half_up(amount("monto"), 0).alias("monto"),
+        half_up(amount("piezas"), 0).alias("piezas"),
+        total("pdvs").alias("pdv"),
     )
+    if detail is not None:
+        sums = with_exact_stores(sums, detail, keys)
+    return sums.withColumn("periodo", period_text()).orderBy(*ascending(*keys))
+
+
+def _named_stores(detail: DataFrame, dim: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Sales detail collapsed on the looked-up id and the store, with the names put on."""
+    return with_attributes(detail.select(key, "punto_venta_id").distinct(), dim, key, columns)
 
 
 def _per_id(rollup: DataFrame, key: str) -> DataFrame:
@@ -91,22 +122,35 @@ def _ranked_sums() -> list[Column]:
     ]
 
 
-def top_products(rollup: DataFrame, products: DataFrame, n: int = RANKED) -> DataFrame:
+def top_products(
+    rollup: DataFrame, products: DataFrame, n: int = RANKED, detail: DataFrame | None = None
+) -> DataFrame:
+    """Largest products by name and brand; ``detail`` adds the exact store count."""
     named = with_attributes(
         _per_id(rollup, "producto_id"), products, "producto_id", {"nombre": "nombre", "marca": "marca"}
     )
     sums = named.groupBy("nombre", "marca").agg(*_ranked_sums(), total("pdvs").alias("pdv"))
+    exact = []
+    if detail is not None:
+        stores = _named_stores(detail, products, "producto_id", {"nombre": "nombre", "marca": "marca"})
+        sums, exact = with_exact_stores(sums, stores, ["nombre", "marca"]), ["pdv_distinct"]
     labelled = sums.select(
-        or_default("nombre", "Sin nombre").alias("producto"), "marca", "monto_total", "piezas_total", "pdv"
+        or_default("nombre", "Sin nombre").alias("producto"), "marca", "monto_total", "piezas_total", "pdv", *exact
     )
     return top(labelled, "monto_total", ["producto", "marca"], n)
 
 
-def top_chains(rollup: DataFrame, chains: DataFrame, n: int = RANKED) -> DataFrame:
+def top_chains(
+    rollup: DataFrame, chains: DataFrame, n: int = RANKED, detail: DataFrame | None = None
+) -> DataFrame:
+    """Largest chains by report name; ``detail`` adds the exact store count."""
     named = with_attributes(_per_id(rollup, "cadena_id"), chains, "cadena_id", {"nombre": "nombre"})
     sums = named.groupBy(report_chain("nombre").alias("cadena")).agg(
         *_ranked_sums(), total("pdvs").alias("pdv")
     )
+    if detail is not None:
+        stores = _named_stores(detail, chains, "cadena_id", {"nombre": "nombre"})
+        sums = with_exact_stores(sums, stores.withColumn("cadena", report_chain("nombre")), ["cadena"])
     return top(sums, "monto_total", ["cadena"], n)
 
 
@@ -139,5 +183,5 @@ def same_month_by_year(rollup: DataFrame, month: int) -> DataFrame:
 def channel_options(rollup: DataFrame, channels: DataFrame) -> DataFrame:
     """Names of the channels that have sales, per client."""
     used = rollup.select("cliente_id", "canal_id").distinct()
-    names = channels.select(F.col("id").alias("canal_id"), "nombre")
+    names = unique_by_id(channels).select(F.col("id").alias("canal_id"), "nombre")
     return used.join(names, "canal_id").select("cliente_id", "nombre").distinct().orderBy("cliente_id", "nombre")

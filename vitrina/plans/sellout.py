@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.clock import period_text, year_month
-from vitrina.functions.numbers import amount, half_even, mean, total
+from vitrina.functions.numbers import amount, half_even, ratio, total
 from vitrina.operators.ranking import ascending, descending, top
 
 
@@ -26,13 +26,18 @@ def _by(sales: DataFrame, *keys: str, extra=()) -> DataFrame:
 
 
 def sellout_kpis(sales: DataFrame) -> DataFrame:
-    return sales.agg(
+    """One row. Rows collapse on store and product first, map-side; the distinct counts are taken
+    from what is left."""
+    collapsed = sales.groupBy("punto_venta_id", "producto_id").agg(
+        *[F.sum(c).alias(c) for c in ("venta", "monto", "piezas", "precio")], F.count("precio").alias("precios")
+    )
+    return collapsed.agg(
         half_even(amount("venta"), 2).alias("total_venta"),
         half_even(amount("monto"), 2).alias("total_monto"),
         total("piezas").alias("total_piezas"),
         F.countDistinct("punto_venta_id").alias("pdvs_activos"),
         F.countDistinct("producto_id").alias("productos"),
-        F.coalesce(half_even(mean("precio"), 2), F.lit(0.0)).alias("precio_promedio"),
+        F.coalesce(half_even(ratio(F.sum("precio"), F.sum("precios")), 2), F.lit(0.0)).alias("precio_promedio"),
     )
 
 

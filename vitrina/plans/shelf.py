@@ -20,9 +20,8 @@ COUNTERS = (
     "cant_sku_preagotados",
 )
 
-# Labels of the long stock-out table, rows of the summary listing, products shown.
+# Labels of the long stock-out table, products shown.
 STOCKOUT_KINDS = {"pct_agotados": "Agotados", "pct_preagotados": "Preagotados"}
-SUMMARY_ROWS = 2_000
 PRODUCTS_SHOWN = 4
 
 
@@ -103,8 +102,8 @@ def top_stores_stockouts(report: DataFrame, n: int = 10) -> DataFrame:
     return top(sums, "cant_sku_agotados", ["punto_venta"], n)
 
 
-def execution_summary(report: DataFrame, rows: int | None = SUMMARY_ROWS) -> DataFrame:
-    """Counters by store and brand. Totals are computed from the report, never from this cut."""
+def execution_summary(report: DataFrame, rows: int | None = None) -> DataFrame:
+    """Counters by store and brand; ``rows`` cuts the listing for display only."""
     names = (
         "visitas",
         "sku",
@@ -184,50 +183,36 @@ def with_levels(report: DataFrame) -> DataFrame:
     return report.withColumns(levels)
 
 
-def risk_products(risk: DataFrame, stores: DataFrame, shown: int = PRODUCTS_SHOWN) -> DataFrame:
-    """Per reported store and brand: the products seen out of stock and nearly out of stock, as
-    the first ``shown`` names and the number of further ones. Only those few names per group are
-    ever put together; the rest is counted."""
-    seen = (
-        risk.where(
-            F.col("producto_en_riesgo").isNotNull()
-            & ((F.col("cant_agotados") > 0) | (F.col("cant_preagotados") > 0))
-        )
+def products_at_risk(risk: DataFrame) -> DataFrame:
+    """Every product seen out of stock (``agotados``) or nearly so (``preagotados``), one row per
+    store, brand and product with the largest quantity of each."""
+    quantity = {c: F.coalesce(F.col(f"cant_{c}"), F.lit(0)) for c in ("agotados", "preagotados")}
+    return (
+        risk.where(F.col("producto_en_riesgo").isNotNull() & ((quantity["agotados"] > 0) | (quantity["preagotados"] > 0)))
         .groupBy("punto_venta_id", "marca", "producto_en_riesgo")
-        .agg(
-            F.max(F.coalesce(F.col("cant_agotados"), F.lit(0))).alias("agotados"),
-            F.max(F.coalesce(F.col("cant_preagotados"), F.lit(0))).alias("preagotados"),
-        )
+        .agg(*[F.max(q).alias(c) for c, q in quantity.items()])
     )
-    kinds = seen.unpivot(
-        ["punto_venta_id", "marca", "producto_en_riesgo"], ["agotados", "preagotados"], "clase", "cantidad"
-    ).where(F.col("cantidad") > 0)
-    group = ["punto_venta_id", "marca", "clase"]
-    counts = kinds.groupBy(*group).agg(F.count(F.lit(1)).alias("productos"))
-    place = Window.partitionBy(*group).orderBy("producto_en_riesgo")
-    first = (
-        kinds.withColumn("lugar", F.row_number().over(place))
-        .where(F.col("lugar") <= shown)
-        .groupBy(*group)
-        .agg(F.array_join(F.sort_array(F.collect_list("producto_en_riesgo")), ", ").alias("primeros"))
+
+
+def risk_products(risk: DataFrame, stores: DataFrame, shown: int = PRODUCTS_SHOWN) -> DataFrame:
+    """Per reported store and brand: a view of ``products_at_risk`` with the first ``shown`` names of
+    each class and the number of further ones. Names are ranked within their class in one pass over
+    the products; only the few names shown are put together, the rest is counted."""
+    kinds = ("agotados", "preagotados")
+    group = Window.partitionBy("punto_venta_id", "marca")
+    ranked = products_at_risk(risk).withColumns(
+        {f"lugar_{c}": F.sum((F.col(c) > 0).cast("int")).over(group.orderBy("producto_en_riesgo")) for c in kinds}
     )
 
-    def of(kind: str, value: str):
-        return F.max(F.when(F.col("clase") == kind, F.col(value)))
+    def names(c: str):
+        first = (F.col(c) > 0) & (F.col(f"lugar_{c}") <= shown)
+        listed = F.sort_array(F.collect_list(F.when(first, F.col("producto_en_riesgo"))))
+        return F.when(F.count_if(F.col(c) > 0) > 0, F.array_join(listed, ", ")).alias(c)
 
-    def more(kind: str):
-        return F.greatest(F.coalesce(of(kind, "productos"), F.lit(0)) - shown, F.lit(0))
+    def more(c: str):
+        return F.greatest(F.count_if(F.col(c) > 0) - shown, F.lit(0)).alias(f"{c}_mas")
 
-    lists = (
-        counts.join(first, group)
-        .groupBy("punto_venta_id", "marca")
-        .agg(
-            of("agotados", "primeros").alias("agotados"),
-            more("agotados").alias("agotados_mas"),
-            of("preagotados", "primeros").alias("preagotados"),
-            more("preagotados").alias("preagotados_mas"),
-        )
-    )
+    lists = ranked.groupBy("punto_venta_id", "marca").agg(*[x for c in kinds for x in (names(c), more(c))])
     reported = stores.select(F.col("pdv_id").alias("punto_venta_id"), "marca").distinct()
     return lists.join(reported, ["punto_venta_id", "marca"], "left_semi")
 

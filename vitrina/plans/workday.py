@@ -24,8 +24,8 @@ from vitrina.functions.clock import (
 from vitrina.functions.labels import VISIT_LEVELS, is_supervisor, level
 from vitrina.functions.numbers import half_even, half_up, mean, percent
 from vitrina.functions.text import or_default
-from vitrina.operators.filters import chosen, plausible_year
-from vitrina.operators.lookups import with_attributes
+from vitrina.operators.filters import chosen, plausible_years
+from vitrina.operators.lookups import unique_by_id, with_attributes
 from vitrina.operators.ranking import ascending
 
 # Default limits of the reports.
@@ -66,19 +66,25 @@ def excluded_users(
     """Reps left out of the reports: more than ``busy_limit`` visits on any day, or a dotted name."""
     per_day = visits.where(F.col("usuario_id").isNotNull()).groupBy(*REP, "fecha_planeada").count()
     busy = per_day.groupBy(*REP).agg(F.max("count").alias("n")).where(F.col("n") > busy_limit)
-    named = users.where(F.col("username").contains(".")).select(
+    named = unique_by_id(users).where(F.col("username").contains(".")).select(
         "cliente_id", F.col("id").alias("usuario_id")
     )
     return busy.select(*REP).union(named).distinct()
 
 
+def _without(visits: DataFrame, excluded: DataFrame) -> DataFrame:
+    """Visits of known reps that are not excluded. A NULL client is a client of its own here, as it
+    is in every grouping."""
+    gone = excluded.select(F.col("cliente_id").alias("_cliente"), F.col("usuario_id").alias("_usuario"))
+    same = (F.col("usuario_id") == F.col("_usuario")) & F.col("cliente_id").eqNullSafe(F.col("_cliente"))
+    return visits.where(F.col("usuario_id").isNotNull()).join(gone, same, "left_anti")
+
+
 def clean_visits(
     visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY
 ) -> DataFrame:
     """Visit rows of counted reps with rep and team attributes and the minutes spent in store."""
-    counted = visits.where(F.col("usuario_id").isNotNull()).join(
-        excluded_users(visits, users, busy_limit), REP, "left_anti"
-    )
+    counted = _without(visits, excluded_users(visits, users, busy_limit))
     named = with_attributes(
         counted, users, "usuario_id", {"username": "username", "user_real_name": "user_real_name"}
     )
@@ -148,7 +154,7 @@ def _counted(collapsed: DataFrame, users: DataFrame, busy_limit: int) -> DataFra
             "_cliente": "cliente_id",
         },
     )
-    own = F.col("_cliente") == F.col("cliente_id")
+    own = F.col("_cliente").eqNullSafe(F.col("cliente_id"))
     return named.where(~_is_system_name("username", own)).drop("_cliente")
 
 
@@ -315,8 +321,9 @@ def rep_status(reps: DataFrame) -> DataFrame:
     team = reps.groupBy("cliente_id", "entidad").agg(
         F.count(F.lit(1)).alias("promotores"),
         percent(F.sum("realizadas_total"), F.sum("plan"), 0, half_even, empty=0.0).alias("pct_equipo"),
-    )
-    return reps.join(team, ["cliente_id", "entidad"]).select(
+    ).withColumnsRenamed({"cliente_id": "_cliente", "entidad": "_entidad"})
+    same = F.col("cliente_id").eqNullSafe(F.col("_cliente")) & F.col("entidad").eqNullSafe(F.col("_entidad"))
+    return reps.join(team, same, "left").select(
         *REP,
         "username",
         "entidad",
@@ -358,9 +365,7 @@ def itinerary(
     """Per day and rep: entry, exit, planned, done, stores and off-route visits."""
     # Store visits of a system account are unbounded, so those reps go first; what is left is at
     # most ``busy_limit`` rows per rep and day.
-    counted = _collapsed(visits, "punto_venta_id").join(
-        excluded_users(visits, users, busy_limit), REP, "left_anti"
-    )
+    counted = _collapsed(_without(visits, excluded_users(visits, users, busy_limit)), "punto_venta_id")
     in_team = with_attributes(counted, _team_names(teams), "cuadrilla_id", {"entidad": "entidad"})
     named = with_attributes(
         in_team, users, "usuario_id", {"username": "username", "user_real_name": "user_real_name"}
@@ -409,10 +414,13 @@ def itinerary_totals(
     )
 
 
-def last_activity_day(visits: DataFrame, first_year: int = 2015, last_year: int = 2026) -> DataFrame:
-    """Last planned day with a plausible year and the first day of its month, per client."""
+def last_activity_day(
+    visits: DataFrame, first_year: int | None = None, last_year: int | None = None
+) -> DataFrame:
+    """Last planned day, within the years given, and the first day of its month, per client."""
     return (
-        visits.where(plausible_year("fecha_planeada", first_year, last_year))
+        plausible_years(visits, "fecha_planeada", first_year, last_year)
+        .where(F.col("fecha_planeada").isNotNull())
         .groupBy("cliente_id")
         .agg(F.max("fecha_planeada").alias("ultima"))
         .withColumn("desde", F.trunc("ultima", "MM"))

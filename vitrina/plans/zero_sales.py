@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrina.functions.numbers import amount, percent
+from vitrina.functions.numbers import amount, percent, total
 from vitrina.functions.text import or_default
 from vitrina.operators.ranking import ascending, fixed_order, listing
 
-# Rows of the listing, brand order of the report sections.
-LISTING_ROWS = 1_000
+# Brand order of the report sections.
 BRAND_ORDER = ["FAGE", "LIFEWAY", "CALIFIA", "FORAGER", "OTRA"]
 OTHER_BRAND = "OTRA"
 
@@ -25,10 +24,14 @@ def _not_executed():
 
 
 def zero_sales_kpis(alerts: DataFrame) -> DataFrame:
-    return alerts.agg(
-        F.count(F.lit(1)).alias("total_registros"),
-        _executed().alias("ejecutadas"),
-        _not_executed().alias("pendientes"),
+    """One row, from alerts collapsed on brand and store."""
+    collapsed = alerts.groupBy("marca", "punto_venta").agg(
+        F.count(F.lit(1)).alias("filas"), _executed().alias("si"), _not_executed().alias("no")
+    )
+    return collapsed.agg(
+        total("filas").alias("total_registros"),
+        total("si").alias("ejecutadas"),
+        total("no").alias("pendientes"),
         F.countDistinct("marca").alias("marcas_afectadas"),
         F.countDistinct("punto_venta").alias("pdvs_afectados"),
     ).withColumn("pct_ejecutado", percent("ejecutadas", "total_registros", empty=0.0))
@@ -47,7 +50,7 @@ def zero_sales_status(alerts: DataFrame) -> DataFrame:
     return alerts.agg(_executed().alias("ejecutada"), _not_executed().alias("pendiente"))
 
 
-def zero_sales_listing(alerts: DataFrame, rows: int | None = LISTING_ROWS) -> DataFrame:
+def zero_sales_listing(alerts: DataFrame, rows: int | None = None) -> DataFrame:
     columns = alerts.select(
         "marca",
         "producto",

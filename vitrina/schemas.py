@@ -32,7 +32,8 @@ SCHEMAS: dict[str, str] = {
         " fecha_creacion TIMESTAMP_NTZ, fecha_actualizacion TIMESTAMP_NTZ, status BOOLEAN"
     ),
     "punto_venta": (
-        "id BIGINT, sucursal STRING, cadena_str STRING, estado_str STRING, municipio_str STRING"
+        "id BIGINT, nombre STRING, sucursal STRING, cadena_str STRING, estado_str STRING,"
+        " municipio_str STRING"
     ),
     "cadena": "id BIGINT, nombre STRING",
     "actividad_geo": (
@@ -72,7 +73,7 @@ SCHEMAS: dict[str, str] = {
         " pct_quiebre DOUBLE"
     ),
     "ejecucion": (
-        "id BIGINT, fecha TIMESTAMP_NTZ, promotor STRING, punto_venta_id BIGINT,"
+        "id BIGINT, fecha TIMESTAMP_NTZ, promotor STRING, punto_venta_id BIGINT, cadena_id BIGINT,"
         " nombre_marca STRING, cadena STRING, punto_venta STRING, municipio STRING, estado STRING,"
         " cant_sku INT, cant_agotados INT, cant_preagotados INT, con_agotados BOOLEAN,"
         " con_preagotados BOOLEAN, planograma BOOLEAN, negocicacion BOOLEAN,"

@@ -1,8 +1,9 @@
 """Database dump text to typed rows, with built-in expressions only.
 
-A dump is read one statement per record (statements end in ``;`` and a newline; newlines inside
+A dump is read one statement per record (statements end in ``;`` and a line end; newlines inside
 text values are escaped), so a CREATE TABLE block stays together, no line order is needed and the
-file is split between tasks.
+file is split between tasks. Both kinds of line ends are known. Values are matched to columns by
+name: by the list of the INSERT statement, else by the table's CREATE TABLE.
 """
 
 from __future__ import annotations
@@ -20,13 +21,26 @@ _FIELD = rf"({_BINARY}|{_TEXT}|NULL|{_NUMBER})"
 _COMMENTS = r"\A(?:\s++|--[^\n]*+(?:\n|\z))++"
 _TABLE = r"(?s)^(?:CREATE TABLE(?: IF NOT EXISTS)?|INSERT INTO) `(\w+)`"
 _COLUMN = r"(?m)^\s+`(\w+)`\s"
-_VALUES = r"(?s)^INSERT INTO `\w+`(?: \([^)]*\))? VALUES\s*(.+)$"
+_VALUES = r"(?s)^INSERT INTO `\w+`(?:\s*\([^)]*\))?\s+VALUES\s*(.+)$"
+_LISTED = r"(?s)^INSERT INTO `\w+`\s*\(([^)]*)\)\s+VALUES"
+_SECOND = r";\s*(?:INSERT INTO|CREATE TABLE(?: IF NOT EXISTS)?) `"
+# Escape sequences of dump text; any other escaped character stands for itself.
+_ESCAPES = {"n": "\n", "r": "\r", "t": "\t", "0": "\0", "Z": "\x1a", "b": "\b"}
 
 
-def read_statements(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def line_end(spark: SparkSession, path: str) -> str:
+    """The line end of the first line of a dump."""
+    first = spark.read.option("lineSep", "\n").text(path).first()
+    return "\r\n" if first is not None and first["value"].endswith("\r") else "\n"
+
+
+def read_statements(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", newline: str | None = None
+) -> DataFrame:
     """One ``statement`` per record. The reader passes bytes through untouched, so any encoding
-    can be decoded afterwards."""
-    raw = spark.read.option("lineSep", ";\n").text(path)
+    can be decoded afterwards. ``newline`` is looked up in the first line where not given."""
+    newline = newline or line_end(spark, path)
+    raw = spark.read.option("lineSep", f";{newline}").text(path)
     text = F.decode(F.col("value").cast("binary"), encoding) if encoding != "UTF-8" else F.col("value")
     return raw.select(text.alias("statement"))
 
@@ -53,10 +67,23 @@ def declared_columns(routed: DataFrame) -> DataFrame:
     )
 
 
+def _unescaped(text: Column) -> Column:
+    """Escape sequences undone from left to right: the text is cut into sequences and what lies
+    between them, and each piece is replaced on its own."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)\\.|[^\\]++"), F.lit(0))
+    known = F.create_map(*[F.lit(x) for pair in _ESCAPES.items() for x in pair])
+
+    def plain(piece: Column) -> Column:
+        escaped = F.substring(piece, 2, 1)
+        return F.when(piece.startswith("\\"), F.coalesce(F.try_element_at(known, escaped), escaped)).otherwise(piece)
+
+    return F.when(text.contains("\\"), F.array_join(F.transform(pieces, plain), "")).otherwise(text)
+
+
 def _value(field: Column) -> Column:
     """Text of one field: NULL, 0/1 for a binary byte, unescaped text, or the number as is."""
     inner = F.regexp_extract(field, r"(?s)^[^']*'(.*)'$", 1)
-    plain = F.replace(F.replace(inner, F.lit("\\'"), F.lit("'")), F.lit("\\\\"), F.lit("\\"))
+    plain = _unescaped(inner)
     return (
         F.when(field == "NULL", F.lit(None))
         .when(
@@ -68,24 +95,42 @@ def _value(field: Column) -> Column:
     )
 
 
+def _inserts(routed: DataFrame, table: str) -> DataFrame:
+    return routed.where((F.col("tabla") == table) & F.col("statement").startswith("INSERT INTO"))
+
+
 def parsed_rows(routed: DataFrame, table: str) -> DataFrame:
-    """One row per value tuple of the table's INSERT statements, fields still text."""
+    """One row per value tuple of the table's INSERT statements: ``fields``, still text, and
+    ``columnas``, the statement's own column list (NULL where it has none)."""
+    listed = F.regexp_extract("statement", _LISTED, 1)
+    names = F.when(listed != "", F.regexp_extract_all(listed, F.lit(r"\w+"), F.lit(0)))
     values = F.regexp_extract("statement", _VALUES, 1)
-    tuples = (
-        routed.where((F.col("tabla") == table) & F.col("statement").startswith("INSERT INTO"))
-        .select(F.explode(F.regexp_extract_all(values, F.lit(_ROW), F.lit(1))).alias("row"))
+    tuples = _inserts(routed, table).select(
+        names.alias("columnas"), F.explode(F.regexp_extract_all(values, F.lit(_ROW), F.lit(1))).alias("row")
     )
     fields = F.regexp_extract_all(F.col("row"), F.lit(_FIELD), F.lit(1))
-    return tuples.select(F.transform(fields, _value).alias("fields"))
+    return tuples.select("columnas", F.transform(fields, _value).alias("fields"))
+
 
+def table_columns(routed: DataFrame, table: str) -> list[str] | None:
+    """Column names of the table's CREATE TABLE, or None where the dump has none."""
+    found = declared_columns(routed).where(F.col("tabla") == table).select("columnas").first()
+    return list(found["columnas"]) if found else None
 
-def load_rows(routed: DataFrame, table: str, schema: StructType | str) -> DataFrame:
-    """Typed rows of one table. Rows with another number of fields are left out (see
-    ``rejected_rows``); a value that does not parse as its type becomes NULL."""
+
+def load_rows(
+    routed: DataFrame, table: str, schema: StructType | str, columns: list[str] | None = None
+) -> DataFrame:
+    """Typed rows of one table, values matched to ``schema`` by column name. A statement without a
+    column list follows ``columns`` (see ``table_columns``), or else the schema. Columns a statement
+    does not list are NULL. Rows whose number of values is not that of their columns are left out
+    (see ``rejected_rows``); a value that does not parse as its type becomes NULL."""
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    rows = parsed_rows(routed, table).where(F.size("fields") == len(schema))
-    return rows.select(*[_typed(F.col("fields")[i], f).alias(f.name) for i, f in enumerate(schema)])
+    names = F.coalesce("columnas", F.array(*[F.lit(c) for c in columns or [f.name for f in schema]]))
+    rows = parsed_rows(routed, table).withColumn("columnas", names).where(F.size("fields") == F.size("columnas"))
+    by_name = rows.select(F.map_from_arrays("columnas", "fields").alias("m"))
+    return by_name.select(*[_typed(F.try_element_at("m", F.lit(f.name)), f).alias(f.name) for f in schema])
 
 
 def _typed(value: Column, field) -> Column:
@@ -99,6 +144,14 @@ def _typed(value: Column, field) -> Column:
 
 def rejected_rows(routed: DataFrame, table: str, n_columns: int) -> DataFrame:
     """One row: how many tuples were read and how many had the wrong number of fields."""
+    expected = F.coalesce(F.size("columnas"), F.lit(n_columns))
     return parsed_rows(routed, table).agg(
-        F.count(F.lit(1)).alias("leidas"), F.count_if(F.size("fields") != n_columns).alias("descartadas")
+        F.count(F.lit(1)).alias("leidas"), F.count_if(F.size("fields") != expected).alias("descartadas")
     )
+
+
+def merged_statements(routed: DataFrame) -> DataFrame:
+    """One row: how many records hold more than one statement, which happens when the line end given
+    to the reader is not the dump's. They must not be loaded."""
+    outside = F.regexp_replace("statement", _TEXT, "''")
+    return routed.agg(F.count_if(outside.rlike(_SECOND)).alias("varias"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+
 def read_view(
     spark: SparkSession,
     url: str,
@@ -28,11 +30,32 @@ def read_view(
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+CORRUPT = "_corrupt_record"
+
+
+def read_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """``columns`` of CSV files with a header, by name and as text; the cleaning jobs do the typing.
+    Columns may stand in any order; files of one read share it, else the read fails. Line breaks
+    inside quotes need ``multi_line``; files are then read whole, not split. A column the files lack is
+    NULL. ``_corrupt_record`` holds the text of a row with too many or too few fields."""
+    reader = (
+        spark.read.option("header", True)
+        .option("escape", '"')
+        .option("multiLine", multi_line)
+        .option("columnPruning", False)  # else a short row goes unnoticed when its last column is not read
+    )
+    header = reader.csv(path).columns  # the first line only; nothing is inferred
+    schema = StructType([StructField(c, StringType()) for c in [*header, CORRUPT]])
+    rows = reader.option("columnNameOfCorruptRecord", CORRUPT).option("enforceSchema", False).schema(schema).csv(path)
+    missing = [c for c in columns if c not in header]
+    return rows.withColumns({c: F.lit(None).cast("string") for c in missing}).select(*columns, CORRUPT)
 
 
-def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV with a header, every column as text; the cleaning jobs do the typing. Quoted fields
-    may span lines only with ``multiLine``, which would make files unsplittable, so it is off."""
-    schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.option("header", True).option("escape", '"').schema(schema).csv(path)
+def corrupt_rows(rows: DataFrame) -> DataFrame:
+    """One row: how many rows were read and how many had the wrong number of fields."""
+    # The reader wants a second column to be read beside the corrupt text.
+    corrupt = F.col(CORRUPT).isNotNull() | (F.length(rows.columns[0]) < 0)
+    return rows.agg(F.count(F.lit(1)).alias("leidas"), F.count_if(corrupt).alias("corruptas"))

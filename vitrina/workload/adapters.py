@@ -57,20 +57,31 @@ def _store() -> Column:
     return F.get_json_object("props", "$.k").cast("bigint")
 
 
+def repeated(dim: DataFrame) -> DataFrame:
+    """A dimension some of whose rows come twice."""
+    return dim.union(dim.where(F.col("id") % 3 == 0))
+
+
 def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some visits have no client, some are planned in 2027, some last five days."""
     e = table(spark, sf_dir, "events").withColumn("store", _store())
     store = F.col("store")
     started = F.col("event_type") != "error"
-    seconds = F.when(F.col("event_id") % 41 == 0, -600.0).otherwise(F.floor(F.col("value") * 60))
+    seconds = (
+        F.when(F.col("event_id") % 41 == 0, -600.0)
+        .when(F.col("event_id") % 307 == 0, 432_000.0)
+        .otherwise(F.floor(F.col("value") * 60))
+    )
+    later = F.when(F.col("event_id") % 499 == 0, 1_096).otherwise(0)
     end = F.col("ts") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     lat, lon = store / 100.0 + 19.0, -store / 100.0 - 99.0
     nan = F.lit(float("nan"))
     return e.select(
-        (F.col("user_id") % 4).alias("cliente_id"),
+        _null_when(F.col("event_id") % 211 == 0, F.col("user_id") % 4).alias("cliente_id"),
         _null_when(F.col("event_id") % 97 == 0, F.col("user_id")).alias("usuario_id"),
         ((F.col("user_id") + F.when(F.col("event_id") % 50 == 0, 1).otherwise(0)) % 26).alias("cuadrilla_id"),
         _null_when(F.col("event_id") % 53 == 0, store).alias("punto_venta_id"),
-        F.col("ts").cast("date").alias("fecha_planeada"),
+        F.date_add(F.col("ts").cast("date"), later).alias("fecha_planeada"),
         F.when(started, F.col("ts")).alias("fecha_real_inicio"),
         F.when(started, end).alias("fecha_real_final"),
         (F.col("event_type") == "signup").alias("is_tarea"),
@@ -146,6 +157,16 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def absence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("nombre"))
+
+
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("id"), F.col("p_brand").alias("clave"), F.col("p_type").alias("descripcion")
+    )
+
+
 def workdays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("id"),
@@ -255,6 +276,42 @@ def executions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _supervisor() -> Column:
+    return F.concat(F.lit("Sup "), (F.col("l_suppkey") % 7).cast("string"))
+
+
+def brand_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(
+        _line_id().alias("id"),
+        _brand().alias("nombre_marca"),
+        _rep().alias("user_real_name"),
+        _supervisor().alias("supervisor"),
+    )
+
+
+def store_executions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    note = F.when(F.col("l_returnflag") == "R", F.lit("Falta de producto")).otherwise(F.lit("Sin novedad"))
+    return _lines(spark, sf_dir).select(
+        _line_id().alias("id"), _rep().alias("user_real_name"), _supervisor().alias("supervisor"), note.alias("incidencias")
+    )
+
+
+def competition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(
+        _line_id().alias("id"),
+        _brand().alias("marca"),
+        _rep().alias("user_real_name"),
+        _supervisor().alias("supervisor"),
+        F.when(F.col("l_discount") > 0.05, F.lit("Promo 2x1")).otherwise(F.lit("Descuento")).alias("tipo_promo"),
+    )
+
+
+def raw_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select(
+        _line_id().alias("id"), _rep().alias("user_real_name"), _supervisor().alias("supervisor")
+    )
+
+
 def stockouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brand_report(spark, sf_dir).select(
         F.date_format("fecha", "yyyy-MM").alias("anio_mes"),
@@ -465,6 +522,42 @@ def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.unionByName(customers).unionByName(nations)
 
 
+def dump_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dump statements with a CREATE TABLE, a column list in another order and escaped text."""
+    create = (
+        "-- dump\r\nCREATE TABLE `supplier` (\r\n  `id` bigint NOT NULL,\r\n  `nombre` text,\r\n  `nota` text,\r\n"
+        "  PRIMARY KEY (`id`)\r\n) ENGINE=InnoDB"
+    )
+    number, even = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 2 == 0
+    note = F.concat(F.lit("'uno\\ndos\\t\\\"tres\\\" \\\\n; "), number, F.lit("'"))
+    name = F.concat(F.lit("'"), F.col("s_name"), F.lit("'"))
+    listed = F.concat(F.lit("INSERT INTO `supplier` (`nota`, `id`, `nombre`) VALUES ("), F.concat_ws(",", note, number, name), F.lit(")"))
+    bare = F.concat(F.lit("INSERT INTO `supplier` VALUES ("), F.concat_ws(",", number, name, F.lit("NULL")), F.lit(")"))
+    rows = table(spark, sf_dir, "supplier").select(F.when(even, listed).otherwise(bare).alias("value"))
+    other = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("INSERT INTO `nation` VALUES ("), F.col("n_nationkey").cast("string"), F.lit(",'x')")).alias("value")
+    )
+    head = table(spark, sf_dir, "region").where(F.col("r_regionkey") == 0).select(F.lit(create).alias("value"))
+    return head.union(rows).union(other)
+
+
+def csv_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").cast("string").alias("id"),
+        F.col("p_name").alias("nombre"),
+        F.concat(F.lit('dijo "si",\n'), F.col("p_brand")).alias("nota"),
+    )
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one CSV file with a header; every fifth row lacks its second field."""
+    number = F.col("p_partkey").cast("string")
+    line = F.when(F.col("p_partkey") % 5 == 0, number).otherwise(F.concat_ws(",", number, "p_name"))
+    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), line.alias("value"))
+    head = table(spark, sf_dir, "region").where(F.col("r_regionkey") == 0).select(F.lit(-1).alias("k"), F.lit("id,nombre").alias("value"))
+    return head.union(lines).coalesce(1).sortWithinPartitions("k").select("value")
+
+
 def _day_text() -> Column:
     return F.when(F.col("l_linenumber") == 3, "sin fecha").otherwise(F.date_format("l_shipdate", "yyyy-MM-dd"))
 

@@ -2,29 +2,14 @@
 
 from __future__ import annotations
 
-from vitrina.functions.place_names import (
-    BROKEN_TEXT,
-    CHAINS_AT_INGEST,
-    CHAINS_IN_REPORTS,
-    MUNICIPALITIES,
-    STATES,
-)
-from vitrina.workload.adapters import BUSY_LIMIT
-
-
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def _repaired(column: str) -> str:
-    for bad, good in BROKEN_TEXT:
-        column = f"replace({column}, {_quoted(bad)}, {_quoted(good)})"
-    return column
-
-
-def _case(key: str, names: dict[str, str], rest: str) -> str:
-    whens = " ".join(f"WHEN {key} = {_quoted(k)} THEN {_quoted(v)}" for k, v in names.items())
-    return f"CASE {whens} {rest} END"
+def _spelled(names: dict[str, str | None]) -> str:
+    """A table of raw and clean spellings."""
+    rows = ", ".join(f"({_quoted(k)}, {_quoted(v) if v is not None else 'NULL'})" for k, v in names.items())
+    return f"SELECT * FROM (VALUES {rows}) AS t(raw, clean)"
 
 
 def _even(value: str, digits: int) -> str:
@@ -38,11 +23,11 @@ def _pct(num: str, den: str, digits: int = 1, empty: str | None = None) -> str:
 
 def _hhmm(seconds: str) -> str:
     m = f"CAST(FLOOR(({seconds}) / 60) AS BIGINT)"
-    return f"LPAD(CAST({m} // 60 AS VARCHAR), 2, '0') || ':' || LPAD(CAST({m} % 60 AS VARCHAR), 2, '0')"
+    return f"printf('%02d:%02d', {m} // 60, {m} % 60)"
 
 
 def _minutes(text: str) -> str:
-    return f"(CAST(substr({text}, 1, 2) AS INT) * 60 + CAST(substr({text}, 4, 2) AS INT))"
+    return f"(CAST(split_part({text}, ':', 1) AS INT) * 60 + CAST(split_part({text}, ':', 2) AS INT))"
 
 
 def _mean_hhmm(text: str) -> str:
@@ -56,19 +41,26 @@ def _cycle(key: str, values: list[str | None]) -> str:
     return f"CASE {key} % {len(values)} {whens} END"
 
 
+_USUAL = "us_jornada BETWEEN 1 AND 57600000000"
+
+
+def _share(condition: str) -> str:
+    return f"ROUND(100.0 * COUNT(*) FILTER ({condition}) / NULLIF(COUNT(*) FILTER (realizadas > 0), 0), 0)"
+
+
 _K = "CAST(json_extract_string(props, '$.k') AS BIGINT)"
 
 CTES: dict[str, str] = {
     # field operations
     "visits": f"""
-        SELECT user_id % 4 AS cliente_id,
+        SELECT CASE WHEN event_id % 211 <> 0 THEN user_id % 4 END AS cliente_id,
                CASE WHEN event_id % 97 <> 0 THEN user_id END AS usuario_id,
                (user_id + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END) % 26 AS cuadrilla_id,
                CASE WHEN event_id % 53 <> 0 THEN {_K} END AS punto_venta_id,
-               CAST(ts AS DATE) AS dia,
+               CAST(ts AS DATE) + CASE WHEN event_id % 499 = 0 THEN 1096 ELSE 0 END AS dia,
                CASE WHEN event_type <> 'error' THEN ts END AS inicio,
                CASE WHEN event_type <> 'error' THEN ts + to_microseconds(1000000 * CAST(
-                   CASE WHEN event_id % 41 = 0 THEN -600 ELSE floor(value * 60) END AS BIGINT)) END AS fin,
+                   CASE WHEN event_id % 41 = 0 THEN -600 WHEN event_id % 307 = 0 THEN 432000 ELSE floor(value * 60) END AS BIGINT)) END AS fin,
                event_type = 'signup' AS is_tarea,
                event_type = 'view' AS is_no_planeada,
                CASE WHEN event_id % 89 = 0 THEN 'nan'::DOUBLE
@@ -102,74 +94,88 @@ CTES: dict[str, str] = {
                {_cycle("id", ["CDMX", "Nuevo LeÃ³n", "S/A", "09", "12345", "YUCATAN", "MÃ©xico", " Puebla ", None, "QuerÃ©taro"])} AS estado_str,
                {_cycle("id", ["BENITO JUAREZ", "CuauhtÃ©moc", "S/A", "nan", "Cancun", "LeÃ³n", None, "Ãlvaro ObregÃ³n"])} AS municipio_str
         FROM (SELECT DISTINCT {_K} AS id FROM events)""",
-    "excluded": f"""
-        SELECT cliente_id, usuario_id FROM (
-            SELECT cliente_id, usuario_id, dia, COUNT(*) AS n FROM visits
-            WHERE usuario_id IS NOT NULL GROUP BY ALL)
-        GROUP BY cliente_id, usuario_id HAVING MAX(n) > {BUSY_LIMIT}
+    "per_day": """
+        SELECT cliente_id, usuario_id, dia, COUNT(*) AS n FROM visits
+        WHERE usuario_id IS NOT NULL GROUP BY cliente_id, usuario_id, dia""",
+    "excluded": """
+        SELECT DISTINCT cliente_id, usuario_id FROM per_day WHERE n > 6
         UNION
-        SELECT cliente_id, id FROM users WHERE username LIKE '%.%'""",
+        SELECT cliente_id, id FROM users WHERE contains(username, '.')""",
+    "stays": """
+        SELECT v.*, epoch_us(v.inicio) AS a, epoch_us(v.fin) AS b
+        FROM visits v ANTI JOIN excluded x
+          ON x.usuario_id = v.usuario_id AND x.cliente_id IS NOT DISTINCT FROM v.cliente_id
+        WHERE v.usuario_id IS NOT NULL""",
     "clean": """
-        SELECT v.*, u.username, u.user_real_name, t.entidad
-        FROM visits v
-        LEFT JOIN users u ON u.id = v.usuario_id
-        LEFT JOIN team_names t ON t.id = v.cuadrilla_id
-        WHERE v.usuario_id IS NOT NULL
-          AND NOT EXISTS (SELECT 1 FROM excluded x
-                          WHERE x.usuario_id = v.usuario_id AND x.cliente_id = v.cliente_id)""",
+        SELECT s.*, u.username, u.user_real_name, t.entidad
+        FROM stays s LEFT JOIN users u ON u.id = s.usuario_id LEFT JOIN team_names t ON t.id = s.cuadrilla_id""",
+    "spans": """
+        SELECT cliente_id, usuario_id, username, user_real_name, entidad, dia, COUNT(*) AS visitas, COUNT(a) AS hechas,
+               COUNT(*) FILTER (is_tarea) AS tareas, COUNT(*) FILTER (is_tarea AND a IS NOT NULL) AS tareas_hechas,
+               MIN(a % 86400000000) AS desde, MAX(b % 86400000000) AS hasta,
+               NULLIF(GREATEST(MAX(b) - MIN(a), 0), 0) AS largo, COALESCE(SUM(b - a) FILTER (b > a), 0)::BIGINT AS dentro
+        FROM clean GROUP BY ALL""",
     "days": """
-        SELECT cliente_id, usuario_id, username, user_real_name, entidad, dia,
-               COUNT(*) AS planeadas, COUNT(inicio) AS realizadas,
-               COUNT(CASE WHEN is_tarea AND inicio IS NOT NULL THEN 1 END) AS tareas_realizadas,
-               COUNT(CASE WHEN is_tarea THEN 1 END) AS tareas_planeadas,
-               MIN(epoch_us(inicio) % 86400000000) AS us_inicio,
-               MAX(epoch_us(fin) % 86400000000) AS us_fin,
-               CASE WHEN MAX(fin) > MIN(inicio)
-                    THEN epoch_us(MAX(fin)) - epoch_us(MIN(inicio)) END AS us_jornada,
-               LEAST(CAST(SUM(CASE WHEN fin > inicio THEN epoch_us(fin) - epoch_us(inicio) ELSE 0 END) AS BIGINT),
-                     CASE WHEN MAX(fin) > MIN(inicio)
-                          THEN epoch_us(MAX(fin)) - epoch_us(MIN(inicio)) END) AS us_en_pdv
-        FROM clean GROUP BY cliente_id, usuario_id, username, user_real_name, entidad, dia""",
+        SELECT cliente_id, usuario_id, username, user_real_name, entidad, dia, visitas AS planeadas, hechas AS realizadas,
+               tareas_hechas AS tareas_realizadas, tareas AS tareas_planeadas, desde AS us_inicio, hasta AS us_fin,
+               largo AS us_jornada, LEAST(dentro, largo) AS us_en_pdv FROM spans""",
     "day_facts": """
-        SELECT cliente_id, usuario_id, username, user_real_name, entidad, dia,
-               planeadas, realizadas, tareas_realizadas, tareas_planeadas,
-               us_inicio / 1e6 AS seg_inicio, us_fin / 1e6 AS seg_fin,
+        SELECT * EXCLUDE (us_inicio, us_fin, us_jornada, us_en_pdv), us_inicio / 1e6 AS seg_inicio, us_fin / 1e6 AS seg_fin,
                us_jornada / 3.6e9 AS horas_jornada, us_en_pdv / 3.6e9 AS horas_en_pdv
         FROM days""",
     "reps": f"""
-        SELECT cliente_id, usuario_id, username, user_real_name,
-               COALESCE(entidad, 'Sin entidad') AS entidad,
-               COUNT(DISTINCT CASE WHEN realizadas > 0 THEN dia END) AS dias_activos,
-               COUNT(CASE WHEN realizadas = 0 AND planeadas > 0 THEN 1 END) AS ausencias,
-               CAST(SUM(tareas_realizadas) AS BIGINT) AS tareas_realizadas,
-               CAST(SUM(tareas_planeadas) AS BIGINT) AS tareas_planeadas,
-               {_hhmm("AVG(CASE WHEN realizadas > 0 THEN us_inicio END) / 1e6")} AS hora_inicio,
-               ROUND(COUNT(CASE WHEN us_inicio <= 28800000000 AND realizadas > 0 THEN 1 END) * 100.0
-                     / NULLIF(COUNT(CASE WHEN realizadas > 0 THEN 1 END), 0), 0) AS pct_inicio,
-               {_hhmm("AVG(CASE WHEN realizadas > 0 THEN us_fin END) / 1e6")} AS hora_fin,
-               ROUND(COUNT(CASE WHEN us_jornada >= 28800000000 THEN 1 END) * 100.0
-                     / NULLIF(COUNT(CASE WHEN realizadas > 0 THEN 1 END), 0), 0) AS pct_fin,
-               {_hhmm("AVG(CASE WHEN us_jornada > 0 AND us_jornada <= 57600000000 THEN us_jornada END) / 1e6")} AS t_laborado,
-               {_hhmm("AVG(CASE WHEN us_jornada > 0 AND us_jornada <= 57600000000 THEN us_jornada - us_en_pdv END) / 1e6")} AS t_traslado,
-               ROUND(AVG(CASE WHEN us_jornada > 0 AND us_jornada <= 57600000000
-                   THEN CAST(us_jornada - us_en_pdv AS DOUBLE) / us_jornada * 100 END), 0) AS pct_traslado,
-               {_hhmm("AVG(CASE WHEN us_en_pdv > 0 THEN us_en_pdv END) / 1e6")} AS t_pdv,
-               ROUND(AVG(CASE WHEN us_jornada > 0 AND us_jornada <= 57600000000
-                   THEN CAST(us_en_pdv AS DOUBLE) / us_jornada * 100 END), 0) AS pct_pdv,
-               ROUND(AVG(CASE WHEN realizadas > 0 THEN realizadas END), 1) AS visitas_prom,
-               CAST(SUM(planeadas) AS BIGINT) AS plan,
-               CAST(SUM(realizadas) AS BIGINT) AS realizadas_total,
-               ROUND(SUM(realizadas) * 100.0 / NULLIF(SUM(planeadas), 0), 0) AS pct_visitas
-        FROM days GROUP BY cliente_id, usuario_id, username, user_real_name, days.entidad""",
+        SELECT cliente_id, usuario_id, username, user_real_name, COALESCE(d.entidad, 'Sin entidad') AS entidad,
+               COUNT(*) FILTER (realizadas > 0) AS dias_activos, COUNT(*) FILTER (realizadas = 0) AS ausencias,
+               SUM(tareas_realizadas)::BIGINT AS tareas_realizadas, SUM(tareas_planeadas)::BIGINT AS tareas_planeadas,
+               {_hhmm("AVG(us_inicio) FILTER (realizadas > 0) / 1e6")} AS hora_inicio,
+               {_share("us_inicio <= 28800000000 AND realizadas > 0")} AS pct_inicio,
+               {_hhmm("AVG(us_fin) FILTER (realizadas > 0) / 1e6")} AS hora_fin,
+               {_share("us_jornada >= 28800000000")} AS pct_fin,
+               {_hhmm(f"AVG(us_jornada) FILTER ({_USUAL}) / 1e6")} AS t_laborado,
+               {_hhmm(f"AVG(us_jornada - us_en_pdv) FILTER ({_USUAL}) / 1e6")} AS t_traslado,
+               ROUND(AVG((us_jornada - us_en_pdv)::DOUBLE / us_jornada * 100) FILTER ({_USUAL}), 0) AS pct_traslado,
+               {_hhmm("AVG(us_en_pdv) FILTER (us_en_pdv > 0) / 1e6")} AS t_pdv,
+               ROUND(AVG(us_en_pdv::DOUBLE / us_jornada * 100) FILTER ({_USUAL}), 0) AS pct_pdv,
+               ROUND(AVG(realizadas) FILTER (realizadas > 0), 1) AS visitas_prom,
+               SUM(planeadas)::BIGINT AS plan, SUM(realizadas)::BIGINT AS realizadas_total,
+               ROUND(100.0 * SUM(realizadas) / SUM(planeadas), 0) AS pct_visitas
+        FROM days d GROUP BY cliente_id, usuario_id, username, user_real_name, d.entidad""",
     "itin": f"""
         SELECT dia AS fecha, cliente_id, usuario_id, username, user_real_name AS promotor,
-               COALESCE(entidad, 'Sin entidad') AS entidad,
-               {_hhmm("MIN(epoch_us(inicio) % 86400000000) / 1e6")} AS hora_entrada,
-               {_hhmm("MAX(epoch_us(fin) % 86400000000) / 1e6")} AS hora_salida,
-               COUNT(*) AS visitas_planeadas, COUNT(inicio) AS visitas_realizadas,
-               COUNT(DISTINCT punto_venta_id) AS pdvs_visitados,
-               COUNT(CASE WHEN is_no_planeada THEN 1 END) AS fuera_de_ruta
-        FROM clean GROUP BY dia, cliente_id, usuario_id, username, user_real_name, clean.entidad""",
+               COALESCE(c.entidad, 'Sin entidad') AS entidad,
+               {_hhmm("MIN(a % 86400000000) / 1e6")} AS hora_entrada, {_hhmm("MAX(b % 86400000000) / 1e6")} AS hora_salida,
+               COUNT(*) AS visitas_planeadas, COUNT(a) AS visitas_realizadas,
+               COUNT(DISTINCT punto_venta_id) AS pdvs_visitados, COUNT(*) FILTER (is_no_planeada) AS fuera_de_ruta
+        FROM clean c GROUP BY dia, cliente_id, usuario_id, username, user_real_name, c.entidad""",
+    # The spellings that the adapters put in, and what each must become.
+    "chain_names": _spelled(
+        {" walmart ": "Walmart", "SAMS": "Sam's Club", "7 eleven": "7-Eleven", "nan": None, "": None, "Super": "Super", "la comer": "La Comer"}
+    ),
+    "state_names": _spelled(
+        {
+            "CDMX": "Ciudad de México",
+            "Nuevo LeÃ³n": "Nuevo León",
+            "S/A": None,
+            "09": None,
+            "12345": None,
+            "YUCATAN": "Yucatán",
+            "MÃ©xico": "Estado de México",
+            " Puebla ": "Puebla",
+            "QuerÃ©taro": "Querétaro",
+        }
+    ),
+    "municipality_names": _spelled(
+        {
+            "BENITO JUAREZ": "Benito Juárez",
+            "CuauhtÃ©moc": "Cuauhtémoc",
+            "S/A": None,
+            "nan": None,
+            "Cancun": "Cancún",
+            "LeÃ³n": "León",
+            "Ãlvaro ObregÃ³n": "Álvaro Obregón",
+        }
+    ),
+    "report_chains": _spelled({" walmart ": "Walmart", "SAMS CLUB": "Sam's Club", "NAN": "Sin cadena", "": "Sin cadena"}),
     "team_rows": """
         SELECT id, ruta, entidad, region, plaza FROM (
             SELECT *, ROW_NUMBER() OVER (PARTITION BY id
@@ -182,20 +188,15 @@ CTES: dict[str, str] = {
                v.inicio AS hora_checkin, v.lat_checkin, v.lon_checkin, v.lat_pdv,
                CASE WHEN NOT isnan(v.lon_pdv) THEN v.lon_pdv END AS lon_pdv,
                CAST(v.is_no_planeada AS INT) AS es_fuera_ruta, s.sucursal,
-               {_case("UPPER(TRIM(s.cadena_str))", CHAINS_AT_INGEST,
-                      "WHEN s.cadena_str IS NULL OR TRIM(s.cadena_str) IN ('', 'nan') THEN NULL ELSE TRIM(s.cadena_str)")} AS cadena,
-               {_case("TRIM(" + _repaired("s.estado_str") + ")", STATES,
-                      "WHEN s.estado_str IS NULL OR TRIM(s.estado_str) IN ('', 'nan', 'S/A')"
-                      " OR LENGTH(TRIM(s.estado_str)) <= 2 OR regexp_matches(TRIM(s.estado_str), '^[0-9]+$')"
-                      " THEN NULL ELSE TRIM(" + _repaired("s.estado_str") + ")")} AS estado,
-               {_case("TRIM(" + _repaired("s.municipio_str") + ")", MUNICIPALITIES,
-                      "WHEN s.municipio_str IS NULL OR TRIM(s.municipio_str) IN ('', 'nan', 'S/A')"
-                      " THEN NULL ELSE TRIM(" + _repaired("s.municipio_str") + ")")} AS municipio,
+               c.clean AS cadena, e.clean AS estado, m.clean AS municipio,
                t.ruta, t.entidad, t.region, t.plaza
         FROM visits v
         LEFT JOIN stores s ON s.id = v.punto_venta_id
+        LEFT JOIN chain_names c ON c.raw = s.cadena_str
+        LEFT JOIN state_names e ON e.raw = s.estado_str
+        LEFT JOIN municipality_names m ON m.raw = s.municipio_str
         LEFT JOIN team_rows t ON t.id = v.cuadrilla_id
-        WHERE v.cliente_id IN (0, 1, 2, 3) AND v.inicio IS NOT NULL AND year(v.dia) BETWEEN 2015 AND 2026
+        WHERE v.cliente_id IN (0, 1, 2, 3) AND v.inicio IS NOT NULL AND v.dia IS NOT NULL
           AND v.lat_checkin IS NOT NULL AND NOT isnan(v.lat_checkin)
           AND v.lon_checkin IS NOT NULL AND NOT isnan(v.lon_checkin)
           AND v.lat_pdv IS NOT NULL AND v.lon_pdv IS NOT NULL""",
@@ -304,6 +305,8 @@ CTES: dict[str, str] = {
     "chains": """
         SELECT n_nationkey AS id, CASE n_nationkey % 5 WHEN 0 THEN ' walmart ' WHEN 1 THEN 'SAMS CLUB'
                WHEN 2 THEN 'NAN' WHEN 3 THEN n_name ELSE '' END AS nombre FROM nation""",
+    "named_chains": """
+        SELECT c.id, COALESCE(n.clean, c.nombre) AS cadena FROM chains c LEFT JOIN report_chains n ON n.raw = c.nombre""",
     "products": """
         SELECT p_partkey AS id, CASE WHEN p_size <> 13 THEN p_name END AS nombre,
                CASE WHEN p_brand <> 'Brand#25' THEN p_brand END AS marca, p_size % 2 AS status,
@@ -341,14 +344,17 @@ CTES: dict[str, str] = {
 # Which CTEs each one reads.
 _NEEDS = {
     "team_names": ["teams"],
-    "excluded": ["visits", "users"],
-    "clean": ["visits", "users", "team_names", "excluded"],
-    "days": ["clean"],
+    "per_day": ["visits"],
+    "excluded": ["per_day", "users"],
+    "stays": ["visits", "excluded"],
+    "clean": ["stays", "users", "team_names"],
+    "spans": ["clean"],
+    "days": ["spans"],
     "day_facts": ["days"],
     "reps": ["days"],
     "itin": ["clean"],
     "team_rows": ["teams"],
-    "geo": ["visits", "stores", "team_rows"],
+    "geo": ["visits", "stores", "team_rows", "chain_names", "state_names", "municipality_names"],
     "dist": ["geo", "users"],
     "classed": ["dist"],
     "report": ["lines"],
@@ -361,6 +367,7 @@ _NEEDS = {
     "prices": ["lines"],
     "kinds": ["prices"],
     "rollup_month": ["sales"],
+    "named_chains": ["chains", "report_chains"],
 }
 
 
@@ -421,6 +428,17 @@ _YM = "CAST(year(fecha) AS INT) AS anio, CAST(month(fecha) AS INT) AS mes"
 _WEEK = "CAST(weekofyear(fecha) AS INT) AS semana"
 _RANKED = f"ROUND({_dbl('r.monto')}, 0) AS monto_total, ROUND({_dbl('r.piezas')}, 0) AS piezas_total"
 
+
+
+def _searched(columns: str | None, condition: str) -> str:
+    picked = f"{columns}, " if columns else ""
+    return _sql(
+        "lines",
+        f"""SELECT * FROM (SELECT x_id AS id, {picked}x_rep AS user_real_name, 'Sup ' || (l_suppkey % 7) AS supervisor FROM lines)
+        WHERE {condition} ORDER BY id DESC LIMIT 50""",
+    )
+
+
 ORACLES: dict[str, str] = {
     "scan_by_name": "SELECT o_orderkey, o_custkey, o_orderdate, strftime(o_orderdate, '%d/%m/%Y') AS fecha_texto FROM orders",
     "roundtrip_parquet": "SELECT * FROM orders",
@@ -456,17 +474,13 @@ ORACLES: dict[str, str] = {
         "stores",
         "SELECT COUNT(*) AS rotos FROM (SELECT DISTINCT municipio_str FROM stores) WHERE municipio_str LIKE '%Ã%'",
     ),
-    "repaired_text": "SELECT doc_id, lang, "
-    + _repaired(
-        "replace(replace(replace(replace(replace(text, 'é', 'Ã©'), 'ó', 'Ã³'), 'á', 'Ã¡'), 'ú', 'ÃÂº'), 'ñ', 'Ã±')"
-    )
-    + " AS texto FROM documents",
+    "repaired_text": "SELECT doc_id, lang, text AS texto FROM documents",
     # field operations
     "excluded_users": _sql("excluded", "SELECT * FROM excluded"),
     "clean_visits": _sql(
         "clean",
         "SELECT cliente_id, usuario_id, username, user_real_name, entidad, dia, inicio, fin, is_tarea,"
-        " (epoch_us(fin) - epoch_us(inicio)) / 6e7 AS min_en_pdv FROM clean",
+        " (b - a) / 6e7 AS min_en_pdv FROM clean",
     ),
     "rep_day_facts": _sql("day_facts", "SELECT * FROM day_facts"),
     "rep_kpis": _sql("reps", "SELECT * FROM reps"),
@@ -503,7 +517,7 @@ ORACLES: dict[str, str] = {
         CASE WHEN t.pct_equipo >= 80 THEN 'green' WHEN t.pct_equipo >= 60 THEN 'yellow' ELSE 'red' END AS nivel_equipo
         FROM reps r JOIN (SELECT cliente_id, entidad, COUNT(*) AS promotores,
             {_pct("SUM(realizadas_total)", "SUM(plan)", 0, "0")} AS pct_equipo FROM reps GROUP BY 1, 2) t
-        ON t.cliente_id = r.cliente_id AND t.entidad = r.entidad""",
+        ON t.cliente_id IS NOT DISTINCT FROM r.cliente_id AND t.entidad = r.entidad""",
     ),
     "daily_trend": _sql(
         "clean",
@@ -520,7 +534,7 @@ ORACLES: dict[str, str] = {
     "last_activity_day": _sql(
         "visits",
         "SELECT cliente_id, MAX(dia) AS ultima, CAST(date_trunc('month', MAX(dia)) AS DATE) AS desde FROM visits"
-        " WHERE year(dia) BETWEEN 2015 AND 2026 GROUP BY cliente_id",
+        " GROUP BY cliente_id",
     ),
     # geofence
     "geo_enriched_visits": _sql("geo", "SELECT * FROM geo"),
@@ -699,7 +713,7 @@ ORACLES: dict[str, str] = {
         "alerts",
         """SELECT marca, producto, cadena, punto_venta, estado, inventario, ejecutada, fecha, promotor FROM alerts
         ORDER BY marca NULLS LAST, producto NULLS LAST, cadena NULLS LAST, punto_venta NULLS LAST, estado NULLS LAST,
-        inventario NULLS LAST, ejecutada NULLS LAST, fecha NULLS LAST, promotor NULLS LAST LIMIT 1000""",
+        inventario NULLS LAST, ejecutada NULLS LAST, fecha NULLS LAST, promotor NULLS LAST""",
     ),
     "price_kpis": _sql(
         "prices",
@@ -726,7 +740,7 @@ ORACLES: dict[str, str] = {
         """SELECT producto, categoria, cadena, CAST(precio AS DOUBLE) AS precio, tipo, fecha, promotor FROM kinds
         WHERE status AND producto ILIKE '%RING%' AND is_propio = 1
         ORDER BY producto NULLS LAST, cadena NULLS LAST, fecha DESC NULLS LAST, categoria NULLS LAST,
-        kinds.precio NULLS LAST, tipo, promotor NULLS LAST LIMIT 500""",
+        kinds.precio NULLS LAST, tipo, promotor NULLS LAST""",
     ),
     "price_listing_counts": _sql(
         "kinds",
@@ -768,22 +782,28 @@ ORACLES: dict[str, str] = {
     ),
     "rollup_kpis": _sql(
         "rollup_month",
-        f"""SELECT cliente_id, ROUND({_dbl("monto")}, 0) AS monto_total, ROUND({_dbl("piezas")}, 0) AS piezas_total,
+        f"""SELECT k.*, e.pdv_distinct, ROUND(e.monto / e.pdv_distinct, 0) AS ticket_exacto FROM (
+        SELECT cliente_id, ROUND({_dbl("monto")}, 0) AS monto_total, ROUND({_dbl("piezas")}, 0) AS piezas_total,
         {_big("pdvs")} AS pdv_activos, COUNT(DISTINCT producto_id) AS productos_activos,
-        ROUND({_dbl("monto")} / NULLIF({_big("pdvs")}, 0), 0) AS ticket_promedio FROM rollup_month GROUP BY cliente_id""",
+        ROUND({_dbl("monto")} / NULLIF({_big("pdvs")}, 0), 0) AS ticket_promedio FROM rollup_month GROUP BY cliente_id) k
+        JOIN (SELECT cliente_id, COUNT(DISTINCT punto_venta_id) AS pdv_distinct, {_dbl("monto")} AS monto
+              FROM sales GROUP BY cliente_id) e USING (cliente_id)""",
     ),
     "rollup_kpis_channel": _sql(
         "rollup_month channels",
         f"""SELECT cliente_id, ROUND({_dbl("monto")}, 0) AS monto_total, ROUND({_dbl("piezas")}, 0) AS piezas_total,
         {_big("pdvs")} AS pdv_activos, COUNT(DISTINCT producto_id) AS productos_activos,
-        ROUND({_dbl("monto")} / NULLIF({_big("pdvs")}, 0), 0) AS ticket_promedio FROM rollup_month s
-        WHERE EXISTS (SELECT 1 FROM channels c WHERE c.id = s.canal_id AND c.nombre = 'BUILDING') GROUP BY cliente_id""",
+        ROUND({_dbl("monto")} / NULLIF({_big("pdvs")}, 0), 0) AS ticket_promedio
+        FROM rollup_month WHERE canal_id IN (SELECT id FROM channels WHERE nombre = 'BUILDING') GROUP BY cliente_id""",
     ),
     "rollup_trend": _sql(
         "rollup_month",
-        f"""SELECT cliente_id, anio, mes, ROUND({_dbl("monto")}, 0) AS monto, ROUND({_dbl("piezas")}, 0) AS piezas,
+        f"""SELECT * FROM (
+        SELECT cliente_id, anio, mes, ROUND({_dbl("monto")}, 0) AS monto, ROUND({_dbl("piezas")}, 0) AS piezas,
         {_big("pdvs")} AS pdv, anio || '-' || LPAD(CAST(mes AS VARCHAR), 2, '0') AS periodo
-        FROM rollup_month GROUP BY cliente_id, anio, mes""",
+        FROM rollup_month GROUP BY cliente_id, anio, mes)
+        JOIN (SELECT cliente_id, anio, mes, COUNT(DISTINCT punto_venta_id) AS pdv_distinct FROM sales GROUP BY ALL)
+        USING (cliente_id, anio, mes)""",
     ),
     "rollup_yoy_month": _sql(
         "rollup_month",
@@ -792,16 +812,22 @@ ORACLES: dict[str, str] = {
     ),
     "rollup_top_products": _sql(
         "rollup_month products",
-        f"""SELECT COALESCE(p.nombre, 'Sin nombre') AS producto, p.marca, {_RANKED}, {_big("r.pdvs")} AS pdv
-        FROM rollup_month r LEFT JOIN products p ON p.id = r.producto_id GROUP BY p.nombre, p.marca
-        ORDER BY monto_total DESC, producto, p.marca NULLS LAST LIMIT 15""",
+        f"""SELECT COALESCE(r.nombre, 'Sin nombre') AS producto, r.marca, monto_total, piezas_total, pdv, pdv_distinct FROM (
+          SELECT p.nombre, p.marca, {_RANKED}, {_big("r.pdvs")} AS pdv
+          FROM rollup_month r LEFT JOIN products p ON p.id = r.producto_id GROUP BY p.nombre, p.marca) r
+        JOIN (SELECT p.nombre, p.marca, COUNT(DISTINCT s.punto_venta_id) AS pdv_distinct
+          FROM sales s LEFT JOIN products p ON p.id = s.producto_id GROUP BY p.nombre, p.marca) e
+        ON e.nombre IS NOT DISTINCT FROM r.nombre AND e.marca IS NOT DISTINCT FROM r.marca
+        ORDER BY monto_total DESC, producto, r.marca NULLS LAST LIMIT 15""",
     ),
     "rollup_top_chains": _sql(
-        "rollup_month chains",
-        f"""SELECT {_case("UPPER(TRIM(c.nombre))", CHAINS_IN_REPORTS,
-            "WHEN c.nombre IS NULL OR TRIM(c.nombre) = '' OR UPPER(TRIM(c.nombre)) = 'NAN' THEN 'Sin cadena' ELSE TRIM(c.nombre)")} AS cadena,
-        {_RANKED}, {_big("r.pdvs")} AS pdv FROM rollup_month r LEFT JOIN chains c ON c.id = r.cadena_id
-        GROUP BY 1 ORDER BY monto_total DESC, cadena LIMIT 15""",
+        "rollup_month named_chains",
+        f"""SELECT * FROM (
+          SELECT COALESCE(c.cadena, 'Sin cadena') AS cadena, {_RANKED}, {_big("r.pdvs")} AS pdv
+          FROM rollup_month r LEFT JOIN named_chains c ON c.id = r.cadena_id GROUP BY 1)
+        JOIN (SELECT COALESCE(c.cadena, 'Sin cadena') AS cadena, COUNT(DISTINCT s.punto_venta_id) AS pdv_distinct
+          FROM sales s LEFT JOIN named_chains c ON c.id = s.cadena_id GROUP BY 1) USING (cadena)
+        ORDER BY monto_total DESC, cadena LIMIT 15""",
     ),
     "rollup_channel_mix": _sql(
         "rollup_month channels",
@@ -876,6 +902,64 @@ ORACLES: dict[str, str] = {
         CAST(date_trunc('month', ts) AS DATE) AS mes_desde, 'Falta ' AS incidencia,
         CASE event_id % 3 WHEN 0 THEN 'Check-in' WHEN 1 THEN 'Check-out' ELSE CAST(event_id % 3 AS VARCHAR) END AS tipo
         FROM events WHERE event_type = 'error' AND CAST(ts AS DATE) <= '2024-01-30' ORDER BY ts DESC, event_id DESC LIMIT 50""",
+    "catalog_search_brand_execution": _searched(
+        "x_brand AS nombre_marca",
+        "nombre_marca ILIKE '%brand#1%' AND (nombre_marca ILIKE '%p1%' OR user_real_name ILIKE '%p1%' OR supervisor ILIKE '%p1%')",
+    ),
+    "catalog_search_brand_audit": _searched("x_brand AS nombre_marca", "supervisor ILIKE '%sup 3%'"),
+    "catalog_search_store_execution": _searched(
+        "CASE WHEN l_returnflag = 'R' THEN 'Falta de producto' ELSE 'Sin novedad' END AS incidencias",
+        "user_real_name ILIKE '%falta%' OR supervisor ILIKE '%falta%' OR incidencias ILIKE '%falta%'",
+    ),
+    "catalog_search_competition": _searched(
+        "x_brand AS marca, CASE WHEN l_discount > 0.05::DOUBLE THEN 'Promo 2x1' ELSE 'Descuento' END AS tipo_promo",
+        "marca ILIKE '%brand#2%' AND tipo_promo ILIKE '%2x1%'",
+    ),
+    "catalog_search_prices": _searched(None, "supervisor ILIKE '%sup 1%' OR user_real_name ILIKE '%sup 1%'"),
+    "catalog_search_absences": """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS nombre FROM nation
+        WHERE n_name ILIKE '%nation_1%' ORDER BY id DESC LIMIT 50""",
+    "catalog_search_services": """SELECT p_partkey AS id, p_brand AS clave, p_type AS descripcion FROM part
+        WHERE p_brand ILIKE '%steel%' OR p_type ILIKE '%steel%' ORDER BY id DESC LIMIT 50""",
+    "catalog_search_after": _sql(
+        "users",
+        """SELECT * FROM users WHERE id < 15 AND
+        (user_real_name ILIKE '%rep 1%' OR username ILIKE '%rep 1%' OR email ILIKE '%rep 1%') ORDER BY id DESC LIMIT 3""",
+    ),
+    # stored tables
+    "rollup_range": _sql(
+        "rollup_month",
+        f"""SELECT anio, mes, {_dbl("monto")} AS monto, COUNT(*) AS filas FROM rollup_month
+        WHERE anio * 100 + mes BETWEEN 202311 AND 202401 GROUP BY anio, mes""",
+    ),
+    "rollup_refreshed": _sql(
+        "rollup_month",
+        f"""SELECT anio, mes, {_dbl("monto")} AS monto, COUNT(*) AS filas FROM rollup_month
+        WHERE NOT (anio = 2024 AND mes = 2) GROUP BY anio, mes""",
+    ),
+    "itinerary_display": _sql(
+        "itin",
+        """SELECT fecha AS "Fecha", username AS "Usuario", promotor AS "Promotor", entidad AS "Entidad",
+        hora_entrada AS "Entrada", hora_salida AS "Salida", visitas_planeadas AS "Planeadas",
+        visitas_realizadas AS "Realizadas", pdvs_visitados AS "PDVs", fuera_de_ruta AS "Fuera ruta" FROM itin""",
+    ),
+    "report_bundle": _sql(
+        "reps",
+        f"""SELECT 'promotores' AS informe, COUNT(*) AS filas, {_big("plan")} AS plan FROM reps
+        UNION ALL SELECT 'equipos', COUNT(*), {_big("plan")} FROM (SELECT cliente_id, entidad, SUM(plan) AS plan FROM reps GROUP BY 1, 2)
+        UNION ALL SELECT 'resumen', COUNT(*), {_big("plan")} FROM (SELECT cliente_id, SUM(plan) AS plan FROM reps GROUP BY 1)""",
+    ),
+    "products_at_risk": _sql(
+        "lines",
+        """SELECT x_pdv AS punto_venta_id, x_brand AS marca, p_name AS producto_en_riesgo,
+        MAX(CASE WHEN l_tax <> 0 THEN x_out ELSE 0 END) AS agotados, MAX(x_near) AS preagotados
+        FROM lines GROUP BY ALL HAVING MAX(CASE WHEN l_tax <> 0 THEN x_out ELSE 0 END) > 0 OR MAX(x_near) > 0""",
+    ),
+    "dump_file_rows": """SELECT s_suppkey AS id, s_name AS nombre, CASE WHEN s_suppkey % 2 = 0 THEN
+        'uno' || chr(10) || 'dos' || chr(9) || '"tres" \\n; ' || s_suppkey END AS nota FROM supplier""",
+    "dump_file_merged": "SELECT * FROM (VALUES ('otro fin de linea', true), ('su fin de linea', false)) t(lectura, varias)",
+    "ingest_csv": """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS nombre, 'dijo "si",' || chr(10) || p_brand AS nota,
+        CAST(NULL AS VARCHAR) AS ausente FROM part""",
+    "ingest_csv_corrupt": "SELECT COUNT(*) AS leidas, COUNT(*) FILTER (p_partkey % 5 = 0) AS corruptas FROM part",
     # cleaning
     "clean_operations": _sql(
         "dirty",
@@ -925,7 +1009,7 @@ _SUMMARY = """SELECT cadena, punto_venta, municipio, estado, marca, CAST(SUM(tot
     FROM report GROUP BY cadena, punto_venta, municipio, estado, marca"""
 ORACLES["execution_summary"] = _sql(
     "report",
-    f"{_SUMMARY} ORDER BY cadena NULLS LAST, punto_venta NULLS LAST, marca NULLS LAST, municipio, estado LIMIT 2000",
+    f"{_SUMMARY} ORDER BY cadena NULLS LAST, punto_venta NULLS LAST, marca NULLS LAST, municipio, estado",
 )
 ORACLES["execution_detail_pct"] = _sql(
     "report",

@@ -17,7 +17,9 @@ from vitrina.functions.labels import (
     level,
     workday_event,
 )
-from vitrina.operators.filters import between_days
+from vitrina.functions.numbers import amount, total
+from vitrina.operators.filters import between_days, between_months
+from vitrina.operators.reshape import for_display
 from vitrina.plans import (
     catalog,
     cleaning,
@@ -32,7 +34,7 @@ from vitrina.plans import (
     zero_sales,
 )
 from vitrina.session import shared_dir
-from vitrina.sources import dump, profile
+from vitrina.sources import dump, export, profile, views
 from vitrina.sources.tables import read_parquet, write_parquet
 from vitrina.workload import adapters as a
 
@@ -62,7 +64,7 @@ def scan_by_name(spark, sf_dir):
 
 @query
 def roundtrip_parquet(spark, sf_dir):
-    path = f"{shared_dir(spark).rstrip('/')}/vitrina_roundtrip_{spark.sparkContext.applicationId}"
+    path = shared_dir(spark, "roundtrip")
     orders = a.table(spark, sf_dir, "orders")
     write_parquet(orders, path, ("o_orderstatus",))
     return spark.read.parquet(path).select(*orders.columns)
@@ -122,8 +124,16 @@ def repaired_text(spark, sf_dir):
 # --- field operations ---------------------------------------------------------------------------
 
 
+def _users(spark, sf_dir):
+    return a.repeated(a.users(spark, sf_dir))
+
+
+def _stores(spark, sf_dir):
+    return a.repeated(a.stores(spark, sf_dir))
+
+
 def _ops(spark, sf_dir):
-    return a.visits(spark, sf_dir), a.users(spark, sf_dir), a.teams(spark, sf_dir)
+    return a.visits(spark, sf_dir), _users(spark, sf_dir), a.teams(spark, sf_dir)
 
 
 def _reps(spark, sf_dir):
@@ -132,7 +142,7 @@ def _reps(spark, sf_dir):
 
 @query
 def excluded_users(spark, sf_dir):
-    return workday.excluded_users(a.visits(spark, sf_dir), a.users(spark, sf_dir), a.BUSY_LIMIT)
+    return workday.excluded_users(a.visits(spark, sf_dir), _users(spark, sf_dir), a.BUSY_LIMIT)
 
 
 @query
@@ -178,7 +188,7 @@ def rep_status(spark, sf_dir):
 
 @query
 def daily_trend(spark, sf_dir):
-    return workday.daily_trend(a.visits(spark, sf_dir), a.users(spark, sf_dir), a.BUSY_LIMIT)
+    return workday.daily_trend(a.visits(spark, sf_dir), _users(spark, sf_dir), a.BUSY_LIMIT)
 
 
 @query
@@ -201,12 +211,12 @@ def last_activity_day(spark, sf_dir):
 
 def _geo(spark, sf_dir):
     return geofence.enriched_visits(
-        a.visits(spark, sf_dir), a.stores(spark, sf_dir), a.teams(spark, sf_dir), [0, 1, 2, 3]
+        a.visits(spark, sf_dir), _stores(spark, sf_dir), a.teams(spark, sf_dir), [0, 1, 2, 3]
     )
 
 
 def _geo_visits(spark, sf_dir):
-    return geofence.classified(geofence.visit_distances(_geo(spark, sf_dir), a.users(spark, sf_dir)))
+    return geofence.classified(geofence.visit_distances(_geo(spark, sf_dir), _users(spark, sf_dir)))
 
 
 @query
@@ -292,7 +302,10 @@ def store_brand_report_risk(spark, sf_dir):
 
 def _managerial(by: str) -> Query:
     return lambda spark, sf_dir: managerial.managerial_report(
-        a.executions(spark, sf_dir), a.chain_names(spark, sf_dir), a.store_names(spark, sf_dir), by
+        a.executions(spark, sf_dir),
+        a.repeated(a.chain_names(spark, sf_dir)),
+        a.repeated(a.store_names(spark, sf_dir)),
+        by,
     )
 
 
@@ -359,8 +372,8 @@ def _rollup(spark, sf_dir):
 QUERIES["monthly_rollup"] = _on(
     a.sales, lambda s: rollup.monthly_rollup(s).withColumn("monto", F.col("monto").cast("double"))
 )
-QUERIES["rollup_kpis"] = _on(_rollup, rollup.rollup_kpis)
-QUERIES["rollup_trend"] = _on(_rollup, rollup.rollup_trend)
+QUERIES["rollup_kpis"] = _on(a.sales, lambda s: rollup.rollup_kpis(rollup.monthly_rollup(s), s))
+QUERIES["rollup_trend"] = _on(a.sales, lambda s: rollup.rollup_trend(rollup.monthly_rollup(s), s))
 QUERIES["rollup_yoy_month"] = _on(_rollup, lambda r: rollup.same_month_by_year(r, 5))
 
 
@@ -372,22 +385,26 @@ def rollup_kpis_channel(spark, sf_dir):
 
 @query
 def rollup_top_products(spark, sf_dir):
-    return rollup.top_products(_rollup(spark, sf_dir), a.products(spark, sf_dir))
+    return rollup.top_products(
+        _rollup(spark, sf_dir), a.repeated(a.products(spark, sf_dir)), detail=a.sales(spark, sf_dir)
+    )
 
 
 @query
 def rollup_top_chains(spark, sf_dir):
-    return rollup.top_chains(_rollup(spark, sf_dir), a.chains(spark, sf_dir))
+    return rollup.top_chains(
+        _rollup(spark, sf_dir), a.repeated(a.chains(spark, sf_dir)), detail=a.sales(spark, sf_dir)
+    )
 
 
 @query
 def rollup_channel_mix(spark, sf_dir):
-    return rollup.channel_mix(_rollup(spark, sf_dir), a.channels(spark, sf_dir))
+    return rollup.channel_mix(_rollup(spark, sf_dir), a.repeated(a.channels(spark, sf_dir)))
 
 
 @query
 def channel_options(spark, sf_dir):
-    named = a.channels(spark, sf_dir).where(F.col("nombre").isNotNull())
+    named = a.repeated(a.channels(spark, sf_dir)).where(F.col("nombre").isNotNull())
     return rollup.channel_options(_rollup(spark, sf_dir), named)
 
 
@@ -439,6 +456,122 @@ def catalog_search_workdays(spark, sf_dir):
     )
 
 
+def _search(adapter: Query, name: str, **wanted) -> Query:
+    """Newest page of one catalogue, the largest id first."""
+
+    def found(spark, sf_dir):
+        rows = catalog.matching(adapter(spark, sf_dir), catalog.CATALOGS[name], **wanted)
+        return catalog.search_after(rows, catalog.CATALOGS[name])
+
+    return found
+
+
+QUERIES["catalog_search_brand_execution"] = _search(
+    a.brand_executions, "ejecucion_marca", q="p1", nombre_marca="brand#1"
+)
+QUERIES["catalog_search_store_execution"] = _search(a.store_executions, "ejecucion_pdv", q="falta")
+QUERIES["catalog_search_brand_audit"] = _search(a.brand_executions, "auditoria_marca", supervisor="sup 3")
+QUERIES["catalog_search_competition"] = _search(a.competition, "competencia", q="2x1", marca="brand#2")
+QUERIES["catalog_search_prices"] = _search(a.raw_prices, "precios", q="sup 1")
+QUERIES["catalog_search_absences"] = _search(a.absence_types, "ausencias", q="nation_1")
+QUERIES["catalog_search_services"] = _search(a.services, "servicios", q="steel")
+
+
+@query
+def catalog_search_after(spark, sf_dir):
+    """The page behind a given row, without sorting what lies before it."""
+    found = catalog.matching(a.users(spark, sf_dir), catalog.CATALOGS["promotores"], q="rep 1")
+    return catalog.search_after(found, catalog.CATALOGS["promotores"], last=(15,), size=3)
+
+
+# --- stored tables ------------------------------------------------------------------------------
+
+
+@query
+def rollup_range(spark, sf_dir):
+    """Three months of a stored roll-up."""
+    path = shared_dir(spark, "rollup")
+    rollup.refresh_rollup(a.sales(spark, sf_dir), path)
+    stored = between_months(spark.read.parquet(path), 202311, 202401)
+    return stored.groupBy("anio", "mes").agg(amount("monto").alias("monto"), F.count(F.lit(1)).alias("filas"))
+
+
+@query
+def rollup_refreshed(spark, sf_dir):
+    """A stored roll-up after one month's sales were withdrawn and its range refreshed."""
+    path, sales = shared_dir(spark, "rollup"), a.sales(spark, sf_dir)
+    rollup.refresh_rollup(sales, path)
+    withdrawn = sales.where((F.col("anio") != 2024) | (F.col("mes") != 2))
+    rollup.refresh_rollup(withdrawn, path, 202401, 202403)
+    stored = spark.read.parquet(path)
+    return stored.groupBy("anio", "mes").agg(amount("monto").alias("monto"), F.count(F.lit(1)).alias("filas"))
+
+
+@query
+def itinerary_display(spark, sf_dir):
+    """The itinerary under its display names."""
+    return for_display(workday.itinerary(*_ops(spark, sf_dir), a.BUSY_LIMIT), workday.ITINERARY_LABELS)
+
+
+@query
+def report_bundle(spark, sf_dir):
+    """The written rep report and two reports built from it, read back and counted."""
+    path = shared_dir(spark, "report")
+    jobs = {"equipos": workday.team_kpis, "resumen": workday.ops_summary}
+    export.write_ops_report(_reps(spark, sf_dir), jobs, path)
+    parts = [
+        spark.read.parquet(f"{path}/{name}").agg(
+            F.lit(name).alias("informe"), F.count(F.lit(1)).alias("filas"), total(column).alias("plan")
+        )
+        for name, column in (("promotores", "plan"), ("equipos", "plan"), ("resumen", "plan"))
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query
+def products_at_risk(spark, sf_dir):
+    """Every product at risk, which the report lists show four of."""
+    return shelf.products_at_risk(a.risk(spark, sf_dir))
+
+
+@query
+def dump_file_rows(spark, sf_dir):
+    """A dump file with CREATE TABLE, Windows line ends and a column list, written and read back."""
+    path = shared_dir(spark, "dump")
+    a.dump_file(spark, sf_dir).write.option("lineSep", ";\r\n").text(path)
+    routed = dump.route(dump.read_statements(spark, path))
+    return dump.load_rows(routed, "supplier", "id BIGINT, nombre STRING, nota STRING", dump.table_columns(routed, "supplier"))
+
+
+@query
+def dump_file_merged(spark, sf_dir):
+    """The same file read with the wrong line end: its records hold many statements."""
+    path = shared_dir(spark, "dump")
+    a.dump_file(spark, sf_dir).coalesce(1).write.option("lineSep", ";\r\n").text(path)
+    wrong, right = dump.read_statements(spark, path, newline="\n"), dump.read_statements(spark, path)
+    counts = [
+        dump.merged_statements(dump.route(read)).select(F.lit(name).alias("lectura"), (F.col("varias") > 0).alias("varias"))
+        for name, read in (("otro fin de linea", wrong), ("su fin de linea", right))
+    ]
+    return counts[0].union(counts[1])
+
+
+@query
+def ingest_csv(spark, sf_dir):
+    """CSV with its columns in another order and line breaks inside quotes."""
+    path = shared_dir(spark, "csv")
+    views.write_csv(a.csv_view(spark, sf_dir).select("nota", "nombre", "id"), path)
+    return views.read_csv(spark, path, ["id", "nombre", "nota", "ausente"], multi_line=True).drop(views.CORRUPT)
+
+
+@query
+def ingest_csv_corrupt(spark, sf_dir):
+    """CSV lines of which some lack a field."""
+    path = shared_dir(spark, "csv")
+    a.csv_lines(spark, sf_dir).write.text(path)
+    return views.corrupt_rows(views.read_csv(spark, path, ["id", "nombre"]))
+
+
 # --- cleaning -----------------------------------------------------------------------------------
 
 
