@@ -13,6 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``. A local session without
     one (tests) gets a fresh folder under ``/tmp``; on a cluster the setting is required."""
@@ -21,9 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    named = "file://" + tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if spark.sparkContext.applicationId not in _LOCAL:
+        _LOCAL[spark.sparkContext.applicationId] = "file://" + tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    return _LOCAL[spark.sparkContext.applicationId]
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
