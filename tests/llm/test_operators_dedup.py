@@ -54,7 +54,8 @@ def brute_repeats(docs, length):
 def repeats(spark, docs, length, gram, hot):
     found = suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string"), length, gram, hot)
     return sorted(
-        (r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in found.collect()
+        ((r.doc_id, r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept_sha256) for r in found.collect()),
+        key=repr,
     )
 
 
@@ -64,7 +65,7 @@ def test_repeats_equal_brute_force(spark, hot):
     parts = ["".join(random.choice("ab é") for _ in range(random.choice([8, 15, 30, 60]))) for _ in range(12)] + ["a" * 50]
     docs = [(i, "".join(random.choice(parts) for _ in range(random.randint(0, 9)))) for i in range(50)]
     docs += [(100, docs[3][1]), (101, None), (102, ""), (103, "x" * 400)]
-    assert repeats(spark, docs, 20, 7, hot) == brute_repeats(docs, 20)
+    assert repeats(spark, docs, 20, 7, hot) == sorted(brute_repeats(docs, 20), key=repr)
 
 
 def test_repeats_in_whole_table_equal_brute_force(spark, sf_dir):
@@ -74,7 +75,8 @@ def test_repeats_in_whole_table_equal_brute_force(spark, sf_dir):
 
 
 def test_repeats_of_equal_rows_and_missing_ids(spark):
-    text = "".join(random.Random(1).choice("abcdef ") for _ in range(300))
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdef ") for _ in range(300))
     found = repeats(spark, [(1, text), (1, text), (None, text), (2, text[:90])], 50, 16, 100)
     assert sorted((d, removed) for d, _, removed, _, _ in found if d is not None) == [(1, 0), (1, 0), (2, 90)]
     assert [r[2] for r in found if r[0] is None] == [300]

@@ -77,7 +77,7 @@ def test_quality_of_odd_rows(spark):
     assert got.columns == ["doc_id", "text", "lang", "private"]
     assert not any(r.private.kept for r in got.collect())
     assert quality.judge_documents(frame(spark, []), out="q").count() == 0
-    words = " ".join(f"word{i} the of and" for i in range(60))
+    words = " ".join(f"word{i} the new{i} of other{i} and" for i in range(60))
     unknown = spark.createDataFrame([(1, words, None), (2, words, "xx"), (3, words, "en")], "doc_id long, text string, lang string")
     assert [r.quality.kept for r in quality.judge_documents(unknown).collect()] == [True] * 3
 

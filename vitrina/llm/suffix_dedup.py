@@ -174,11 +174,15 @@ def maximal_repeats(lefts: list[bytes], rights: list[bytes], length: int) -> Ite
             yield left, right, [0, 1]
         return
     by_right = sorted(range(len(rights)), key=rights.__getitem__)
+    rank = {member: i for i, member in enumerate(by_right)}
     reach = max(map(len, lefts))
     for right, first, last in lcp_intervals(rights, by_right, max(1, length - reach)):
         by_left = sorted(by_right[first : last + 1], key=lefts.__getitem__)
         for left, a, b in lcp_intervals(lefts, by_left, max(0, length - right)):
-            yield left, right, by_left[a : b + 1]
+            members = by_left[a : b + 1]
+            ends = min(members, key=rank.__getitem__), max(members, key=rank.__getitem__)
+            if common_prefix(rights[ends[0]], rights[ends[1]]) == right:  # else a deeper interval has them
+                yield left, right, members
 
 
 def context_rows(texts: DataFrame, shared: DataFrame, length: int, gram: int) -> DataFrame:
