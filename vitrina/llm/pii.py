@@ -81,6 +81,8 @@ LOOK_ALIKE = str.maketrans(
     "ABESIJKMHOPCTXYaesijopcyxdqwABEZHIKMNOPTYXo",
 )
 HIDDEN = "­​‌‍⁠﻿"
+# Spaces and dashes that stand for the plain ones.
+PLAIN_MARKS = {**dict.fromkeys("\u00a0\u2007\u2009\u202f", " "), **dict.fromkeys("\u2010\u2011\u2012\u2013\u2014\u2212", "-")}
 # Digits as they are spelled in English, German, French and Spanish.
 SPELLED = {
     "0": "zero oh null zéro cero",
@@ -100,13 +102,18 @@ _open, _close = r"[\[({<]", r"[\])}>]"
 #: A run of spelled digits is rewritten from this many on; shorter runs are ordinary prose.
 SPELLED_RUN = 7
 
-LOOKS = re.compile(f"[{''.join(map(chr, LOOK_ALIKE))}{HIDDEN}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\U0001d7ce-\U0001d7ff]")
+LOOKS = re.compile(f"[{''.join(map(chr, LOOK_ALIKE))}{HIDDEN}{''.join(PLAIN_MARKS)}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\U0001d7ce-\U0001d7ff]")
 DIGITS = re.compile(rf"(?<!\w)(?:(?:plus|{_digit})(?:[ ,.-]{{1,3}}|(?!\w))){{{SPELLED_RUN},}}", re.IGNORECASE)
 ONE_DIGIT = re.compile(rf"(?:plus|{_digit})(?!\w)", re.IGNORECASE)
-MARKED = re.compile(rf" ?{_open} ?(?:(at|arroba|ät)|(dot|punkt|point|punto)) ?{_close} ?", re.IGNORECASE)
+MARKED = re.compile(
+    rf" ?{_open} ?(?:(at|arroba|ät)|dot|punkt|point|punto) ?{_close} ?|(&#64;|&#x40;|&commat;)|&#46;|&#x2e;|&period;", re.IGNORECASE
+)
 SPOKEN = re.compile(r"(?<=[\w.+-]) (?:at|arroba) (?=[A-Za-z0-9-]+ (?:dot|punto) [A-Za-z])", re.IGNORECASE)
 LABEL = re.compile(r"[A-Za-z0-9-]+")
 SPOKEN_DOT = re.compile(r" (?:dot|punto) (?=[A-Za-z])", re.IGNORECASE)
+SPACED = re.compile(r"(?<=[\w+-])(?: @ ?|@ )(?=[A-Za-z0-9-]+(?: \. ?|\. ?| (?:dot|punto) )[A-Za-z]{2})", re.IGNORECASE)
+SIGN = re.compile("@")
+SPACED_DOT = re.compile(r" \. ?(?=[a-z])|\. (?=[a-z])")
 
 
 class Tracked:
@@ -139,8 +146,8 @@ class Tracked:
 
 
 def _plain_looks(c: str) -> str:
-    if c in HIDDEN:
-        return ""
+    if c in HIDDEN or c in PLAIN_MARKS:
+        return PLAIN_MARKS.get(c, "")
     if 0xFF01 <= ord(c) <= 0xFF5E:
         return chr(ord(c) - 0xFEE0)
     return c.translate(LOOK_ALIKE) if ord(c) in LOOK_ALIKE else str(unicodedata.digit(c))
@@ -160,18 +167,33 @@ def normalise(text: str) -> Tracked:
     out = Tracked(text)
     out.rewrite([(m.start(), m.end(), _plain_looks(m[0])) for m in LOOKS.finditer(text)])
     out.rewrite([e for run in DIGITS.finditer(out.text) for e in _plain_digits(run)])
-    out.rewrite([(m.start(), m.end(), "@" if m[1] else ".") for m in MARKED.finditer(out.text)])
-    edits = []
-    for m in SPOKEN.finditer(out.text):
-        edits.append((m.start(), m.end(), "@"))
-        at = m.end()
-        while (label := LABEL.match(out.text, at)) and (dot := SPOKEN_DOT.match(out.text, label.end())):
-            edits.append((dot.start(), dot.end(), "."))
-            at = dot.end()
-    out.rewrite(edits)
+    out.rewrite([(m.start(), m.end(), "@" if m[1] or m[2] else ".") for m in MARKED.finditer(out.text)])
+    for sign, dots in ((SPOKEN, (SPOKEN_DOT,)), (SPACED, (SPOKEN_DOT, SPACED_DOT)), (SIGN, (SPOKEN_DOT,))):
+        out.rewrite(_address(out.text, sign, dots))
     return out
 
 
+def _address(text: str, sign: re.Pattern, dots: tuple[re.Pattern, ...]) -> list[tuple[int, int, str]]:
+    """Edits that make addresses plain: the sign, and the dots between the labels behind it."""
+    edits, done = [], 0
+    for m in sign.finditer(text):
+        if m.start() < done:
+            continue
+        if m[0] != "@":
+            edits.append((m.start(), m.end(), "@"))
+        done = m.end()
+        while label := LABEL.match(text, done):
+            done = label.end()
+            if dot := next(filter(None, (d.match(text, done) for d in dots)), None):
+                edits.append((dot.start(), dot.end(), "."))
+                done = dot.end()
+            elif text[done : done + 1] == ".":
+                done += 1
+            else:
+                break
+    return edits
+
+
 SPELLED_WORDS = frozenset([*DIGIT_OF, "plus"])
 BRACKETED = re.compile(rf"{_open} ?(?:at|arroba|ät|dot|punkt|point|punto) ?{_close}")
 
@@ -181,7 +203,9 @@ def is_disguised(text: str) -> bool:
     if not text.isascii() and LOOKS.search(text):
         return True
     low = text.lower()
-    if BRACKETED.search(low) or " dot " in low or " punto " in low:
+    if BRACKETED.search(low) or " dot " in low or " punto " in low or " @" in low or "@ " in low:
+        return True
+    if "&" in low and MARKED.search(low):
         return True
     for c in ",.-":
         low = low.replace(c, " ")
