@@ -40,12 +40,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Rules:
-    """``min_chars`` and ``min_words`` guard the two distances, which are noisy below them."""
+    """``min_chars`` and ``min_words`` guard the two distances, which are noisy below them. Between
+    ``min_chars`` and ``steady_chars`` bytes the class distance may be larger, by up to ``slack``."""
 
     min_base_words: int = 50
     max_repeat_percent: int = 50
     min_chars: int = 200
     min_words: int = 100
+    steady_chars: int = 1_000
+    slack: float = 0.06
     max_class_distance: float = 0.315
     max_word_distance: float = 0.355
 
@@ -114,6 +117,11 @@ def base_fails(base: tuple[int, ...], rules: Rules) -> bool:
     return base[0] < rules.min_base_words or 100 * base[4] > rules.max_repeat_percent * base[0]
 
 
+def class_bound(size: int, rules: Rules) -> float:
+    """Largest class distance allowed for a text of ``size`` bytes."""
+    return rules.max_class_distance + rules.slack * max(0.0, 1 - size / rules.steady_chars)
+
+
 def common_word_histogram(facts: TextFacts, words: dict[str, int]) -> np.ndarray:
     """Counts of the listed words (case and edge punctuation aside), and of all others last."""
     found = np.zeros(len(words) + 1)
@@ -191,7 +199,7 @@ def quality(text: Column, lang: Column, references: dict, rules: Rules = Rules()
             return (*facts.base, True, None, None, False)
         names = [lang] if lang in references else list(references)
         best = min((distances(facts, x) for x in names), key=lambda d: (d[0] or 0) + (d[1] or 0), default=(None, None))
-        kept = (best[0] or 0) <= rules.max_class_distance and (best[1] or 0) <= rules.max_word_distance
+        kept = (best[0] or 0) <= class_bound(len(facts.raw), rules) and (best[1] or 0) <= rules.max_word_distance
         return (*facts.base, False, *best, kept)
 
     @F.pandas_udf(
