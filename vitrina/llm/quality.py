@@ -40,17 +40,19 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 @dataclass(frozen=True)
 class Rules:
-    """``min_chars`` and ``min_words`` guard the two distances, which are noisy below them. Between
-    ``min_chars`` and ``steady_chars`` bytes the class distance may be larger, by up to ``slack``."""
+    """``min_chars`` and ``min_words`` guard the two distances, which are noisy below them. Up to
+    ``steady_chars`` bytes and ``steady_words`` words they may be larger, by up to the slack."""
 
     min_base_words: int = 50
     max_repeat_percent: int = 50
     min_chars: int = 200
     min_words: int = 100
     steady_chars: int = 1_000
-    slack: float = 0.06
+    class_slack: float = 0.06
     max_class_distance: float = 0.315
-    max_word_distance: float = 0.355
+    steady_words: int = 300
+    word_slack: float = 0.03
+    max_word_distance: float = 0.33
 
 
 def _class_table() -> np.ndarray:
@@ -119,7 +121,12 @@ def base_fails(base: tuple[int, ...], rules: Rules) -> bool:
 
 def class_bound(size: int, rules: Rules) -> float:
     """Largest class distance allowed for a text of ``size`` bytes."""
-    return rules.max_class_distance + rules.slack * max(0.0, 1 - size / rules.steady_chars)
+    return rules.max_class_distance + rules.class_slack * max(0.0, 1 - size / rules.steady_chars)
+
+
+def word_bound(words: int, rules: Rules) -> float:
+    """Largest common-word distance allowed for a text of ``words`` words."""
+    return rules.max_word_distance + rules.word_slack * max(0.0, 1 - words / rules.steady_words)
 
 
 def common_word_histogram(facts: TextFacts, words: dict[str, int]) -> np.ndarray:
@@ -199,7 +206,8 @@ def quality(text: Column, lang: Column, references: dict, rules: Rules = Rules()
             return (*facts.base, True, None, None, False)
         names = [lang] if lang in references else list(references)
         best = min((distances(facts, x) for x in names), key=lambda d: (d[0] or 0) + (d[1] or 0), default=(None, None))
-        kept = (best[0] or 0) <= class_bound(len(facts.raw), rules) and (best[1] or 0) <= rules.max_word_distance
+        near = (best[0] or 0) <= class_bound(len(facts.raw), rules)
+        kept = near and (best[1] or 0) <= word_bound(facts.base[0], rules)
         return (*facts.base, False, *best, kept)
 
     @F.pandas_udf(
