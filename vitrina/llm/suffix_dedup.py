@@ -15,9 +15,10 @@ anywhere matter, so the suffixes that start at them are the suffix array's only
 4. The marks of a document are united; what they cover is removed.
 
 Equal documents are one document in all this: of each text only the first copy takes part, and a later
-copy is covered whole by the first. A hash with over ``hot`` occurrences (a line that a third of all
-documents hold) does not go to one task: its windows are counted as strings instead, with minima
-combined map-side, which gives the same marks.
+copy is covered whole by the first. Occurrences of a hash whose whole contexts are equal are one
+entry of its suffix array, so a periodic text or a line that many documents hold stays small. A hash with
+over ``hot`` occurrences does not go to one task at all: its windows are compared as strings instead,
+with minima combined map-side, which gives the same marks.
 
 Texts are UTF-8 bytes; NULL is empty. "First" is by document id, then start; a NULL id comes last and
 rows of equal ids are told apart by their text, equal rows by nothing (each is marked like the other,
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from vitrina.llm.common import short_batches, text_bytes
 
-LENGTH, GRAM, HOT = 100, 32, 200_000
+LENGTH, GRAM, HOT = 100, 32, 1_000_000
 #: Windows that are hashed together, and bytes that a worker gathers before it does so.
 SEGMENT, GATHERED = 1 << 18, 1 << 19
 BASE = 0x5851F42D4C957F2D  # odd, so that it has an inverse modulo 2**64
@@ -90,7 +91,8 @@ class Sampler:
         return value
 
     def pick(self, pieces: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(document, position, hash)`` of the anchors of ``(document, offset, bytes)`` pieces."""
+        """``(document, position, hash)`` of the anchors of ``(document, offset, bytes)`` pieces. 48 bits
+        of the hash are enough: it only brings suffixes together, their bytes are compared."""
         data = np.frombuffer(b"".join(raw for _, _, raw in pieces), np.uint8)
         sizes = np.array([len(raw) for _, _, raw in pieces])
         starts = np.cumsum(sizes) - sizes
@@ -112,7 +114,7 @@ class Sampler:
         piece = np.searchsorted(starts, place, "right") - 1
         document = np.array([d for d, _, _ in pieces])[piece]
         position = place - starts[piece] + np.array([o for _, o, _ in pieces])[piece]
-        return document, position, hashes[place].view(np.int64)
+        return document, position, (hashes[place] >> np.uint64(16)).astype(np.int64)
 
 
 def anchor_rows(texts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -278,19 +280,14 @@ def window_spans(contexts: DataFrame, length: int) -> DataFrame:
     MD5, and all but the first occurrence of a string are marked."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [*KEY, "start", "string"]
         for batch in batches:
-            for row in batch.itertuples(index=False):
-                whole, before = row.left[::-1] + row.right, len(row.left)
-                starts = range(0, min(before, len(whole) - length) + 1)
-                if starts:
-                    yield pd.DataFrame(
-                        {
-                            "doc_order": row.doc_order,
-                            "tag": row.tag,
-                            "start": [row.at - before + s for s in starts],
-                            "string": [hashlib.md5(whole[s : s + length]).digest() for s in starts],
-                        }
-                    )
+            out: list[tuple] = []
+            for order, tag, at, left, right in zip(*(batch[c].tolist() for c in (*KEY, "at", "left", "right"))):
+                whole, before = left[::-1] + right, len(left)
+                for s in range(0, min(before, len(whole) - length) + 1):
+                    out.append((order, tag, at - before + s, hashlib.md5(whole[s : s + length]).digest()))
+            yield pd.DataFrame(out, columns=columns)
 
     strings = contexts.mapInPandas(cut, "doc_order long, tag long, start int, string binary")
     firsts = strings.groupBy("string").agg(F.min(F.struct(*KEY, "start")).alias("first"))
