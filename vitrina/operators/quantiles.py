@@ -9,6 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SLICES = 64
+# Distinct values of a group that one slice should hold; more rows than this make more slices.
+SLICE_VALUES = 4_000_000
+
+
+def slices_for(distinct_values: int) -> int:
+    """Slices for a group of so many distinct values: the sorted part of one task stays bounded."""
+    return max(SLICES, -(-distinct_values // SLICE_VALUES))
 
 
 def _slice_of(first: int, last: int) -> Column:
@@ -29,7 +36,8 @@ def exact_quantiles(
     slices: int = SLICES,
 ) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group with non-null keys, as doubles.
-    ``weight`` names a count of equal rows, for input that is already collapsed.
+    ``weight`` names a count of equal rows, for input that is already collapsed. ``slices`` should
+    grow with the distinct values of the largest group (``slices_for``).
 
     1. Rows collapse to (group, value, count): repeated values cost nothing further.
     2. The distinct values of a group are cut into ``slices`` of about equal size. The cuts come
