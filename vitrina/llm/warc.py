@@ -247,4 +247,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, split_bytes: int = S
         made = pd.DataFrame(rows, columns=names)
         return made.astype({"page_id": "Int64", "refers_to": "Int64", "payload_bytes": "int64", "offset": "int64"})
 
-    return ranges.repartition("archive", "start").mapInPandas(read, RECORDS)
+    # A stated number of partitions: the ranges are few bytes, and adaptive merging would give all of
+    # them to one task.
+    tasks = max(1, ranges.count())
+    return ranges.repartition(tasks, "archive", "start").mapInPandas(read, RECORDS)
