@@ -36,19 +36,23 @@ SHINGLE_WORDS, SEED = 3, 42
 SMALL_CELL = 1024
 
 
-def fingerprint_of(raw: bytes, width: int = SHINGLE_WORDS) -> int:
-    """Bit-wise majority (over half, ties 0) of the XXH64 of all word shingles; ASCII case is folded."""
+def shingle_hashes(raw: bytes, width: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of all word shingles, repeats included; ASCII case is folded. None for a text without words."""
     words = raw.lower().split()  # bytes: only ASCII letters and white space are meant
     if not words:
-        return 0
-    n = max(1, len(words) - width + 1)
-    hashes = np.fromiter(
+        return np.zeros(0, np.uint64)
+    return np.fromiter(
         (xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*(words[i:] for i in range(width)))))
         if len(words) >= width
         else [xxh64_intdigest(b" ".join(words), SEED)],
         np.uint64,
-        n,
+        max(1, len(words) - width + 1),
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bit-wise majority: over half, ties 0."""
+    n = hashes.size
     ones = np.zeros(64, np.int64)
     for start in range(0, n, 65_536):
         part = hashes[start : start + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -56,6 +60,11 @@ def fingerprint_of(raw: bytes, width: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(raw: bytes, width: int = SHINGLE_WORDS) -> int:
+    """Bit-wise majority of the XXH64 of all word shingles; zero for a text without words."""
+    return majority(shingle_hashes(raw, width))
+
+
 def fingerprint(text: Column) -> Column:
     """The 64-bit fingerprint as a signed long."""
 
