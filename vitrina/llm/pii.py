@@ -4,7 +4,8 @@ Plain detectors find e-mail addresses, IPv4 addresses, card numbers and phone nu
 ones a chain of transducers rewrites a text (look-alike characters, spelled digits, "at" and "dot")
 and keeps for every character of the result the span of the source it came from; the same detectors
 run on the result and what they find is mapped back to source characters. A mapped span counts when
-a rewrite took part in it and no plain span of its kind contains it; plain spans always stay.
+a rewrite took part in it and no plain span of its kind contains it (one that holds a plain number
+must add two rewritten digits to it); plain spans always stay.
 
 Offsets are code points, ends exclusive. NULL and empty texts have no spans. Texts are searched
 whole, in time linear in their length. Repeated rows give equal spans; other columns pass through
@@ -99,19 +100,36 @@ SPELLED = {
 DIGIT_OF = {word: digit for digit, words in SPELLED.items() for word in words.split()}
 _digit = "|".join(sorted(DIGIT_OF, key=len, reverse=True))
 _open, _close = r"[\[({<]", r"[\])}>]"
-#: A run of spelled digits is rewritten from this many on; shorter runs are ordinary prose.
-SPELLED_RUN = 7
+# The sign and the dot as they are spoken in the same languages.
+_at = "at|ät|aet|arroba|arobase|klammeraffe"
+_dot = "dot|punkt|point|punto"
+# Fixed value: words before "at" that make "at example.com" a place.
+PLACE = frozenset(
+    "look looks looked looking is are was were be been him her it them us me you available found sold more visit site page here "
+    "there shop store online see read and or work works worked working meet job jobs start starts".split()
+)
 
 LOOKS = re.compile(f"[{''.join(map(chr, LOOK_ALIKE))}{HIDDEN}{''.join(PLAIN_MARKS)}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\U0001d7ce-\U0001d7ff]")
-DIGITS = re.compile(rf"(?<!\w)(?:(?:plus|{_digit})(?:[ ,.-]{{1,3}}|(?!\w))){{{SPELLED_RUN},}}", re.IGNORECASE)
-ONE_DIGIT = re.compile(rf"(?:plus|{_digit})(?!\w)", re.IGNORECASE)
+# A run of spelled digits and numerals, of any length; it counts when a word is among them. The detectors decide.
+_unit = rf"(?:plus|{_digit}|[0-9]++)(?!\w)"
+DIGITS = re.compile(rf"(?<!\w){_unit}(?:[ ,.()-]{{1,3}}{_unit})*+", re.IGNORECASE)
+WORD = re.compile("[a-z]", re.IGNORECASE)
+ONE_DIGIT = re.compile(_unit, re.IGNORECASE)
 MARKED = re.compile(
-    rf" ?{_open} ?(?:(at|arroba|ät)|dot|punkt|point|punto) ?{_close} ?|(&#64;|&#x40;|&commat;)|&#46;|&#x2e;|&period;", re.IGNORECASE
+    rf" ?{_open} ?(?:({_at})|{_dot}) ?{_close} ?|(&#64;|&#x40;|&commat;)|&#46;|&#x2e;|&period;", re.IGNORECASE
+)
+_dotted = rf"[A-Za-z0-9-]+(?: (?:{_dot}) [A-Za-z]| ?\.(?-i:[a-z]{{2}}))"
+SPOKEN = re.compile(rf"(?<=[\w.+-]) (?:{_at}) (?={_dotted})", re.IGNORECASE)
+_label = "[A-Za-z0-9_%+-]++"
+_heads = "".join(f"(?<!{w} )" for w in _dot.split("|"))  # a row of labels is read from its first one only
+SPOKEN_LOCAL = re.compile(
+    rf"(?<![\w.%+-]){_heads}{_label}(?:\.{_label})*+(?:(?: (?:{_dot}) |\.){_label})++(?= ?@| (?:{_at}) {_dotted})", re.IGNORECASE
 )
-SPOKEN = re.compile(r"(?<=[\w.+-]) (?:at|arroba) (?=[A-Za-z0-9-]+ (?:dot|punto) [A-Za-z])", re.IGNORECASE)
+SPOKEN_IP = re.compile(rf"(?<![\w.])[0-9]{{1,3}}(?:(?: (?:{_dot}) |\.)[0-9]{{1,3}}){{3}}(?!\w)", re.IGNORECASE)
+INNER_DOT = re.compile(rf" (?:{_dot}) ", re.IGNORECASE)
 LABEL = re.compile(r"[A-Za-z0-9-]+")
-SPOKEN_DOT = re.compile(r" (?:dot|punto) (?=[A-Za-z])", re.IGNORECASE)
-SPACED = re.compile(r"(?<=[\w+-])(?: @ ?|@ )(?=[A-Za-z0-9-]+(?: \. ?|\. ?| (?:dot|punto) )[A-Za-z]{2})", re.IGNORECASE)
+SPOKEN_DOT = re.compile(rf" (?:{_dot}) (?=[A-Za-z])", re.IGNORECASE)
+SPACED = re.compile(rf"(?<=[\w+-])(?: @ ?|@ )(?=[A-Za-z0-9-]+(?: \. ?|\. ?| (?:{_dot}) )[A-Za-z]{{2}})", re.IGNORECASE)
 SIGN = re.compile("@")
 SPACED_DOT = re.compile(r" \. ?(?=[a-z])|\. (?=[a-z])")
 
@@ -154,30 +172,54 @@ def _plain_looks(c: str) -> str:
 
 
 def _plain_digits(run: re.Match) -> list[tuple[int, int, str]]:
+    """Words become digits, close together; a space or a dash stays next to numerals, and so do the
+    dots of a run with numerals that has no other separators."""
     edits, base = [], run.start()
-    words = list(ONE_DIGIT.finditer(run[0]))
-    for word, following in zip(words, [*words[1:], None]):
-        new = "+" if word[0].lower() == "plus" else DIGIT_OF[word[0].lower()]
-        edits.append((base + word.start(), base + (following.start() if following else word.end()), new))
+    units = list(ONE_DIGIT.finditer(run[0]))
+    gaps = [run[0][x.end() : y.start()] for x, y in zip(units, units[1:])]
+    dotted = any(x[0].isdecimal() for x in units) and all(g == "." for g in gaps)
+    for unit, following, gap in zip(units, [*units[1:], None], [*gaps, ""]):
+        word, end = not unit[0].isdecimal(), unit.end()
+        plus = unit[0].lower() == "plus"
+        joined = following and word and (plus or not following[0].isdecimal()) and not dotted
+        if word:
+            end = following.start() if joined else end
+            edits.append((base + unit.start(), base + end, "+" if plus else DIGIT_OF[unit[0].lower()]))
+        if following and not joined and (word or not following[0].isdecimal()) and gap not in (" ", "-") and not dotted:
+            edits.append((base + end, base + following.start(), " "))
     return edits
 
 
+def _inner_dots(found: re.Match) -> list[tuple[int, int, str]]:
+    return [(found.start() + m.start(), found.start() + m.end(), ".") for m in INNER_DOT.finditer(found[0])]
+
+
 def normalise(text: str) -> Tracked:
     """Look-alikes, then spelled digits, then "at" and "dot"."""
     out = Tracked(text)
     out.rewrite([(m.start(), m.end(), _plain_looks(m[0])) for m in LOOKS.finditer(text)])
-    out.rewrite([e for run in DIGITS.finditer(out.text) for e in _plain_digits(run)])
+    out.rewrite([e for run in DIGITS.finditer(out.text) if WORD.search(run[0]) for e in _plain_digits(run)])
     out.rewrite([(m.start(), m.end(), "@" if m[1] or m[2] else ".") for m in MARKED.finditer(out.text)])
+    for dotted in (SPOKEN_IP, SPOKEN_LOCAL):
+        out.rewrite([e for m in dotted.finditer(out.text) for e in _inner_dots(m)])
     for sign, dots in ((SPOKEN, (SPOKEN_DOT,)), (SPACED, (SPOKEN_DOT, SPACED_DOT)), (SIGN, (SPOKEN_DOT,))):
         out.rewrite(_address(out.text, sign, dots))
     return out
 
 
+def _is_place(text: str, sign: re.Match) -> bool:
+    """Whether "at" before a plain domain follows a word of prose."""
+    if " " in text[sign.end() : LABEL.match(text, sign.end()).end() + 1][-1:]:
+        return False
+    words = text[max(0, sign.start() - 12) : sign.start()].split(" ")
+    return words[-1].lower() in PLACE
+
+
 def _address(text: str, sign: re.Pattern, dots: tuple[re.Pattern, ...]) -> list[tuple[int, int, str]]:
     """Edits that make addresses plain: the sign, and the dots between the labels behind it."""
     edits, done = [], 0
     for m in sign.finditer(text):
-        if m.start() < done:
+        if m.start() < done or sign is SPOKEN and _is_place(text, m):
             continue
         if m[0] != "@":
             edits.append((m.start(), m.end(), "@"))
@@ -194,22 +236,29 @@ def _address(text: str, sign: re.Pattern, dots: tuple[re.Pattern, ...]) -> list[
     return edits
 
 
-SPELLED_WORDS = frozenset([*DIGIT_OF, "plus"])
-BRACKETED = re.compile(rf"{_open} ?(?:at|arroba|ät|dot|punkt|point|punto) ?{_close}")
+SPELLED_WORDS, AT_WORDS, DOT_WORDS = frozenset([*DIGIT_OF, "plus"]), frozenset(_at.split("|")), frozenset(_dot.split("|"))
+ANY_WORD = re.compile(r"\w+")
 
 
 def is_disguised(text: str) -> bool:
-    """Whether any transducer could change ``text``; a cheap test that may err towards yes."""
+    """Whether any transducer could change what the detectors find in ``text``; a cheap test that may
+    err towards yes. The first transducer that changes a text sees it as it is."""
     if not text.isascii() and LOOKS.search(text):
         return True
     low = text.lower()
-    if BRACKETED.search(low) or " dot " in low or " punto " in low or " @" in low or "@ " in low:
+    if " @" in low or "@ " in low or "&" in low and MARKED.search(low):
+        return True
+    words = ANY_WORD.findall(low)
+    if not DOT_WORDS.isdisjoint(words) and any(t.search(text) for t in (MARKED, SPOKEN_IP, SPOKEN_LOCAL, SPOKEN, SPOKEN_DOT)):
         return True
-    if "&" in low and MARKED.search(low):
+    if not AT_WORDS.isdisjoint(words) and (SPOKEN.search(text) or MARKED.search(text)):
         return True
-    for c in ",.-":
-        low = low.replace(c, " ")
-    return b"\1" * SPELLED_RUN in bytes(map(SPELLED_WORDS.__contains__, low.split()))
+    # a spelled digit next to another or to numerals
+    flags, at = bytes(map(SPELLED_WORDS.__contains__, words)), -1
+    while (at := flags.find(1, at + 1)) >= 0:
+        if any(w.isdecimal() or w in SPELLED_WORDS for w in (*words[max(0, at - 1) : at], *words[at + 1 : at + 2])):
+            return True
+    return False
 
 
 NUMBER = re.compile(r"[0-9]{9,19}")
@@ -228,9 +277,15 @@ def disguised_spans(text: str, plain: list[Span]) -> list[Span]:
     kept = []
     for kind, start, end in found:
         if any(seen.changed[start:end]):
+            origin = [seen.starts[k] for k in range(start, end) if seen.changed[k]]
             start, end = seen.starts[start], seen.ends[end - 1]
-            if not any(k == kind and s <= start and end <= e for k, s, e in plain):
-                kept.append((kind, start, end))
+            within = [(s, e) for k, s, e in plain if k == kind and s < end and start < e]
+            if any(s <= start and end <= e for s, e in within):
+                continue
+            # one word next to a plain number ("+33 6 12 34 56 78 un jour") is prose
+            if kind in ("card", "phone") and within and sum(not any(s <= o < e for s, e in within) for o in origin) < 2:
+                continue
+            kept.append((kind, start, end))
     return kept
 
 
