@@ -1,8 +1,8 @@
 """Secret scans: plain patterns, and a randomness test battery for everything else.
 
-The battery looks at runs of 20 or more characters of the Base64 alphabets. The encoding is inferred
-(hexadecimal, Base32, Base64; a run without the mix of character kinds that a random string of its
-encoding has is no candidate), its characters become numbers, and three tests ask whether those could
+The battery looks at runs of 20 or more characters of the Base64 alphabets. The smallest
+alphabet that holds a run is inferred (hexadecimal, letters, Base32, base36, each in either case,
+with digits also in groups with dashes; else Base64; only runs with "=" inside are left out), its characters become numbers, and three tests ask whether those could
 be uniform and independent: chi-squared over the alphabet, runs above and below the middle, and
 correlation of neighbours. Fisher's method combines the three. Which candidates are cleared as not
 random is decided per length class by Benjamini-Hochberg over all candidates of the corpus, so that
@@ -30,7 +30,9 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+BASE36 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 BASE16 = "0123456789abcdef"
+LETTERS, BOTH_CASES, SHORTEST = BASE64[:26], BASE64[:52], 20
 #: Lower ends of the length classes.
 LENGTHS = (20, 28, 40, 64, 128)
 #: Share of truly random strings among those cleared that is accepted, and histogram bins per decade.
@@ -83,14 +85,22 @@ def upper_tail(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """Struct of the characters that count and their alphabet; NULL when the run is no candidate."""
+    """Struct of the characters that count and the smallest alphabet that holds them; NULL for a run
+    with "=" inside or with more than padding behind."""
     body = F.regexp_replace(token, "=+$", "")
-    digit, lower, upper = body.rlike("[0-9]"), body.rlike("[a-z]"), body.rlike("[A-Z]")
+    bare = F.translate(body, "-", "")
     of = lambda chars, alphabet: F.struct(chars.alias("chars"), F.lit(alphabet).alias("alphabet"))
-    return (
-        F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), of(F.lower(body), BASE16))
-        .when(body.rlike("^[A-Z2-7]+$") & digit & upper, of(body, BASE32))
-        .when(digit & lower & upper & ~body.rlike("[=]"), of(F.translate(body, "-_", "+/"), BASE64))
+    holds = lambda lower, upper: body.rlike(f"^([{lower}]+|[{upper}]+)$") | (
+        body.rlike(f"^([{lower}]{{4,}}(-[{lower}]{{4,}})+|[{upper}]{{4,}}(-[{upper}]{{4,}})+)$") & body.rlike("[0-9]")
+    )
+    return F.when(
+        (F.length(body) >= SHORTEST - 2) & ~body.rlike("="),
+        F.when(holds("0-9a-f", "0-9A-F"), of(F.lower(bare), BASE16))
+        .when(body.rlike("^([a-z]+|[A-Z]+)$"), of(F.upper(bare), LETTERS))
+        .when(body.rlike("^[a-zA-Z]+$"), of(body, BOTH_CASES))
+        .when(holds("a-z2-7", "A-Z2-7"), of(F.upper(bare), BASE32))
+        .when(holds("a-z0-9", "A-Z0-9"), of(F.upper(bare), BASE36))
+        .otherwise(of(F.translate(body, "-_", "+/"), BASE64)),
     )
 
 
