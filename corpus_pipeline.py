@@ -2,7 +2,8 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and gives the rows it kept, with the columns of
 ``documents``; the last gives token ids. ``run`` writes every stage's rows to the shared folder and
-reads them back as the next one's input, so a lost executor costs one stage's tasks at most.
+reads them back as the next one's input, so a lost executor costs one stage's tasks at most; a
+stage's rows are deleted once the next one's are written.
 """
 
 from __future__ import annotations
@@ -11,8 +12,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import bpe, mixing, near_copies, pii, quality
-from vitrina.llm.common import fresh_name, stored, table
+from vitrina.llm import bpe, mixing, pii, quality, simhash
+from vitrina.llm.common import discard, fresh_name, stored, table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class linked by five-word shingles, at a similarity of 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """One document of each class whose fingerprints (three-word shingles) link within 2 bits."""
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +70,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
-        docs, _ = stored(stage(spark, docs, sf_dir), "pipeline")
+        docs, path = stored(stage(spark, docs, sf_dir), "pipeline")
+        if read is not None:
+            discard(spark, read)
+        read = path
     return docs
