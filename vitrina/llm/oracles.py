@@ -88,3 +88,40 @@ SELECT doc_id, text, lang, source, n_chars, CAST(replica AS INTEGER) AS replica,
   md5('mix-1|place|' || coalesce(doc_id::VARCHAR, 'null') || '|' || replica) AS place
 FROM (SELECT *, unnest(range(1, CAST(copies AS BIGINT) + 1)) AS replica FROM counts)
 """
+
+
+OP11 = r"""
+WITH read AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+),
+docs AS (SELECT doc_id, terms, len(terms)::BIGINT AS n FROM read WHERE len(terms) > 0),
+totals AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM docs),
+asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+),
+each AS (SELECT doc_id, n, unnest(terms) AS term FROM docs),
+counts AS (
+    SELECT doc_id, n, term, count(*)::BIGINT AS tf FROM each
+    WHERE term IN (SELECT term FROM asked) GROUP BY doc_id, n, term
+),
+weights AS (
+    SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * df + 1)))::BIGINT AS w
+    FROM (SELECT term, count(*)::BIGINT AS df FROM counts GROUP BY term), totals
+),
+scores AS (
+    SELECT item_id, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // length))))::BIGINT AS score
+    FROM counts JOIN weights USING (term) JOIN asked USING (term), totals
+    GROUP BY item_id, doc_id
+)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scores WHERE score > 0
+) WHERE rank <= 50
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm import bpe, embedding_dedup, mixing, oracles, pii, quality, secrets, simhash, suffix_dedup, url_filter, warc
+from vitrina.llm import alignment, bpe, embedding_dedup, lexical, mixing, oracles, packing, pii, quality, secrets, simhash, suffix_dedup, url_filter, warc
 from vitrina.llm.common import table
 
 RANK_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -98,8 +98,28 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return alignment.align_documents(docs, a.read(), b.read())
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as words:
+        cut = packing.pieces(docs, words.read())
+    digest = F.crc32("ids").alias("ids_crc32")
+    packed = packing.pack(cut.select("doc_id", "piece", "start", "length", digest, "part", "nth"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_warc, op3_url_filter, op4_quality_rules, op5_embedding_dedup, op6_byte_bpe, op7_mixing, op8_pii, op9_simhash, op10_secrets)
+    for f in (op1_suffix_dedup, op2_warc, op3_url_filter, op4_quality_rules, op5_embedding_dedup, op6_byte_bpe, op7_mixing, op8_pii, op9_simhash, op10_secrets, op11_lexical_search, op12_token_alignment, op13_packing)
 }
-ORACLES: dict[str, str] = {"op3_url_filter": oracles.OP3, "op7_mixing": oracles.OP7}
+ORACLES: dict[str, str] = {"op3_url_filter": oracles.OP3, "op7_mixing": oracles.OP7, "op11_lexical_search": oracles.OP11}
