@@ -18,7 +18,7 @@ from vitrina.llm import bpe, mixing, pii, quality, queries, url_filter, warc
 
 def sql(sf_dir, query):
     con = duckdb.connect()
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     result = con.execute(query)
     return [d[0] for d in result.description], result.fetchall()

@@ -3,21 +3,24 @@
 A term is a maximal run of characters other than ASCII punctuation, controls and space, with ASCII letters
 in lower case. A document's score for an item sums, over the item's terms, ``weight(term) * saturation``,
 all in 64-bit integers; one addend is the *impact* of a posting. The postings of the items' terms are
-written sorted by impact, highest first, and read in layers: each layer goes on, in all lists at once, down
-to a frontier impact ``x``. After a layer every document seen for an item has a score interval:
+written in layers of falling impact and read layer by layer: each goes on, in all lists at once, down to a
+frontier impact ``x``. Within a layer, which is always read whole, the postings of a document stay together,
+so that they are added up before they are shuffled. After a layer every document seen for an item has a
+score interval:
 
 * lower: the impacts read so far,
 * upper: lower, and for each unseen term whose list is not read out ``min(x - 1, the term's highest impact)``.
 
 A seen term has an impact of ``x`` or more, so its share of the item's total bound is ``x - 1`` exactly:
-the interval needs the number of seen terms only, by the layer in which their lists end. The 50th best lower end
-(ties by document id) is an item's threshold. Documents that cannot reach it leave; when the bound of a
+the interval needs the number of seen terms only, by the layer in which their lists end (packed into one
+long; where items have so many terms that the layers do not fit, later ones share a place, which widens
+intervals before the last layer). The 50th best lower end (ties by document id) is an item's threshold. Documents that cannot reach it leave; when the bound of a
 document not seen so far cannot either, the item is closed and only its candidates are read on; when all
 candidates have intervals of one point, it is resolved and read no more. Reading goes on until every
 item is resolved or the lists end, so membership, ties and scores are exact.
 
 The state of a search is a table of (item, document) intervals in the shared folder; per layer the driver
-sees one count. A frequent term's postings are spread over tasks by impact and document. The threshold
+sees one count. A frequent term's postings are spread over tasks by document. The threshold
 is taken in two steps of bounded groups. The items' terms are sent to the tasks that read documents while
 they have at most ``VOCABULARY_BYTES``, and joined with all terms beyond that.
 
@@ -36,12 +39,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import discard, short_batches, stored
+from vitrina.llm.common import discard, fresh_path, short_batches, stored
 
 TOP = 50
 VOCABULARY_BYTES = 8 << 20
 #: Shares of all postings that have been read after each layer.
-LAYERS = (1 / 81, 1 / 27, 1 / 9, 1 / 3, 1.0)
+LAYERS = (1 / 27, 1 / 9, 1 / 3, 1.0)
 #: Groups per item in the first step of taking a threshold.
 SALTS = 64
 
@@ -89,18 +92,23 @@ def vocabulary(item_terms: DataFrame) -> frozenset[str] | None:
     return frozenset(r.term for r in distinct.collect()) if size <= VOCABULARY_BYTES else None
 
 
-def impact_index(counted: DataFrame, item_terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(postings, terms)``: the stored postings ``(tid, impact, row, doc_id)`` sorted by impact over all
-    files, and ``(term, tid, high, low)`` with the highest and lowest impact of each item term that a
-    document has."""
+def impact_index(counted: DataFrame, item_terms: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """``(postings, terms, frontiers)``: the stored postings ``(layer, tid, impact, row, doc_id)``, a folder per layer;
+    ``(term, tid, high, low)`` with the highest and lowest impact of each item term that a document has; and
+    the impacts down to which the layers read."""
+    spark = counted.sparkSession
     total = counted.agg(F.count("*").alias("docs"), F.sum("n").alias("length")).first()
     docs, length = F.lit(total.docs).cast("long"), F.lit(total.length or 1).cast("long")
-    m = F.expr("div(50 * n * docs, length)")
     each = (
         counted.withColumns({"docs": docs, "length": length})
-        .withColumn("m", F.lit(50).cast("long") + m)
+        .withColumn("m", F.expr("50L + div(50L * n * docs, length)"))
         .select("row", "doc_id", "m", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
-        .select("row", "doc_id", F.col("p.terms").alias("term"), F.expr("div(1000000000 * p.counts, 1000 * p.counts + 20 * m)").alias("saturation"))
+        .select(
+            "row",
+            "doc_id",
+            F.col("p.terms").alias("term"),
+            F.expr("div(1000000000L * p.counts, 1000L * p.counts + 20L * m)").alias("saturation"),
+        )
     )
     each = each.join(item_terms.select("term").distinct(), "term", "left_semi")
     weight = F.floor(1000 * F.log((F.lit(2.0) * docs + 2) / (F.lit(2.0) * F.col("df") + 1))).cast("long")
@@ -117,11 +125,17 @@ def impact_index(counted: DataFrame, item_terms: DataFrame) -> tuple[DataFrame,
         ),
         "terms",
     )
-    postings = each.join(terms.select("term", "tid", "weight"), "term").select(
-        "tid", (F.col("weight") * F.col("saturation")).alias("impact"), "row", "doc_id"
+    postings = (
+        each.join(terms.select("term", "tid", "weight"), "term")
+        .select("tid", (F.col("weight") * F.col("saturation")).alias("impact"), "row", "doc_id")
+        .filter("impact > 0")
     )
-    ordered = postings.filter("impact > 0").repartitionByRange(F.desc("impact"), "row").sortWithinPartitions(F.desc("impact"))
-    return stored(ordered, "postings")[0], terms.select("term", "tid", "high", "low")
+    cuts = frontiers(postings)
+    layer = F.coalesce(*(F.when(F.col("impact") >= x, F.lit(r)) for r, x in enumerate(cuts)))
+    path = fresh_path(spark, "postings")
+    postings.withColumn("layer", layer).sortWithinPartitions("layer", "row").write.partitionBy("layer").parquet(path)
+    schema = postings.withColumn("layer", layer).schema
+    return spark.read.schema(schema).parquet(path), terms.select("term", "tid", "high", "low"), cuts
 
 
 def frontiers(postings: DataFrame) -> list[int]:
@@ -159,7 +173,12 @@ class Search:
 
     def __init__(self, postings: DataFrame, item_terms: DataFrame, cuts: list[int], top: int) -> None:
         self.postings, self.cuts, self.top = postings, cuts, top
-        ends = F.coalesce(*(F.when(F.col("low") >= x, F.lit(r)) for r, x in enumerate(cuts)))  # the layer that ends a list
+        most = item_terms.groupBy("item").count().agg(F.max("count")).first()[0] or 1
+        self.bits = most.bit_length()
+        #: Places for the numbers of seen terms: that of a list is the layer that ends it.
+        self.places = min(len(cuts), 62 // self.bits)
+        ends = F.coalesce(*(F.when(F.col("low") >= x, F.lit(r)) for r, x in enumerate(cuts)))
+        ends = F.when(ends < self.places - 1, ends).otherwise(F.lit(len(cuts) - 1))
         self.item_terms, _ = stored(item_terms.withColumn("ends", ends), "item-terms")
 
     def bounds(self, r: int) -> DataFrame:
@@ -167,15 +186,21 @@ class Search:
         rest = F.when(F.col("ends") <= r, F.lit(0)).otherwise(F.least(F.lit(self.cuts[r] - 1).cast("long"), "high"))
         return self.item_terms.groupBy("item").agg(F.sum(rest).alias("bound"))
 
-    def interval(self, state: DataFrame, r: int) -> Column:
-        seen = sum((F.col(f"seen{j}") for j in range(r + 1, len(self.cuts))), F.lit(0).cast("long"))
+    def place(self, ends: Column) -> Column:
+        return F.least(ends, F.lit(self.places - 1))
+
+    def upper(self, r: int) -> Column:
+        """The upper end after layer ``r``: seen terms whose lists go on are taken off the bound."""
+        if r == len(self.cuts) - 1:
+            return F.col("lower")
+        mask = (1 << self.bits) - 1
+        held = [p for p in range(self.places) if p > r or p == self.places - 1]
+        seen = sum((F.shiftrightunsigned("seen", self.bits * p).bitwiseAND(F.lit(mask).cast("long")) for p in held), F.lit(0).cast("long"))
         return F.col("lower") + F.col("bound") - seen * (self.cuts[r] - 1)
 
     def layer(self, r: int, state: DataFrame | None, status: DataFrame | None) -> DataFrame:
         """Impacts of layer ``r`` as ``(item, row, doc_id, impact, ends)``, for documents that still matter."""
-        read = self.postings.filter(F.col("impact") >= self.cuts[r])
-        if r:
-            read = read.filter(F.col("impact") < self.cuts[r - 1])
+        read = self.postings.filter(F.col("layer") == r).drop("layer")
         terms = self.item_terms.select("item", "tid", "ends")
         if status is None:
             return read.join(terms, "tid").select("item", "row", "doc_id", "impact", "ends")
@@ -189,21 +214,20 @@ class Search:
 
     def advance(self, r: int, state: DataFrame | None, status: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Candidates and item status after layer ``r``."""
-        seen = [F.when(F.col("ends") == j, F.lit(1)).otherwise(F.lit(0)).cast("long").alias(f"seen{j}") for j in range(len(self.cuts))]
-        read = self.layer(r, state, status).select("item", "row", "doc_id", F.col("impact").alias("lower"), *seen)
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), self.place(F.col("ends")) * self.bits)
+        read = self.layer(r, state, status).select("item", "row", "doc_id", F.col("impact").alias("lower"), one.alias("seen"))
         both = read if state is None else state.select(read.columns).unionByName(read)
-        sums = [F.sum(c).alias(c) for c in read.columns[3:]]
-        met, met_path = stored(both.groupBy("item", "row").agg(F.max("doc_id").alias("doc_id"), *sums), "intervals")
+        sums = F.max("doc_id").alias("doc_id"), F.sum("lower").alias("lower"), F.sum("seen").alias("seen")
+        met, met_path = stored(both.groupBy("item", "row").agg(*sums), "intervals")
         last = _best(met.select("item", "row", "doc_id", "lower"), self.top).filter(F.col("rank") == self.top)
         marks = self.bounds(r).join(
             last.select("item", F.col("lower").alias("mark"), F.col("doc_id").alias("mark_doc_id"), F.col("row").alias("mark_row")),
             "item",
             "left",
         )
-        upper = self.interval(met, r)
         ahead = (F.col("upper") > F.col("mark")) | ((F.col("upper") == F.col("mark")) & (_order() <= _order("mark_")))
         kept, _ = stored(
-            met.join(marks, "item").withColumn("upper", upper).filter(F.col("mark").isNull() | ahead).select(*met.columns, "upper"),
+            met.join(marks, "item").withColumn("upper", self.upper(r)).filter(F.col("mark").isNull() | ahead).select(*met.columns, "upper"),
             "candidates",
         )
         exact = kept.groupBy("item").agg(F.bool_and(F.col("upper") == F.col("lower")).alias("exact"))
@@ -231,7 +255,7 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     asked, _ = stored(term_counts(items.select("item_id", "text"), "item_id"), "items")
     item_terms = asked.select(F.col("row").alias("item"), F.explode("terms").alias("term"))
     counted, _ = stored(term_counts(docs.select("doc_id", "text"), "doc_id", vocabulary(item_terms)), "term-counts")
-    postings, terms = impact_index(counted, item_terms)
-    found = Search(postings, item_terms.join(terms, "term").drop("term"), frontiers(postings), top).run()
+    postings, terms, cuts = impact_index(counted, item_terms)
+    found = Search(postings, item_terms.join(terms, "term").drop("term"), cuts, top).run()
     names = asked.select(F.col("row").alias("item"), "item_id")
     return found.join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", F.col("lower").alias("score"))
