@@ -24,14 +24,20 @@ pieces. An empty table gives no rows. Only ``doc_id`` and ``text`` are read; oth
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,7 +46,7 @@ from vitrina.llm.common import short_batches, stored
 
 CAPACITY = 2048
 #: Encoded words that a worker keeps; the store is emptied when full, which affects speed only.
-KEPT_WORDS, KEPT_LENGTH = 300_000, 48
+KEPT_WORDS, KEPT_LENGTH = 800_000, 48
 
 #: ``[(length, copies), ...]`` of a sequence, and how many sequences have this content.
 Run = tuple[list[tuple[int, int]], int]
@@ -49,30 +55,127 @@ Run = tuple[list[tuple[int, int]], int]
 # -- token pieces
 
 
+#: Bytes that end a word, and ASCII capitals for tokenizers that fold them.
+_SPACES = {0x09, 0x0A, 0x0D}
+_CUT = bytes(0x20 if b in _SPACES else b for b in range(256))
+_CUT_FOLD = bytes(0x20 if b in _SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
+#: Small Latin letters, which normalisation leaves alone and no pre-tokenizer parts.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Where folding before the tokenizer would change what it sees: capitals that compose with a mark, and
+#: strings that could become those of special tokens.
+_KEEP_CAPITALS = re.compile(rb"[A-Z][\xcc-\xff]|<\|")
+
+
 class WordEncoder:
-    """Ids of texts by a tokenizer that drops white space and never merges across it, word by word."""
+    """Ids of texts by a tokenizer that drops white space and never merges across it, word by word.
+
+    Texts are split, and their words told apart and replaced by their ids, by Arrow functions. Words that
+    were met before come from a store. New ones are encoded many at once, so that an encoding is not made for
+    each: words of small Latin letters one after the other, told apart by the mark that ends a word; words
+    ending in "." or "," in two parts; most others with a word between them that holds a character of its own.
+    """
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
+        said = json.loads(tokenizer_json)
+        suffix = said["model"].get("end_of_word_suffix")
+        self.folds = '"Lowercase"' in json.dumps(said.get("normalizer"))
+        between = self.tokenizer.encode("|", add_special_tokens=False).ids
+        self.between = between[0] if len(between) == 1 else None
+        self.plain = None
+        if suffix and self.folds:
+            self.plain = Tokenizer.from_str(tokenizer_json)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+                [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+            )
+            entries = self.plain.get_vocab()
+            self.ends = np.zeros(max(entries.values()) + 1, bool)
+            self.ends[[i for entry, i in entries.items() if entry.endswith(suffix)]] = True
+
+    def plain_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Words of small Latin letters, by the reduced tokenizer."""
+        out: dict[bytes, bytes] = {}
+        for at in range(0, len(words), 1_000):
+            part = words[at : at + 1_000]
+            ids = np.array(self.plain.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            packed = ids.tobytes()
+            out.update(zip(part, [packed[a:b] for a, b in zip([0, *cuts], cuts)], strict=True))
+        return out
+
+    def any_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        out: dict[bytes, bytes] = {}
+        apart = [w for w in words if self.between is None or not w or b"|" in w]
+        for w, coded in zip(apart, self.tokenizer.encode_batch_fast([w.decode() for w in apart], add_special_tokens=False)):
+            out[w] = array("I", coded.ids).tobytes()
+        joined = [w for w in words if w not in out]
+        for at in range(0, len(joined), 1_000):
+            part = joined[at : at + 1_000]
+            coded = self.tokenizer.encode_batch_fast([b" | ".join(part).decode()], add_special_tokens=False)[0]
+            ids = np.array(coded.ids, "<u4")
+            cuts = (4 * np.flatnonzero(ids == self.between)).tolist()
+            packed = ids.tobytes()
+            out.update(zip(part, [packed[a:b] for a, b in zip([0, *(c + 4 for c in cuts)], [*cuts, len(packed)])], strict=True))
+        return out
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words."""
+        if self.plain is None:
+            return self.any_words(words)
+        is_plain, kept = _PLAIN.fullmatch, self.kept
+        ending = [w for w in words if w.endswith((b".", b",")) and is_plain(w, 0, len(w) - 1)]
+        wanted = {*words}.difference(ending)
+        wanted.update(w for w in [*(w[:-1] for w in ending), b".", b","] if w not in kept)
+        plain = [w for w in wanted if is_plain(w)]
+        found = self.plain_words(plain)
+        found |= self.any_words(list(wanted.difference(plain)))
+        marks = {m: kept.get(m) or found[m] for m in (b".", b",")}
+        for w in ending:
+            stem = w[:-1]
+            found[w] = (found.get(stem) or kept[stem]) + marks[w[-1:]]
+        return found
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Packed ids (unsigned 32-bit, little-endian) of each text."""
-        split = [x.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for x in texts]
+        cut = []
+        for text in texts:
+            raw = text.encode()
+            fold = self.folds and not (b"<|" in raw if raw.isascii() else _KEEP_CAPITALS.search(raw))
+            cut.append(raw.translate(_CUT_FOLD if fold else _CUT))
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
-        kept, extra = self.kept, {}
-        new = list({w for words in split for w in words if w not in kept})
-        for word, coded in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            (kept if len(word) <= KEPT_LENGTH else extra)[word] = np.array(coded.ids, "<u4").tobytes()
-        for words in split:
-            if extra:
-                yield b"".join([kept[w] if w in kept else extra[w] for w in words])
-            else:
-                yield b"".join(map(kept.__getitem__, words))
+        words = pc.split_pattern(pa.array(cut, pa.large_binary()).cast(pa.large_string()), " ")
+        each = words.values.cast(pa.large_binary()).dictionary_encode()
+        different = each.dictionary.to_pylist()
+        found = self.learn([w for w in different if w not in self.kept])
+        ids = pa.array([self.kept[w] if w in self.kept else found[w] for w in different], pa.large_binary()).take(each.indices)
+        ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][words.offsets.to_numpy()]
+        packed = ids.buffers()[2].to_pybytes() if len(ids) and ids.buffers()[2] else b""
+        self.kept.update((w, x) for w, x in found.items() if len(w) <= KEPT_LENGTH)
+        for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            yield packed[start:end]
+
+
+#: Texts that are split and encoded together, in characters.
+TOGETHER_CHARS = 8_000_000
+
+
+def portions(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Texts in runs of about ``TOGETHER_CHARS`` characters."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= TOGETHER_CHARS:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 _MADE: dict[int, WordEncoder] = {}
@@ -96,7 +199,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, closi
         encoder, part, made = _MADE[key], TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch["doc_id"], encoder.encode(batch["text"])):
+            for doc_id, ids in zip(batch["doc_id"], chain.from_iterable(map(encoder.encode, portions(batch["text"])))):
                 ids += last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
