@@ -10,6 +10,10 @@ pieces, which span nothing), the decoded bytes of the tokens since the last such
 Byte offsets where tokens of both end cut the text into groups; a link joins the A and the B token
 that end at one offset. A pair of ids counts as often as the corpus links it.
 
+Neither tokenizer has tokens across a single space between other characters (a piece holds spaces at its
+head only, which is checked; otherwise texts stay whole), so texts are cut there, and a cut is a group's end.
+Words are aligned once, many of them in a row as one text, and kept; texts are put together from them.
+
 The tokens are made once; each document's distinct pairs and their numbers are stored with it. Pair
 counts are sums over the corpus. The counts go back to the documents in two ways: a pair with at least
 one in ``FREQUENT`` of all links (so there are at most ``FREQUENT`` of these) is looked up in a table that
@@ -26,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -33,10 +38,11 @@ from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import short_batches, stored
+from vitrina.llm.common import portions, short_batches, stored
 
 #: Pairs with at least one in ``FREQUENT`` of all links are sent to the tasks, at 17 bytes each.
 FREQUENT = 500_000
@@ -123,14 +129,18 @@ def byte_ends(tokens: Tokens, lengths: np.ndarray, char_ends: np.ndarray) -> np.
 
 @dataclass
 class Aligned:
-    """Groups of a text: the group of each token, and the linked positions in A and in B."""
+    """Groups of a text: where each ends, the group of each token, and the linked positions in A and in B."""
 
+    ends: np.ndarray
     group_a: np.ndarray
     group_b: np.ndarray
-    n_groups: int
     link_a: np.ndarray
     link_b: np.ndarray
 
+    @property
+    def n_groups(self) -> int:
+        return self.ends.size
+
 
 def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Aligned:
     """Groups and links of two lists of byte ends, both sorted. Every text ends both lists at one offset."""
@@ -138,10 +148,9 @@ def align(ends_a: np.ndarray, ends_b: np.ndarray) -> Aligned:
     number = np.searchsorted(ends_a, ends_b, "right") - first
     link_b = np.repeat(np.arange(ends_b.size), number)
     link_a = np.repeat(first - np.cumsum(number) + number, number) + np.arange(link_b.size)
-    common = np.unique(ends_a[link_a])
-    return Aligned(
-        np.searchsorted(common, ends_a, "left"), np.searchsorted(common, ends_b, "left"), common.size, link_a, link_b
-    )
+    common = ends_a[link_a]  # in order
+    common = common[np.append(np.ones(min(common.size, 1), bool), common[1:] != common[:-1])]
+    return Aligned(common, np.searchsorted(common, ends_a, "left"), np.searchsorted(common, ends_b, "left"), link_a, link_b)
 
 
 class Aligner:
@@ -183,8 +192,8 @@ class Aligner:
             ends = [byte_ends(t, self.lengths[side][t.ids], char_ends) for side, t in enumerate(both)]
             yield (*both, align(*ends))
 
-    def groups_text(self, a: Tokens, b: Tokens, aligned: Aligned) -> str:
-        """``a1,a2|b1;a3|b2,b3``: the ids of each group, those of A before those of B."""
+    def groups_parts(self, a: Tokens, b: Tokens, aligned: Aligned) -> list[str]:
+        """The tokens of each group, those of A before those of B, with the mark behind each."""
         a_before = np.cumsum(np.bincount(aligned.group_a, minlength=aligned.n_groups))  # up to a group's end
         b_before = np.concatenate([[0], np.cumsum(np.bincount(aligned.group_b, minlength=aligned.n_groups))[:-1]])
         rows = np.empty(a.ids.size + b.ids.size, np.int64)
@@ -194,23 +203,133 @@ class Aligner:
         ):
             ends_group = np.append(groups[1:] != groups[:-1], True)
             rows[at] = tokens.ids + np.where(ends_group, mark, 0) * self.most
-        return "".join(map(self.written.__getitem__, rows.tolist()))[:-1]
+        return list(map(self.written.__getitem__, rows.tolist()))
+
+    def groups_text(self, a: Tokens, b: Tokens, aligned: Aligned) -> str:
+        """``a1,a2|b1;a3|b2,b3``: the ids of each group, those of A before those of B."""
+        return "".join(self.groups_parts(a, b, aligned))[:-1]
+
+
+#: What is kept of a word: tokens of A and of B, groups, packed pairs of linked ids, and its groups with a ";" behind
+#: each. A word that the tokens do not reproduce has no groups.
+Word = tuple[int, int, int, bytes, bytes]
+NO_TOKENS: Word = (0, 0, 0, b"", b"")
+
+
+class WordAligner:
+    """Alignments of texts from those of their words."""
+
+    #: Words of one generation; a worker keeps two, and words of the older one that are met again. Affects
+    #: speed only.
+    KEPT_WORDS, KEPT_LENGTH = 250_000, 48
+    #: New words that are aligned in a row, in characters.
+    TOGETHER_CHARS = 100_000
+
+    _wide, _cut = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
+
+    def __init__(self, aligner: Aligner) -> None:
+        self.aligner = aligner
+        self.kept: dict[str, Word] = {}
+        self.older: dict[str, Word] = {}
+        pieces = aligner.sides[1].bytes
+        self.cuts = not any(b" " in piece.lstrip(b" ") for piece in pieces)
+
+    def words(self, text: str) -> list[str]:
+        """The text cut at single spaces between other characters. The added space is that of the first."""
+        if not self.cuts:
+            return [text]
+        if self._wide.search(text) or text[0].isspace() or text[-1].isspace():
+            return self._cut.split(text)
+        return text.split(" ")
+
+    def align_words(self, words: list[str]) -> Iterator[tuple[str, Word]]:
+        """Words in a row as one text; where that is not reproduced, in halves."""
+        found = next(self.aligner.texts([" ".join(words)]))
+        if found is None:
+            if len(words) == 1:
+                yield words[0], NO_TOKENS
+                return
+            for half in (words[: len(words) // 2], words[len(words) // 2 :]):
+                yield from self.align_words(half)
+            return
+        a, b, aligned = found
+        text_ends = np.cumsum([1 + len(w.encode()) for w in words])
+        groups = np.concatenate([[0], np.searchsorted(aligned.ends, text_ends, "right")])
+        if (aligned.ends[groups[1:] - 1] != text_ends).any():
+            raise ValueError("a token spans words")
+        parts = self.aligner.groups_parts(a, b, aligned)
+        linked = (a.ids[aligned.link_a] * self.aligner.b_size + b.ids[aligned.link_b]).astype(self.aligner.pair_type)
+        packed, width = linked.tobytes(), linked.itemsize
+        of_a = np.searchsorted(aligned.group_a, groups)
+        of_b = np.searchsorted(aligned.group_b, groups)
+        of_links = np.searchsorted(aligned.group_b[aligned.link_b], groups) * width
+        bounds = np.stack([of_a, of_b, groups, of_links, of_a + of_b], axis=1).tolist()
+        for word, low, high in zip(words, bounds, bounds[1:]):
+            yield word, (
+                high[0] - low[0],
+                high[1] - low[1],
+                high[2] - low[2],
+                packed[low[3] : high[3]],
+                "".join(parts[low[4] : high[4]]).encode(),
+            )
+
+    def learn(self, words: list[str]) -> dict[str, Word]:
+        found: dict[str, Word] = {}
+        run, size = [], 0
+        for word in words:
+            run.append(word)
+            size += len(word) + 1
+            if size > self.TOGETHER_CHARS:
+                found.update(self.align_words(run))
+                run, size = [], 0
+        if run:
+            found.update(self.align_words(run))
+        return found
+
+    def texts(self, texts: list[str]) -> Iterator[Word]:
+        """What is kept of words, for whole texts (links repeated, and none of an empty text)."""
+        cut = [self.words(x) if x else [] for x in texts]
+        if len(self.kept) > self.KEPT_WORDS:
+            self.kept, self.older = {}, self.kept
+        each = pa.array(chain.from_iterable(cut), pa.large_string()).dictionary_encode()
+        different = each.dictionary.to_pylist()
+        known = {w: row for w in different if (row := self.kept.get(w) or self.older.get(w))}
+        found = known | self.learn([w for w in different if w not in known])
+        rows = [found[w] for w in different]
+        self.kept.update((w, row) for w, row in found.items() if len(w) <= self.KEPT_LENGTH)
+        places = each.indices.to_numpy()
+        ends = np.cumsum([0] + [len(x) for x in cut])
+        numbers = np.array([row[:3] for row in rows], np.int64).reshape(-1, 3)[places]
+        sums = np.concatenate([np.zeros((1, 3), np.int64), np.cumsum(numbers, axis=0)])[ends]
+        lost = np.concatenate([[0], np.cumsum(numbers[:, 2] == 0)])[ends]
+        taken = [_taken([row[k] for row in rows], places, ends) for k in (3, 4)]
+        for n, bad, pairs, groups in zip(np.diff(sums, axis=0).tolist(), np.diff(lost).tolist(), *taken):
+            yield NO_TOKENS if bad or not groups else (*n, pairs, groups[:-1])
+
+
+def _taken(values: list[bytes], places: np.ndarray, ends: np.ndarray) -> Iterator[bytes]:
+    """The values at ``places``, joined from each of ``ends`` to the next."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(places))
+    offsets, joined = taken.buffers()[1:] if len(taken) else (None, None)
+    cuts = np.frombuffer(offsets, np.int64)[ends].tolist() if offsets else [0] * ends.size
+    for low, high in zip(cuts, cuts[1:]):
+        yield joined[low:high].to_pybytes() if high > low else b""
 
 
 # -- documents
 
 
-_MADE: dict[int, Aligner] = {}
+_MADE: dict[int, WordAligner] = {}
 
 
-def _aligner(spark: SparkSession, tokenizer_json: str, model: bytes) -> Callable[[], Aligner]:
+def _aligner(spark: SparkSession, tokenizer_json: str, model: bytes) -> Callable[[], WordAligner]:
     """The two tokenizers for the executors: their size is that of the vocabularies."""
     shipped, key = spark.sparkContext.broadcast((tokenizer_json, model)), uuid.uuid4().int
 
-    def aligner() -> Aligner:
+    def aligner() -> WordAligner:
         if key not in _MADE:
             _MADE.clear()
-            _MADE[key] = Aligner(*shipped.value)
+            _MADE[key] = WordAligner(Aligner(*shipped.value))
         return _MADE[key]
 
     return aligner
@@ -225,10 +344,10 @@ def token_groups(docs: DataFrame, tokenizer_json: str, model: bytes) -> DataFram
 
     @F.pandas_udf("array<struct<start:long,end:long,a_ids:array<int>,b_ids:array<int>>>")
     def grouped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        sides = aligner()
+        sides = aligner().aligner
         for batch in batches:
             out = []
-            for found in sides.texts(batch):
+            for found in chain.from_iterable(map(sides.texts, portions(batch, 500_000))):
                 rows: list[dict] = []
                 if found is not None:
                     a, b, aligned = found
@@ -265,20 +384,17 @@ def document_links(docs: DataFrame, tokenizer_json: str, model: bytes) -> DataFr
     names = [c.split()[0] for c in FACTS.split(", ")]
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sides = aligner()
+        words = aligner()
+        pair_type = words.aligner.pair_type
         for batch in batches:
             out = []
-            for row, doc_id, found in zip(batch["row"].tolist(), batch["doc_id"], sides.texts(batch["text"])):
-                if found is None:
-                    out.append((row, doc_id, 0, 0, 0, 0, "", b"", b""))
-                    continue
-                a, b, aligned = found
-                linked = a.ids[aligned.link_a] * sides.b_size + b.ids[aligned.link_b]
+            found = chain.from_iterable(map(words.texts, portions(batch["text"], 4_000_000)))
+            for row, doc_id, (n_a, n_b, n_groups, links, groups) in zip(batch["row"].tolist(), batch["doc_id"], found):
+                linked = np.frombuffer(links, pair_type)
                 pairs, numbers = np.unique(linked, return_counts=True)
-                digest = hashlib.sha256(sides.groups_text(a, b, aligned).encode()).hexdigest()
-                sizes = a.ids.size, b.ids.size, aligned.n_groups, aligned.link_a.size
-                packed = pairs.astype(sides.pair_type).tobytes(), numbers.astype("<u4").tobytes()
-                out.append((row, doc_id, *sizes, digest, *packed))
+                digest = hashlib.sha256(groups).hexdigest() if groups else ""
+                packed = pairs.tobytes(), numbers.astype("<u4").tobytes()
+                out.append((row, doc_id, n_a, n_b, n_groups, linked.size, digest, *packed))
             yield pd.DataFrame(out, columns=names)
 
     # Ids travel as text where pandas would turn a column with NULLs into floats.

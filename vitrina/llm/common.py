@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,19 @@ def short_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+def portions(texts: Iterable[str], chars: int) -> Iterator[list[str]]:
+    """Texts in runs of about ``chars`` characters."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
 def fresh_name(df: DataFrame, label: str) -> str:
     """A column name that ``df`` does not have (names are compared without case)."""
     taken = {c.lower() for c in df.columns}

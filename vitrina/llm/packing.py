@@ -42,11 +42,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import short_batches, stored
+from vitrina.llm.common import portions, short_batches, stored
 
 CAPACITY = 2048
 #: Encoded words that a worker keeps; the store is emptied when full, which affects speed only.
 KEPT_WORDS, KEPT_LENGTH = 800_000, 48
+#: Texts that are split and encoded together, in characters.
+TOGETHER_CHARS = 8_000_000
 
 #: ``[(length, copies), ...]`` of a sequence, and how many sequences have this content.
 Run = tuple[list[tuple[int, int]], int]
@@ -161,23 +163,6 @@ class WordEncoder:
             yield packed[start:end]
 
 
-#: Texts that are split and encoded together, in characters.
-TOGETHER_CHARS = 8_000_000
-
-
-def portions(texts: Iterable[str]) -> Iterator[list[str]]:
-    """Texts in runs of about ``TOGETHER_CHARS`` characters."""
-    run, size = [], 0
-    for text in texts:
-        run.append(text)
-        size += len(text)
-        if size >= TOGETHER_CHARS:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 _MADE: dict[int, WordEncoder] = {}
 
 PIECE = "doc_id {id}, piece int, start long, length long, ids binary, part int, nth long"
@@ -199,7 +184,7 @@ def pieces(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, closi
         encoder, part, made = _MADE[key], TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out = []
-            for doc_id, ids in zip(batch["doc_id"], chain.from_iterable(map(encoder.encode, portions(batch["text"])))):
+            for doc_id, ids in zip(batch["doc_id"], chain.from_iterable(map(encoder.encode, portions(batch["text"], TOGETHER_CHARS)))):
                 ids += last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
