@@ -45,8 +45,8 @@ TOP = 50
 VOCABULARY_BYTES = 8 << 20
 #: Shares of all postings that have been read after each layer.
 LAYERS = (1 / 27, 1 / 9, 1 / 3, 1.0)
-#: Groups per item in the first step of taking a threshold.
-SALTS = 64
+#: Partitions whose best documents meet in the first step of taking a threshold.
+TOGETHER = 256
 
 _SEPARATORS = {*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)}
 _FOLD = bytes(0x20 if b in _SEPARATORS else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
@@ -160,11 +160,12 @@ def _order(prefix: str = "") -> Column:
 
 
 def _best(state: DataFrame, top: int) -> DataFrame:
-    """The ``top`` rows of each item by lower end, then document, with their ``rank``."""
+    """The ``top`` rows of each item by lower end, then document, with their ``rank``. Each partition gives
+    its own ``top`` per item, ``TOGETHER`` partitions theirs, and all the last."""
     by = (F.desc("lower"), _order())
-    salted = state.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(SALTS)))
-    first = F.row_number().over(Window.partitionBy("item", "salt").orderBy(*by))
-    some = salted.withColumn("rank", first).filter(F.col("rank") <= top).drop("salt", "rank")
+    grouped = state.withColumn("together", F.floor(F.spark_partition_id() / TOGETHER))
+    first = F.row_number().over(Window.partitionBy("item", "together").orderBy(*by))
+    some = grouped.withColumn("rank", first).filter(F.col("rank") <= top).drop("together", "rank")
     return some.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(*by))).filter(F.col("rank") <= top)
 
 
@@ -220,11 +221,8 @@ class Search:
         sums = F.max("doc_id").alias("doc_id"), F.sum("lower").alias("lower"), F.sum("seen").alias("seen")
         met, met_path = stored(both.groupBy("item", "row").agg(*sums), "intervals")
         last = _best(met.select("item", "row", "doc_id", "lower"), self.top).filter(F.col("rank") == self.top)
-        marks = self.bounds(r).join(
-            last.select("item", F.col("lower").alias("mark"), F.col("doc_id").alias("mark_doc_id"), F.col("row").alias("mark_row")),
-            "item",
-            "left",
-        )
+        mark = last.select("item", F.col("lower").alias("mark"), F.col("doc_id").alias("mark_doc_id"), F.col("row").alias("mark_row"))
+        marks, _ = stored(self.bounds(r).join(mark, "item", "left"), "marks")
         ahead = (F.col("upper") > F.col("mark")) | ((F.col("upper") == F.col("mark")) & (_order() <= _order("mark_")))
         kept, _ = stored(
             met.join(marks, "item").withColumn("upper", self.upper(r)).filter(F.col("mark").isNull() | ahead).select(*met.columns, "upper"),
