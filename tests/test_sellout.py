@@ -84,7 +84,7 @@ def test_refresh_replaces_only_its_months(spark, sales, rows, tmp_path):
     path = str(tmp_path / "rollup")
     rollup.refresh_rollup(sales, path)
     rollup.refresh_rollup(sales.withColumn("monto", F.col("monto") * 10), path, 202502, 202502)
-    stored = spark.read.parquet(path)
+    stored = rollup.stored_rollup(spark, path).read()
     assert rows(stored.groupBy("mes").agg(F.sum("monto")).orderBy("mes")) == [(1, 3000.0), (2, 20000.0)]
     plan = between_months(stored, 202502)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull" in plan

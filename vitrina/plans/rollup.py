@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.functions.clock import period_text
@@ -11,7 +11,7 @@ from vitrina.functions.text import or_default, report_chain
 from vitrina.operators.filters import between_months
 from vitrina.operators.lookups import unique_by_id, with_attributes
 from vitrina.operators.ranking import ascending, descending, top
-from vitrina.sources.tables import drop_partitions, write_parquet
+from vitrina.sources.versions import VersionedTable
 
 GRAIN = ["cliente_id", "anio", "mes", "canal_id", "cadena_id", "producto_id"]
 
@@ -20,29 +20,38 @@ RANKED = 15
 
 
 def monthly_rollup(sales: DataFrame) -> DataFrame:
-    """Sell-out detail by client, month, channel, chain and product. ``pdvs`` counts distinct
-    stores within the grain, so its sums over several groups count a store more than once."""
-    return sales.groupBy(*GRAIN).agg(
+    """Sell-out detail by client, month, channel, chain and product. ``pdvs`` counts the stores of the
+    grain; ``tiendas`` holds them as a bitmap, a list of ``(palabra, bits)`` with 64 store ids to a word. Counts of
+    several groups count a store more than once; bitmaps merge, so they give exact counts of any
+    grouping (``exact_stores``). Store ids are whole numbers; sales without a store count in no bitmap."""
+    store = F.col("punto_venta_id")
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), store.bitwiseAND(63).cast("int"))
+    words = sales.groupBy(*GRAIN, F.shiftright("punto_venta_id", 6).alias("palabra")).agg(
+        F.sum("monto").alias("monto"), F.sum("piezas").alias("piezas"), F.bit_or(bit).alias("bits")
+    )
+    filled = F.when(F.col("palabra").isNotNull(), F.struct("palabra", "bits"))
+    return words.groupBy(*GRAIN).agg(
         F.sum("monto").alias("monto"),
         F.sum("piezas").alias("piezas"),
-        F.countDistinct("punto_venta_id").alias("pdvs"),
+        F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).alias("pdvs"),
+        F.sort_array(F.collect_list(filled)).alias("tiendas"),
     )
 
 
-def refresh_rollup(sales: DataFrame, path: str, start: int | None = None, end: int | None = None) -> None:
-    """Recompute the months of a ``YYYYMM`` range and replace just those partitions. Months of the
-    range that have no sales any more are taken out of the stored table."""
-    picked = between_months(sales, start, end)
-    write_parquet(monthly_rollup(picked), path, ("anio", "mes"))
-    # One row per month: the folders of a roll-up are few whatever the sales.
-    filled = {(r["anio"], r["mes"]) for r in picked.select("anio", "mes").distinct().collect()}
+def stored_rollup(spark: SparkSession, path: str) -> VersionedTable:
+    """The roll-up kept under ``path``: ``read()`` gives its current state."""
+    return VersionedTable(spark, path, ("anio", "mes"))
+
+
+def refresh_rollup(sales: DataFrame, path: str, start: int | None = None, end: int | None = None) -> int:
+    """Recompute the months of a ``YYYYMM`` range in one commit: months of the range that have no sales any
+    more leave the table with it, other months stay as they are. The number of the new state."""
 
-    def emptied(month: dict[str, str]) -> bool:
-        year, number = int(month["anio"]), int(month["mes"])
-        inside = (start is None or year * 100 + number >= start) and (end is None or year * 100 + number <= end)
-        return inside and (year, number) not in filled
+    def inside(month: dict[str, str]) -> bool:
+        number = int(month["anio"]) * 100 + int(month["mes"])
+        return (start is None or number >= start) and (end is None or number <= end)
 
-    drop_partitions(sales.sparkSession, path, ("anio", "mes"), emptied)
+    return stored_rollup(sales.sparkSession, path).replace(monthly_rollup(between_months(sales, start, end)), inside)
 
 
 def of_channel(rollup: DataFrame, channels: DataFrame, name: str | None) -> DataFrame:
@@ -57,18 +66,32 @@ def _rounded(c: str) -> Column:
     return half_up(F.col(c).cast("double"), 0).alias(c)
 
 
-def with_exact_stores(report: DataFrame, detail: DataFrame, keys: list[str]) -> DataFrame:
-    """``report`` with ``pdv_distinct``: the stores of ``detail`` per group, each counted once. The
-    store counts of the roll-up add up over groups; this does not, and needs the sales detail."""
-    stores = detail.select(*keys, "punto_venta_id").distinct().groupBy(*keys)
-    counts = stores.agg(F.count("punto_venta_id").alias("pdv_distinct"))
+def _words(rollup: DataFrame, keys: list[str]) -> DataFrame:
+    """Store bitmaps merged per key: ``(*keys, palabra, bits)``."""
+    each = rollup.select(*keys, F.explode("tiendas").alias("tienda"))
+    return each.groupBy(*keys, F.col("tienda.palabra").alias("palabra")).agg(F.bit_or("tienda.bits").alias("bits"))
+
+
+def _counted(words: DataFrame, keys: list[str]) -> DataFrame:
+    merged = words.groupBy(*keys, "palabra").agg(F.bit_or("bits").alias("bits"))
+    return merged.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("pdv_distinct"))
+
+
+def exact_stores(rollup: DataFrame, keys: list[str]) -> DataFrame:
+    """``(*keys, pdv_distinct)``: the stores of each group, each counted once, from the roll-up alone. Words are
+    merged map-side; what is shuffled is a row per group and 64 stores."""
+    return _words(rollup, keys).groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("pdv_distinct"))
+
+
+def _with_stores(report: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
     renamed = counts.withColumnsRenamed({k: f"_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return report.join(renamed, same, "left").drop(*[f"_{k}" for k in keys])
+    joined = report.join(renamed, same, "left").drop(*[f"_{k}" for k in keys])
+    return joined.withColumn("pdv_distinct", F.coalesce("pdv_distinct", F.lit(0)))
 
 
-def rollup_kpis(rollup: DataFrame, detail: DataFrame | None = None) -> DataFrame:
-    """One row per client; ``ticket_promedio`` divides by the summed store counts. With ``detail`` the
+def rollup_kpis(rollup: DataFrame, exact: bool = False) -> DataFrame:
+    """One row per client; ``ticket_promedio`` divides by the summed store counts. With ``exact`` the
     exact store count and the ticket over it are added."""
     sums = rollup.groupBy("cliente_id").agg(
         amount("monto").alias("monto"),
@@ -76,11 +99,12 @@ def rollup_kpis(rollup: DataFrame, detail: DataFrame | None = None) -> DataFrame
         total("pdvs").alias("pdv_activos"),
         F.countDistinct("producto_id").alias("productos_activos"),
     )
-    if detail is not None:
-        sums = with_exact_stores(sums, detail, ["cliente_id"])
-        exact = half_up(ratio(F.col("monto"), F.col("pdv_distinct")), 0).alias("ticket_exacto")
+    added = []
+    if exact:
+        sums = _with_stores(sums, exact_stores(rollup, ["cliente_id"]), ["cliente_id"])
+        added = ["pdv_distinct", half_up(ratio(F.col("monto"), F.col("pdv_distinct")), 0).alias("ticket_exacto")]
     return sums.select(
-        *(["pdv_distinct", exact] if detail is not None else []),
+        *added,
         "cliente_id",
         half_up(F.col("monto"), 0).alias("monto_total"),
         half_up(F.col("piezas"), 0).alias("piezas_total"),
@@ -90,22 +114,22 @@ def rollup_kpis(rollup: DataFrame, detail: DataFrame | None = None) -> DataFrame
     )
 
 
-def rollup_trend(rollup: DataFrame, detail: DataFrame | None = None) -> DataFrame:
-    """Per client and month; ``detail`` adds the exact store count."""
+def rollup_trend(rollup: DataFrame, exact: bool = False) -> DataFrame:
+    """Per client and month; ``exact`` adds the exact store count."""
     keys = ["cliente_id", "anio", "mes"]
     sums = rollup.groupBy(*keys).agg(
         half_up(amount("monto"), 0).alias("monto"),
         half_up(amount("piezas"), 0).alias("piezas"),
         total("pdvs").alias("pdv"),
     )
-    if detail is not None:
-        sums = with_exact_stores(sums, detail, keys)
+    if exact:
+        sums = _with_stores(sums, exact_stores(rollup, keys), keys)
     return sums.withColumn("periodo", period_text()).orderBy(*ascending(*keys))
 
 
-def _named_stores(detail: DataFrame, dim: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """Sales detail collapsed on the looked-up id and the store, with the names put on."""
-    return with_attributes(detail.select(key, "punto_venta_id").distinct(), dim, key, columns)
+def _named_stores(rollup: DataFrame, dim: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Bitmaps merged on the looked-up id, with the names put on."""
+    return with_attributes(_words(rollup, [key]), dim, key, columns)
 
 
 def _per_id(rollup: DataFrame, key: str) -> DataFrame:
@@ -123,34 +147,36 @@ def _ranked_sums() -> list[Column]:
 
 
 def top_products(
-    rollup: DataFrame, products: DataFrame, n: int = RANKED, detail: DataFrame | None = None
+    rollup: DataFrame, products: DataFrame, n: int = RANKED, exact: bool = False
 ) -> DataFrame:
-    """Largest products by name and brand; ``detail`` adds the exact store count."""
+    """Largest products by name and brand; ``exact`` adds the exact store count."""
     named = with_attributes(
         _per_id(rollup, "producto_id"), products, "producto_id", {"nombre": "nombre", "marca": "marca"}
     )
     sums = named.groupBy("nombre", "marca").agg(*_ranked_sums(), total("pdvs").alias("pdv"))
-    exact = []
-    if detail is not None:
-        stores = _named_stores(detail, products, "producto_id", {"nombre": "nombre", "marca": "marca"})
-        sums, exact = with_exact_stores(sums, stores, ["nombre", "marca"]), ["pdv_distinct"]
+    added = []
+    if exact:
+        keys = ["nombre", "marca"]
+        stores = _named_stores(rollup, products, "producto_id", {k: k for k in keys})
+        sums, added = _with_stores(sums, _counted(stores, keys), keys), ["pdv_distinct"]
     labelled = sums.select(
-        or_default("nombre", "Sin nombre").alias("producto"), "marca", "monto_total", "piezas_total", "pdv", *exact
+        or_default("nombre", "Sin nombre").alias("producto"), "marca", "monto_total", "piezas_total", "pdv", *added
     )
     return top(labelled, "monto_total", ["producto", "marca"], n)
 
 
 def top_chains(
-    rollup: DataFrame, chains: DataFrame, n: int = RANKED, detail: DataFrame | None = None
+    rollup: DataFrame, chains: DataFrame, n: int = RANKED, exact: bool = False
 ) -> DataFrame:
-    """Largest chains by report name; ``detail`` adds the exact store count."""
+    """Largest chains by report name; ``exact`` adds the exact store count."""
     named = with_attributes(_per_id(rollup, "cadena_id"), chains, "cadena_id", {"nombre": "nombre"})
     sums = named.groupBy(report_chain("nombre").alias("cadena")).agg(
         *_ranked_sums(), total("pdvs").alias("pdv")
     )
-    if detail is not None:
-        stores = _named_stores(detail, chains, "cadena_id", {"nombre": "nombre"})
-        sums = with_exact_stores(sums, stores.withColumn("cadena", report_chain("nombre")), ["cadena"])
+    if exact:
+        stores = _named_stores(rollup, chains, "cadena_id", {"nombre": "nombre"})
+        stores = stores.withColumn("cadena", report_chain("nombre"))
+        sums = _with_stores(sums, _counted(stores, ["cadena"]), ["cadena"])
     return top(sums, "monto_total", ["cadena"], n)
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -62,16 +60,3 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
         writer = writer.option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
     writer.parquet(path)
 
-
-def drop_partitions(
-    spark: SparkSession, path: str, columns: tuple[str, ...], unwanted: Callable[[dict[str, str]], bool]
-) -> None:
-    """Delete the partition folders whose values (as text) are ``unwanted``."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    pattern = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place, "/".join(f"{c}=*" for c in columns))
-    for status in files.globStatus(pattern):
-        folder = status.getPath()
-        values = dict(re.findall(r"([^/=]+)=([^/]+)", "/".join(folder.toString().split("/")[-len(columns) :])))
-        if unwanted(values):
-            files.delete(folder, True)

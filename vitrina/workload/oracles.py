@@ -929,12 +929,14 @@ ORACLES: dict[str, str] = {
     "rollup_range": _sql(
         "rollup_month",
         f"""SELECT anio, mes, {_dbl("monto")} AS monto, COUNT(*) AS filas FROM rollup_month
-        WHERE anio * 100 + mes BETWEEN 202311 AND 202401 GROUP BY anio, mes""",
+        WHERE anio * 12 + mes >= (SELECT MAX(anio * 12 + mes) - 2 FROM rollup_month) GROUP BY anio, mes""",
     ),
     "rollup_refreshed": _sql(
         "rollup_month",
-        f"""SELECT anio, mes, {_dbl("monto")} AS monto, COUNT(*) AS filas FROM rollup_month
-        WHERE NOT (anio = 2024 AND mes = 2) GROUP BY anio, mes""",
+        f"""SELECT anio, mes, {_dbl("monto")} AS monto,
+        CAST(SUM(CASE WHEN anio * 12 + mes = last THEN 2 ELSE 1 END * piezas) AS BIGINT) AS piezas, COUNT(*) AS filas
+        FROM rollup_month, (SELECT MAX(anio * 12 + mes) AS last FROM rollup_month)
+        WHERE anio * 12 + mes <> last - 1 GROUP BY anio, mes""",
     ),
     "itinerary_display": _sql(
         "itin",

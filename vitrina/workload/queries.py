@@ -370,10 +370,19 @@ def _rollup(spark, sf_dir):
 
 
 QUERIES["monthly_rollup"] = _on(
-    a.sales, lambda s: rollup.monthly_rollup(s).withColumn("monto", F.col("monto").cast("double"))
+    a.sales, lambda s: rollup.monthly_rollup(s).drop("tiendas").withColumn("monto", F.col("monto").cast("double"))
 )
-QUERIES["rollup_kpis"] = _on(a.sales, lambda s: rollup.rollup_kpis(rollup.monthly_rollup(s), s))
-QUERIES["rollup_trend"] = _on(a.sales, lambda s: rollup.rollup_trend(rollup.monthly_rollup(s), s))
+
+
+def _stored_rollup(spark, sf_dir):
+    """The roll-up as the reports get it: written by a refresh and read back."""
+    path = shared_dir(spark, "rollup")
+    rollup.refresh_rollup(a.sales(spark, sf_dir), path)
+    return rollup.stored_rollup(spark, path).read()
+
+
+QUERIES["rollup_kpis"] = _on(_stored_rollup, lambda r: rollup.rollup_kpis(r, exact=True))
+QUERIES["rollup_trend"] = _on(_stored_rollup, lambda r: rollup.rollup_trend(r, exact=True))
 QUERIES["rollup_yoy_month"] = _on(_rollup, lambda r: rollup.same_month_by_year(r, 5))
 
 
@@ -386,14 +395,14 @@ def rollup_kpis_channel(spark, sf_dir):
 @query
 def rollup_top_products(spark, sf_dir):
     return rollup.top_products(
-        _rollup(spark, sf_dir), a.repeated(a.products(spark, sf_dir)), detail=a.sales(spark, sf_dir)
+        _stored_rollup(spark, sf_dir), a.repeated(a.products(spark, sf_dir)), exact=True
     )
 
 
 @query
 def rollup_top_chains(spark, sf_dir):
     return rollup.top_chains(
-        _rollup(spark, sf_dir), a.repeated(a.chains(spark, sf_dir)), detail=a.sales(spark, sf_dir)
+        _stored_rollup(spark, sf_dir), a.repeated(a.chains(spark, sf_dir)), exact=True
     )
 
 
@@ -487,24 +496,40 @@ def catalog_search_after(spark, sf_dir):
 # --- stored tables ------------------------------------------------------------------------------
 
 
+def _last_month(df):
+    """The last month with rows, as months since year 0."""
+    return df.agg(F.max(F.col("anio") * 12 + F.col("mes") - 1)).first()[0]
+
+
+def _yyyymm(month):
+    return month // 12 * 100 + month % 12 + 1
+
+
 @query
 def rollup_range(spark, sf_dir):
-    """Three months of a stored roll-up."""
-    path = shared_dir(spark, "rollup")
-    rollup.refresh_rollup(a.sales(spark, sf_dir), path)
-    stored = between_months(spark.read.parquet(path), 202311, 202401)
-    return stored.groupBy("anio", "mes").agg(amount("monto").alias("monto"), F.count(F.lit(1)).alias("filas"))
+    """The last three months of a stored roll-up."""
+    stored = _stored_rollup(spark, sf_dir)
+    last = _last_month(stored)
+    picked = between_months(stored, _yyyymm(last - 2), _yyyymm(last))
+    return picked.groupBy("anio", "mes").agg(amount("monto").alias("monto"), F.count(F.lit(1)).alias("filas"))
 
 
 @query
 def rollup_refreshed(spark, sf_dir):
-    """A stored roll-up after one month's sales were withdrawn and its range refreshed."""
+    """A stored roll-up after the sales of its last month but one were withdrawn, those of the last
+    doubled, and the last three months refreshed."""
     path, sales = shared_dir(spark, "rollup"), a.sales(spark, sf_dir)
     rollup.refresh_rollup(sales, path)
-    withdrawn = sales.where((F.col("anio") != 2024) | (F.col("mes") != 2))
-    rollup.refresh_rollup(withdrawn, path, 202401, 202403)
-    stored = spark.read.parquet(path)
-    return stored.groupBy("anio", "mes").agg(amount("monto").alias("monto"), F.count(F.lit(1)).alias("filas"))
+    table = rollup.stored_rollup(spark, path)
+    last = _last_month(table.read())
+    month = F.col("anio") * 12 + F.col("mes") - 1
+    changed = sales.where(month != last - 1).withColumn(
+        "piezas", F.when(month == last, F.col("piezas") * 2).otherwise(F.col("piezas"))
+    )
+    rollup.refresh_rollup(changed, path, _yyyymm(last - 2), _yyyymm(last))
+    return table.read().groupBy("anio", "mes").agg(
+        amount("monto").alias("monto"), total("piezas").alias("piezas"), F.count(F.lit(1)).alias("filas")
+    )
 
 
 @query
