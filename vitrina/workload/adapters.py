@@ -6,6 +6,9 @@ missing values, so some are put in by rule to exercise the NULL handling of the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -487,7 +490,7 @@ def _statements(rows: DataFrame, name: str, key: Column, per_statement: int, tup
     return grouped.select(F.concat(F.lit(f"INSERT INTO `{name}` VALUES "), F.col("v")).alias("statement"))
 
 
-def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+def dump(spark: SparkSession, sf_dir: str, per_statement: int = 50) -> DataFrame:
     """Dump statements of three tables, built from the benchmark rows."""
 
     def text(c: Column) -> Column:
@@ -504,7 +507,7 @@ def dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     part_tuple = F.when(short, F.concat(F.lit("("), F.concat_ws(",", *fields[:4]), F.lit(")"))).otherwise(
         F.concat(F.lit("("), F.concat_ws(",", *fields), F.lit(")"))
     )
-    parts = _statements(part, "part", F.col("p_partkey"), 50, part_tuple)
+    parts = _statements(part, "part", F.col("p_partkey"), per_statement, part_tuple)
     customers = _statements(
         customer,
         "customer",
@@ -550,12 +553,17 @@ def csv_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of one CSV file with a header; every fifth row lacks its second field."""
+    """Lines of CSV files, a file per partition, each with a header; every fifth row lacks its second field."""
     number = F.col("p_partkey").cast("string")
     line = F.when(F.col("p_partkey") % 5 == 0, number).otherwise(F.concat_ws(",", number, "p_name"))
-    lines = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), line.alias("value"))
-    head = table(spark, sf_dir, "region").where(F.col("r_regionkey") == 0).select(F.lit(-1).alias("k"), F.lit("id,nombre").alias("value"))
-    return head.union(lines).coalesce(1).sortWithinPartitions("k").select("value")
+
+    def headed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        header = pd.DataFrame({"value": ["id,nombre"]})
+        for batch in batches:
+            yield pd.concat([header, batch])
+            header = header.iloc[:0]
+
+    return table(spark, sf_dir, "part").select(line.alias("value")).mapInPandas(headed, "value string")
 
 
 def _day_text() -> Column:

@@ -958,6 +958,13 @@ ORACLES: dict[str, str] = {
     ),
     "dump_file_rows": """SELECT s_suppkey AS id, s_name AS nombre, CASE WHEN s_suppkey % 2 = 0 THEN
         'uno' || chr(10) || 'dos' || chr(9) || '"tres" \\n; ' || s_suppkey END AS nota FROM supplier""",
+    "dump_tuple_rows": """SELECT p_partkey AS id, p_name || ' (O''Hara, 50%) \\' AS nombre,
+        CASE WHEN p_brand <> 'Brand#25' THEN p_brand END AS marca, p_size % 2 = 1 AS activo,
+        p_retailprice AS precio FROM part WHERE p_size <> 50""",
+    "dump_tuple_tables": """SELECT 'fila' AS tipo, 'supplier' AS tabla, CASE WHEN s_suppkey % 2 = 0 THEN 'nota,id,nombre' END AS columnas,
+        COUNT(*) AS filas FROM supplier GROUP BY ALL
+        UNION ALL SELECT 'fila', 'nation', NULL, COUNT(*) FROM nation
+        UNION ALL SELECT 'tabla', 'supplier', 'id,nombre,nota', 1""",
     "dump_file_merged": "SELECT * FROM (VALUES ('otro fin de linea', true), ('su fin de linea', false)) t(lectura, varias)",
     "ingest_csv": """SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS nombre, 'dijo "si",' || chr(10) || p_brand AS nota,
         CAST(NULL AS VARCHAR) AS ausente FROM part""",

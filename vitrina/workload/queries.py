@@ -572,7 +572,7 @@ def dump_file_rows(spark, sf_dir):
 def dump_file_merged(spark, sf_dir):
     """The same file read with the wrong line end: its records hold many statements."""
     path = shared_dir(spark, "dump")
-    a.dump_file(spark, sf_dir).coalesce(1).write.option("lineSep", ";\r\n").text(path)
+    a.dump_file(spark, sf_dir).write.option("lineSep", ";\r\n").text(path)
     wrong, right = dump.read_statements(spark, path, newline="\n"), dump.read_statements(spark, path)
     counts = [
         dump.merged_statements(dump.route(read)).select(F.lit(name).alias("lectura"), (F.col("varias") > 0).alias("varias"))
@@ -581,6 +581,24 @@ def dump_file_merged(spark, sf_dir):
     return counts[0].union(counts[1])
 
 
+@query
+def dump_tuple_rows(spark, sf_dir):
+    """The dump of ``dump_load_rows`` in large statements, read tuple by tuple."""
+    path = shared_dir(spark, "dump")
+    a.dump(spark, sf_dir, per_statement=5_000).write.option("lineSep", ";\r\n").text(path)
+    tuples = dump.read_tuples(spark, path)
+    return dump.load_tuples(tuples, "part", "id BIGINT, nombre STRING, marca STRING, activo BOOLEAN, precio DOUBLE")
+
+
+@query
+def dump_tuple_tables(spark, sf_dir):
+    """Tuples per table of the same dump, with the columns its CREATE TABLE or INSERT names."""
+    path = shared_dir(spark, "dump")
+    a.dump_file(spark, sf_dir).write.option("lineSep", ";\r\n").text(path)
+    found = dump.read_tuples(spark, path)
+    return found.groupBy("tipo", "tabla", F.array_join("columnas", ",").alias("columnas")).agg(F.count(F.lit(1)).alias("filas"))
+
+
 @query
 def ingest_csv(spark, sf_dir):
     """CSV with its columns in another order and line breaks inside quotes."""
