@@ -1,9 +1,10 @@
 """Secret scans: plain patterns, and a randomness test battery for everything else.
 
-The battery looks at runs of 20 or more characters of the Base64 alphabets. The smallest
-alphabet that holds a run is inferred (hexadecimal, letters, Base32, base36, each in either case,
-with digits also in groups with dashes; else Base64; only runs with "=" inside are left out), its characters become numbers, and three tests ask whether those could
-be uniform and independent: chi-squared over the alphabet, runs above and below the middle, and
+The battery looks at runs of 20 or more characters of the Base64 alphabets. "=" ends a run, be it
+between a name and its value or in a query string, and belongs to it only as padding, with nothing of
+the alphabets behind. The smallest alphabet that holds a run is inferred (hexadecimal, letters, Base32,
+base36, each in either case, with digits also in groups with dashes; else Base64), its characters become
+numbers, and three tests ask whether those could be uniform and independent: chi-squared over the alphabet, runs above and below the middle, and
 correlation of neighbours. Fisher's method combines the three. Which candidates are cleared as not
 random is decided per length class by Benjamini-Hochberg over all candidates of the corpus, so that
 short strings, which tell little, are not judged by the many long ones; what is not cleared is a
@@ -27,7 +28,7 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"  # a maximal run of 18 or more: shorter ones fail, and so do their tails
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{20,}(?:={1,6}(?![A-Za-z0-9+/_=-]))?"
 BASE64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE36 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -39,28 +40,66 @@ LENGTHS = (20, 28, 40, 64, 128)
 RATE, BINS, DECADES = 0.05, 20, 40
 
 
+#: Elements that a scan gathers at a time: arrays grow by copies, so they are kept short.
+SCANNED = 256
+
+
+def scanned(items: Column, zero: Column, advance, emit, kind: str) -> Column:
+    """``emit(state, item)`` of every item, the state going on with ``advance(state, item)``; an array of
+    ``kind``. Outputs are gathered in pieces, so that long arrays take time in proportion."""
+    none = F.array().cast(f"array<{kind}>")
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SCANNED).cast("int")), lambda k: F.slice(items, k * SCANNED + 1, F.lit(SCANNED))
+    )
+
+    def within(acc: Column, piece: Column) -> Column:
+        return F.aggregate(
+            piece,
+            F.struct(acc["state"].alias("state"), none.alias("out")),
+            lambda a, x: F.struct(
+                advance(a["state"], x).alias("state"), F.concat(a["out"], F.array(emit(a["state"], x))).alias("out")
+            ),
+        )
+
+    whole = F.aggregate(
+        pieces,
+        F.struct(zero.alias("state"), F.array().cast(f"array<array<{kind}>>").alias("out")),
+        lambda acc, piece: let(
+            within(acc, piece),
+            lambda made: F.struct(made["state"].alias("state"), F.concat(acc["out"], F.array(made["out"])).alias("out")),
+        ),
+        lambda acc: F.flatten(acc["out"]),
+    )
+    return F.when(F.size(items) > 0, whole).otherwise(none)
+
+
 def located(text: Column, hits: Column, pattern: str) -> Column:
     """``(start, end)`` of all matches ``hits`` of ``pattern``: gaps and matches alternate."""
     gaps = F.split(text, pattern, -1)
-    placed = F.aggregate(
+    start = lambda at, x: at + F.length(x["gap"])
+    end = lambda at, x: at + F.length(x["gap"]) + F.length(x["hit"])
+    return scanned(
         F.arrays_zip(hits.alias("hit"), F.slice(gaps, 1, F.size(hits)).alias("gap")),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-            F.concat(
-                acc["spans"],
-                F.array(
-                    F.struct(
-                        (acc["at"] + F.length(x["gap"])).alias("start"),
-                        (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("end"),
-                    )
-                ),
-            ).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
+        F.lit(0),
+        end,
+        lambda at, x: F.struct(start(at, x).alias("start"), end(at, x).alias("end")),
+        "struct<start:int,end:int>",
     )
-    none = F.array().cast("array<struct<start:int,end:int>>")
-    return F.when(F.size(hits) > 0, placed).otherwise(none)
+
+
+def outside(runs: Column, plain: Column) -> Column:
+    """Places in ``runs`` of those that lie within no span of ``plain``. By start, and longest first, a span
+    comes before what it holds: a run is outside when no span so far ends at its end or behind."""
+    backed = lambda s, place: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), place.alias("place"))
+    events = F.array_sort(F.concat(F.transform(plain, lambda s: backed(s, F.lit(-1))), F.transform(runs, backed)))
+    found = scanned(
+        events,
+        F.lit(0),
+        lambda end, x: F.when(x["place"] < 0, F.greatest(end, -x["back"])).otherwise(end),
+        lambda end, x: F.when((x["place"] >= 0) & (end < -x["back"]), x["place"]),
+        "int",
+    )
+    return F.filter(found, lambda place: place.isNotNull())
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -204,15 +243,15 @@ def find_secrets(docs: DataFrame, clear: dict[int, int], out: str = "secrets") -
         return F.coalesce(p_bin(combined_p(token)) < bound, F.lit(False))
 
     plain = F.col(plain_name)
+    spans = located(text, runs, CANDIDATE)
     random_runs = F.when(
         F.size(runs) > 0,
-        F.transform(
-            F.filter(
-                F.arrays_zip(located(text, runs, CANDIDATE).alias("span"), runs.alias("token")),
-                lambda x: is_random(x["token"])
-                & ~F.exists(plain, lambda b: (b["start"] <= x["span"]["start"]) & (b["end"] >= x["span"]["end"])),
+        let(
+            spans,
+            lambda all_spans: F.transform(
+                F.filter(outside(all_spans, plain), lambda place: is_random(F.get(runs, place))),
+                lambda place: F.get(all_spans, place),
             ),
-            lambda x: x["span"],
         ),
     ).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
     found = base.withColumn(out, F.array_sort(F.concat(plain, kinded(random_runs, 3))))
