@@ -205,13 +205,14 @@ class Search:
         terms = self.item_terms.select("item", "tid", "ends")
         if status is None:
             return read.join(terms, "tid").select("item", "row", "doc_id", "impact", "ends")
-        opened = terms.join(status.filter("closed"), "item", "left_anti")
-        closed = state.join(status.filter("closed AND NOT resolved").select("item"), "item", "left_semi").select("item", "row")
-        return (
-            read.join(opened, "tid")
-            .select("item", "row", "doc_id", "impact", "ends")
-            .unionByName(read.join(closed, "row").join(terms, ["item", "tid"]).select("item", "row", "doc_id", "impact", "ends"))
-        )
+        wanted = terms.join(status.filter("NOT resolved").select("item", "closed"), "item")
+        hits = [
+            read.join(wanted.filter(kind).drop("closed"), "tid").select("item", "row", "doc_id", "impact", "ends")
+            for kind in ("NOT closed", "closed")
+        ]
+        # A table of its own: closed items have few candidates, which its size shows to the planner.
+        few, _ = stored(state.join(status.filter("closed AND NOT resolved"), "item", "left_semi").select("item", "row"), "closed")
+        return hits[0].unionByName(hits[1].join(few, ["item", "row"], "left_semi"))
 
     def advance(self, r: int, state: DataFrame | None, status: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Candidates and item status after layer ``r``."""

@@ -62,12 +62,21 @@ _SPACES = {0x09, 0x0A, 0x0D}
 _CUT = bytes(0x20 if b in _SPACES else b for b in range(256))
 _CUT_FOLD = bytes(0x20 if b in _SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 #: Small Latin letters, which normalisation leaves alone and no pre-tokenizer parts.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+([.,])?")
 #: Where folding before the tokenizer would change what it sees: capitals that compose with a mark, and
 #: strings that could become those of special tokens.
 _KEEP_CAPITALS = re.compile(rb"[A-Z][\xcc-\xff]|<\|")
 
 
+def _is_latin(text: str) -> bool:
+    """Whether a text has no character beyond U+00FF, so no mark that composes."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never merges across it, word by word.
 
@@ -129,13 +138,13 @@ class WordEncoder:
         """The ids of new words."""
         if self.plain is None:
             return self.any_words(words)
-        is_plain, kept = _PLAIN.fullmatch, self.kept
-        ending = [w for w in words if w.endswith((b".", b",")) and is_plain(w, 0, len(w) - 1)]
-        wanted = {*words}.difference(ending)
-        wanted.update(w for w in [*(w[:-1] for w in ending), b".", b","] if w not in kept)
-        plain = [w for w in wanted if is_plain(w)]
-        found = self.plain_words(plain)
-        found |= self.any_words(list(wanted.difference(plain)))
+        kept = self.kept
+        plain, ending, others = [], [], []
+        for w, said in zip(words, map(_PLAIN.fullmatch, words)):
+            (others if said is None else plain if said[1] is None else ending).append(w)
+        stems = {w[:-1] for w in ending}
+        found = self.plain_words([*plain, *stems.difference(plain, kept)])
+        found |= self.any_words([*others, *(m for m in (b".", b",") if m not in kept and m not in others)])
         marks = {m: kept.get(m) or found[m] for m in (b".", b",")}
         for w in ending:
             stem = w[:-1]
@@ -147,18 +156,21 @@ class WordEncoder:
         cut = []
         for text in texts:
             raw = text.encode()
-            fold = self.folds and not (b"<|" in raw if raw.isascii() else _KEEP_CAPITALS.search(raw))
+            fold = self.folds and not (b"<|" in raw if _is_latin(text) else _KEEP_CAPITALS.search(raw))
             cut.append(raw.translate(_CUT_FOLD if fold else _CUT))
         if len(self.kept) > KEPT_WORDS:
             self.kept.clear()
         words = pc.split_pattern(pa.array(cut, pa.large_binary()).cast(pa.large_string()), " ")
         each = words.values.cast(pa.large_binary()).dictionary_encode()
         different = each.dictionary.to_pylist()
-        found = self.learn([w for w in different if w not in self.kept])
-        ids = pa.array([self.kept[w] if w in self.kept else found[w] for w in different], pa.large_binary()).take(each.indices)
+        codes = list(map(self.kept.get, different))
+        found = self.learn([w for w, code in zip(different, codes) if code is None])
+        ids = pa.array([found[w] if code is None else code for w, code in zip(different, codes)], pa.large_binary()).take(each.indices)
         ends = np.frombuffer(ids.buffers()[1], np.int64)[: len(ids) + 1][words.offsets.to_numpy()]
         packed = ids.buffers()[2].to_pybytes() if len(ids) and ids.buffers()[2] else b""
-        self.kept.update((w, x) for w, x in found.items() if len(w) <= KEPT_LENGTH)
+        self.kept.update(found)
+        for w in [w for w in found if len(w) > KEPT_LENGTH]:
+            del self.kept[w]
         for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
             yield packed[start:end]
 
