@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.numbers import half_even, mean, total
 from vitrina.operators.filters import between_days, containing, containing_any
+from vitrina.operators.indexes import TrigramIndex
 from vitrina.operators.ranking import descending, page, page_after, page_counts
 
 PAGE_SIZE = 50
@@ -90,6 +91,30 @@ def matching(
     return df.where(containing_any(searched, q)) if q and searched else df
 
 
+def build_index(df: DataFrame, catalog: Catalog, path: str) -> TrigramIndex:
+    """Trigram index of every column of a catalogue that can be searched or filtered."""
+    columns = [c for c in dict.fromkeys((*catalog.filters, *catalog.searched)) if c in df.columns]
+    return TrigramIndex.build(df, columns, path)
+
+
+def indexed_matching(
+    index: TrigramIndex,
+    catalog: Catalog,
+    q: str | None = None,
+    start: str | None = None,
+    end: str | None = None,
+    **filters: str | None,
+) -> DataFrame:
+    """What ``matching`` finds, from the rows that the trigrams name."""
+    present = index.rows().columns
+    conditions = [([c], filters[c]) for c in catalog.filters if filters.get(c) and c in present]
+    searched = [c for c in catalog.searched if c in present]
+    if q and searched:
+        conditions.append((searched, q))
+    found = index.search(conditions)
+    return between_days(found, catalog.day, start, end) if catalog.day else found
+
+
 def _order(df: DataFrame, catalog: Catalog) -> list[Column]:
     ties = ["id"] if catalog.newest_first != "id" and "id" in df.columns else []
     return descending(catalog.newest_first, *ties)

@@ -919,7 +919,7 @@ ORACLES: dict[str, str] = {
     "catalog_search_absences": """SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS nombre FROM nation
         WHERE n_name ILIKE '%nation_1%' ORDER BY id DESC LIMIT 50""",
     "catalog_search_services": """SELECT p_partkey AS id, p_brand AS clave, p_type AS descripcion FROM part
-        WHERE p_brand ILIKE '%steel%' OR p_type ILIKE '%steel%' ORDER BY id DESC LIMIT 50""",
+        WHERE p_brand ILIKE '%promo%' OR p_type ILIKE '%promo%' ORDER BY id DESC LIMIT 50""",
     "catalog_search_after": _sql(
         "users",
         """SELECT * FROM users WHERE id < 15 AND
@@ -1052,3 +1052,11 @@ ORACLES["store_brand_levels"] = _sql(
     CASE WHEN pct_visitas_preagotados > 5 THEN 'yellow' ELSE 'green' END AS nivel_visitas_preagotados,
     CASE WHEN pct_sku_preagotados > 5 THEN 'yellow' ELSE 'green' END AS nivel_sku_preagotados FROM store_brand""",
 )
+
+# Through an index: what the scan finds.
+_INDEXED = (
+    "brand_execution store_execution brand_audit competition prices absences services teams page workdays".split()
+)
+ORACLES |= {f"indexed_search_{name}": ORACLES[f"catalog_search_{name}"] for name in _INDEXED}
+ORACLES["page_by_number"] = """SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+    ORDER BY o_orderkey DESC LIMIT 50 OFFSET 4950"""

@@ -19,6 +19,7 @@ from vitrina.functions.labels import (
 )
 from vitrina.functions.numbers import amount, total
 from vitrina.operators.filters import between_days, between_months
+from vitrina.operators.indexes import PageIndex
 from vitrina.operators.reshape import for_display
 from vitrina.plans import (
     catalog,
@@ -453,8 +454,11 @@ def catalog_search_workdays(spark, sf_dir):
     found = catalog.matching(
         a.workdays(spark, sf_dir), catalog.CATALOGS["jornadas"], q="FALTA", end="2024-01-30"
     )
-    page = catalog.search_page(found, catalog.CATALOGS["jornadas"])
-    return page.select(
+    return _workday_page(found, catalog.CATALOGS["jornadas"])
+
+
+def _workday_page(found, spec):
+    return catalog.search_page(found, spec).select(
         "id",
         "usuario_id",
         "fecha",
@@ -483,7 +487,7 @@ QUERIES["catalog_search_brand_audit"] = _search(a.brand_executions, "auditoria_m
 QUERIES["catalog_search_competition"] = _search(a.competition, "competencia", q="2x1", marca="brand#2")
 QUERIES["catalog_search_prices"] = _search(a.raw_prices, "precios", q="sup 1")
 QUERIES["catalog_search_absences"] = _search(a.absence_types, "ausencias", q="nation_1")
-QUERIES["catalog_search_services"] = _search(a.services, "servicios", q="steel")
+QUERIES["catalog_search_services"] = _search(a.services, "servicios", q="promo")
 
 
 @query
@@ -493,6 +497,39 @@ def catalog_search_after(spark, sf_dir):
     return catalog.search_after(found, catalog.CATALOGS["promotores"], last=(15,), size=3)
 
 
+def _indexed(adapter: Query, name: str, finish=catalog.search_after, **wanted) -> Query:
+    """The same search through a trigram index of the catalogue."""
+
+    def found(spark, sf_dir):
+        index = catalog.build_index(adapter(spark, sf_dir), catalog.CATALOGS[name], shared_dir(spark, "index"))
+        return finish(catalog.indexed_matching(index, catalog.CATALOGS[name], **wanted), catalog.CATALOGS[name])
+
+    return found
+
+
+QUERIES["indexed_search_brand_execution"] = _indexed(
+    a.brand_executions, "ejecucion_marca", q="p1", nombre_marca="brand#1"
+)
+QUERIES["indexed_search_store_execution"] = _indexed(a.store_executions, "ejecucion_pdv", q="falta")
+QUERIES["indexed_search_brand_audit"] = _indexed(a.brand_executions, "auditoria_marca", supervisor="sup 3")
+QUERIES["indexed_search_competition"] = _indexed(a.competition, "competencia", q="2x1", marca="brand#2")
+QUERIES["indexed_search_prices"] = _indexed(a.raw_prices, "precios", q="sup 1")
+QUERIES["indexed_search_absences"] = _indexed(a.absence_types, "ausencias", q="nation_1")
+QUERIES["indexed_search_services"] = _indexed(a.services, "servicios", q="promo")
+QUERIES["indexed_search_teams"] = _indexed(a.teams, "cuadrillas", catalog.search_page, q="r1", entidad="nation_")
+QUERIES["indexed_search_page"] = _indexed(a.users, "promotores", lambda df, c: catalog.search_page(df, c, 2, 3), q="rep 1")
+QUERIES["indexed_search_workdays"] = _indexed(
+    a.workdays, "jornadas", _workday_page, q="FALTA", end="2024-01-30"
+)
+
+
+@query
+def page_by_number(spark, sf_dir):
+    """Page 100 of the newest orders, from the range that holds it."""
+    orders = read_parquet(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return PageIndex.build(orders, ["o_orderkey"], shared_dir(spark, "pages"), rows=1_000).page(100, 50)
+
+
 # --- stored tables ------------------------------------------------------------------------------
 
 
