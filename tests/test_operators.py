@@ -65,7 +65,7 @@ def test_exact_quantiles(spark, slices):
     data = [(k, v) for k, vs in groups.items() for v in vs] + [("uno", None)]
     df = spark.createDataFrame(data, "k STRING, v DOUBLE").repartition(7)
     wanted = {"q1": 0.25, "mediana": 0.5, "q3": 0.75, "ultimo": 1.0}
-    built = quantiles.exact_quantiles(df, ["k"], "v", wanted, slices=slices).collect()
+    built = quantiles.sliced_quantiles(df, ["k"], "v", wanted, slices=slices).collect()
     assert len(built) == len(groups)
     for row in built:
         for name, p in wanted.items():
@@ -83,3 +83,44 @@ def test_display_names(spark):
     for labels in (DETAIL_LABELS, ITINERARY_LABELS):
         df = spark.createDataFrame([tuple("x" for _ in labels)], list(labels))
         assert reshape.for_display(df, labels).columns == list(labels.values())
+
+
+@pytest.mark.parametrize("bins", [16, 4096])
+def test_quantiles_by_rank_selection(spark, monkeypatch, bins):
+    """Ties, one-valued and small groups, values of very different size, weights."""
+    monkeypatch.setattr(quantiles, "BINS", bins)
+    rng = np.random.default_rng(5)
+    groups = {
+        "spread": np.concatenate([rng.normal(0, 1, 300), rng.lognormal(5, 6, 100), [-1e12, 1e12, 1e-12]]),
+        "ties": rng.integers(0, 4, 200).astype(float),
+        "one": np.array([3.5]),
+        "same": np.full(50, -2.25),
+        "two": np.array([1.0, np.nextafter(1.0, 2)]),
+    }
+    data = [(k, float(v), int(w)) for k, values in groups.items() for v, w in zip(values, rng.integers(1, 4, len(values)))]
+    df = spark.createDataFrame([*data, ("spread", None, 1), ("empty", None, 1), (None, 5.0, 1)], "k string, v double, w long").repartition(3)
+    wanted = {"lo": 0.0, "q1": 0.25, "med": 0.5, "q9": 0.9, "hi": 1.0}
+    for weight in (None, "w"):
+        built = {r.k: r for r in quantiles.exact_quantiles(df, ["k"], "v", wanted, weight).collect()}
+        assert set(built) == set(groups)
+        for k in groups:
+            values = np.repeat(*map(np.array, zip(*[(v, w if weight else 1) for g, v, w in data if g == k])))
+            for name, p in wanted.items():
+                assert built[k][name] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-300), (k, name)
+
+
+def test_quantiles_without_join_or_gathered_groups(spark):
+    df = spark.range(20_000).selectExpr("id % 2 AS k", "cast(id * 7919 % 20011 as double) AS v")
+    built = quantiles.exact_quantiles(df, ["k"], "v", {"q": 0.5})
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    assert quantiles.exact_quantiles(df.limit(0), ["k"], "v", {"q": 0.5}).count() == 0
+
+
+def test_quantiles_of_many_groups_and_infinite_values(spark, monkeypatch):
+    df = spark.range(300).selectExpr("id % 60 AS k", "cast(id as double) AS v")
+    expected = {k: np.quantile(np.arange(k, 300, 60.0), 0.3) for k in range(60)}
+    monkeypatch.setattr(quantiles, "MOST_RANGES", 5)
+    assert {r.k: r.q for r in quantiles.exact_quantiles(df, ["k"], "v", {"q": 0.3}).collect()} == pytest.approx(expected)
+    endless = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, float("inf"))], "k int, v double")
+    assert quantiles.exact_quantiles(endless, ["k"], "v", {"q": 0.5}).first().q == 2.0
