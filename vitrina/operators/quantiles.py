@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Parts that a value range is cut into per pass, and the ranges that may be cut in all.
-BINS, MOST_RANGES = 4096, 200
+BINS, MOST_RANGES, MOST_PARTS = 4096, 200, 10_000
 SLICES = 64
 # Distinct values of a group that one slice should hold; more rows than this make more slices.
 SLICE_VALUES = 4_000_000
@@ -74,8 +74,9 @@ def exact_quantiles(
     again, from their smallest to their largest value, until each holds one value. A pass counts all rows
     anew, in whole parts where no rank lies, so ranks need no carrying over and rows are never joined or
     sorted: only counts leave a task, at most ``BINS`` per group and refined part. The passes run when the
-    quantiles are asked for; the driver holds the refined ranges. Where those are more than
-    ``MOST_RANGES`` (very many groups), or values are infinite, values are sliced instead.
+    quantiles are asked for; the driver holds the refined ranges and the parts with wanted ranks, at most
+    two per group and quantile. Where those are more than ``MOST_RANGES`` and ``MOST_PARTS`` (very many
+    groups), or values are infinite, values are sliced instead.
     """
     size = F.lit(1).cast("bigint") if weight is None else F.col(weight)
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"), size.alias("c"))
@@ -91,16 +92,23 @@ def exact_quantiles(
         placed = parts.withColumns({"upto": F.sum("c").over(ordered), "n": F.sum("c").over(Window.partitionBy(*keys))})
         first, last = F.col("upto") - F.col("c"), F.col("upto") - 1
         wanted = placed.where(reduce(or_, [_holds(r, first, last) for r in ranks]))
-        refined = wanted.where("low < high").groupBy("part").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-        refined = [(r.low, r.high) for r in refined.limit(MOST_RANGES + 1).collect()]
+        few = wanted.limit(MOST_PARTS + 1).collect()
+        if len(few) > MOST_PARTS:
+            return sliced_quantiles(df, keys, value, quantiles, weight)
+        refined: dict[int, tuple[float, float]] = {}
+        for r in few:
+            if r.low < r.high:
+                least, most = refined.get(r.part, (r.low, r.high))
+                refined[r.part] = min(least, r.low), max(most, r.high)
         if not refined:
             break
-        ranges += refined
+        ranges += refined.values()
 
     def at(rank: Column) -> Column:
         return F.max(F.when(_holds(rank, first, last), F.col("low")))
 
-    found = wanted.groupBy(*keys).agg(
+    last_parts = df.sparkSession.createDataFrame(few, wanted.schema)
+    found = last_parts.groupBy(*keys).agg(
         F.max("n").alias("n"),
         *[at(F.floor(_position(p))).alias(f"low_{i}") for i, p in enumerate(quantiles.values())],
         *[at(F.ceil(_position(p))).alias(f"high_{i}") for i, p in enumerate(quantiles.values())],
