@@ -205,8 +205,7 @@ def test_pipeline_equals_brute_force(spark, sf_dir):
         facts = quality.TextFacts(d["text"])
         if quality.base_fails(facts.base, quality.Rules()):
             continue
-        classes, words = references[d["lang"]]
-        index = quality.word_index(d["lang"])
+        classes, index, words = (getattr(references[d["lang"]], x) for x in ("classes", "index", "words"))
         far = len(facts.raw) >= 200 and quality.js_distance(quality.class_histogram(facts.raw), classes) > 0.315 + 0.06 * max(0, 1 - len(facts.raw) / 1_000)
         odd = facts.base[0] >= 100 and quality.js_distance(quality.common_word_histogram(facts, index), words) > 0.33 + 0.03 * max(0, 1 - facts.base[0] / 300)
         if not (far or odd):

@@ -4,26 +4,29 @@ A document is kept when it passes the base rules and its histograms do not diver
 language: the Jensen-Shannon distance (base 2, 0 to 1) between the document and the reference is
 taken over character classes and over common words, each only when the text is long enough for the
 figure to mean anything. The references are measured on all documents of a language that pass the
-base rules; what reaches the driver is one row per language and histogram cell, of which there are
-fixed numbers.
-
-Defined cases: a NULL or empty text has no words and fails the base rules. A document whose language
-is NULL or has no reference is compared with every reference and judged by the nearest; if there is
-no reference at all (empty table), only the base rules count. Texts are judged whole. Repeated rows
+base rules, for every language of the corpus: the common words of the four below are given, those of
+any other are its ``FREQUENT_WORDS`` most frequent ones, counted by Spark. What reaches the driver is one
+row per language and histogram cell, of which there are fixed numbers; languages that are not given need
+``MIN_DOCUMENTS`` and one in ``MOST_LANGUAGES`` of all documents, which bounds their number.
+
+Defined cases: a NULL or empty text has no words and fails the base rules. For a document whose language
+is NULL or has no reference only the base rules count: a clean text of a language that the references
+do not know is far from all of them. Texts are judged whole. Repeated rows
 get equal verdicts; other columns pass through (a column named like the output is replaced).
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.llm.common import short_batches
+from vitrina.llm.common import short_batches, stored
 
 # Common function words by language, whose frequencies are measured on the corpus.
 COMMON_WORDS = {
@@ -34,6 +37,8 @@ COMMON_WORDS = {
 }
 SPACES = "\t\n\x0b\x0c\r "
 SYMBOLS = "#*$%&|<>"
+#: Languages that are not given: their common words, and what makes a reference usable.
+FREQUENT_WORDS, MIN_DOCUMENTS, MOST_LANGUAGES = 50, 100, 10_000
 CLASSES = 7  # lower, upper, digit, white space, sentence punctuation, other ASCII, beyond ASCII
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -129,14 +134,20 @@ def word_bound(words: int, rules: Rules) -> float:
     return rules.max_word_distance + rules.word_slack * max(0.0, 1 - words / rules.steady_words)
 
 
-def common_word_histogram(facts: TextFacts, words: dict[str, int]) -> np.ndarray:
-    """Counts of the listed words (case and edge punctuation aside), and of all others last."""
-    found = np.zeros(len(words) + 1)
+def plain_words(facts: TextFacts) -> Iterator[tuple[str, int]]:
+    """Words of up to 13 bytes with their counts, case and edge punctuation aside."""
     for (word, _), n in zip(facts.words.items(), facts.counts.tolist()):
         if len(word) < 14:
-            at = words.get(word.decode().strip(".,;:!?\"'()").lower())
-            if at is not None:
-                found[at] += n
+            yield word.decode().strip(".,;:!?\"'()").lower(), n
+
+
+def common_word_histogram(facts: TextFacts, words: dict[str, int]) -> np.ndarray:
+    """Counts of the listed words, and of all others last."""
+    found = np.zeros(len(words) + 1)
+    for word, n in plain_words(facts):
+        at = words.get(word)
+        if at is not None:
+            found[at] += n
     found[-1] = facts.counts.sum() - found[:-1].sum()
     return found
 
@@ -154,61 +165,103 @@ def word_index(lang: str) -> dict[str, int]:
     return {w: i for i, w in enumerate(dict.fromkeys(COMMON_WORDS[lang].split()))}
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Class and common-word histograms of each language in ``COMMON_WORDS`` that ``docs(text, lang)``
-    holds, over all its documents that pass the base rules."""
-    langs = {lang: word_index(lang) for lang in COMMON_WORDS}
+@dataclass(frozen=True)
+class Reference:
+    """What texts of one language look like: the class histogram, the common words and their histogram."""
+
+    classes: np.ndarray
+    index: dict[str, int]
+    words: np.ndarray
+
+
+def language_references(docs: DataFrame, rules: Rules = Rules()) -> dict[str, Reference]:
+    """References of the languages that ``docs(text, lang)`` holds, over all documents that pass the base
+    rules."""
+    given = {lang: word_index(lang) for lang in COMMON_WORDS}
+    known = docs.select("lang", "text").filter("lang IS NOT NULL AND text IS NOT NULL")
 
     def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        sums: dict[str, list[np.ndarray]] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"], batch["text"]):
                 facts = TextFacts(text)
                 if base_fails(facts.base, rules):
                     continue
-                classes, words = class_histogram(facts.raw), common_word_histogram(facts, langs[lang])
-                if lang in sums:
-                    classes, words = classes + sums[lang][0], words + sums[lang][1]
-                sums[lang] = classes, words
-        cells = [(lang, kind, i, n) for lang, pair in sums.items() for kind, h in enumerate(pair) for i, n in enumerate(h)]
+                words = common_word_histogram(facts, given[lang]) if lang in given else np.zeros(0)
+                found = [class_histogram(facts.raw), words, np.ones(1)]
+                sums[lang] = [a + b for a, b in zip(found, sums[lang])] if lang in sums else found
+        cells = [(lang, kind, i, n) for lang, found in sums.items() for kind, h in enumerate(found) for i, n in enumerate(h)]
         yield pd.DataFrame(cells, columns=["lang", "kind", "cell", "n"])
 
-    cells = (
-        docs.select("lang", "text")
-        .filter(F.col("lang").isin(*langs) & F.col("text").isNotNull())
-        .mapInPandas(gather, "lang string, kind int, cell int, n double")
-        .groupBy("lang", "kind", "cell")
-        .agg(F.sum("n").alias("n"))
-        .collect()
-    )
-    references = {c.lang: (np.zeros(CLASSES), np.zeros(len(langs[c.lang]) + 1)) for c in cells}
+    cells = known.mapInPandas(gather, "lang string, kind int, cell int, n double").groupBy("lang", "kind", "cell")
+    measured, _ = stored(cells.agg(F.sum("n").alias("n")), "references")
+    documents = measured.filter("kind = 2").select("lang", F.col("n").alias("documents"))
+    least = max(MIN_DOCUMENTS, (documents.agg(F.sum("documents")).first()[0] or 0) / MOST_LANGUAGES)
+    usable = documents.filter(F.col("lang").isin(*given) | (F.col("documents") >= least))
+    cells = measured.join(usable.select("lang"), "lang", "left_semi").collect()
+    classes: dict[str, np.ndarray] = {}
+    words = {lang: np.zeros(len(index) + 1) for lang, index in given.items()}
     for c in cells:
-        references[c.lang][c.kind][c.cell] = c.n
-    return references
-
-
-def quality(text: Column, lang: Column, references: dict, rules: Rules = Rules()) -> Column:
+        if c.kind == 0:
+            classes.setdefault(c.lang, np.zeros(CLASSES))[c.cell] = c.n
+        elif c.kind == 1:
+            words[c.lang][c.cell] = c.n
+    others = frequent_words(known, sorted(set(classes) - set(given)), rules)
+    return {
+        lang: Reference(h, given[lang], words[lang]) if lang in given else Reference(h, *others[lang]) for lang, h in classes.items()
+    }
+
+
+def frequent_words(docs: DataFrame, langs: list[str], rules: Rules) -> dict[str, tuple[dict[str, int], np.ndarray]]:
+    """The most frequent words of each of ``langs``, and their histogram with all other words last."""
+    if not langs:
+        return {}
+    wanted = frozenset(langs)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found: Counter[tuple[str, str | None]] = Counter()
+            for lang, text in zip(batch["lang"], batch["text"]):
+                facts = TextFacts(text) if lang in wanted else None
+                if facts is None or base_fails(facts.base, rules):
+                    continue
+                for word, n in plain_words(facts):
+                    found[lang, word] += n
+                found[lang, None] += int(facts.counts.sum())
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
+
+    counts = docs.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = counts.filter("word IS NOT NULL AND word <> ''").withColumn("rank", first).filter(F.col("rank") <= FREQUENT_WORDS)
+    rows = top.unionByName(counts.filter("word IS NULL").withColumn("rank", F.lit(0))).collect()
+    out = {}
+    for lang in langs:
+        listed = sorted((r.rank, r.word, r.n) for r in rows if r.lang == lang and r.rank)
+        total = sum(r.n for r in rows if r.lang == lang and not r.rank)
+        histogram = np.array([n for _, _, n in listed] + [total - sum(n for _, _, n in listed)], float)
+        out[lang] = {w: i for i, (_, w, _) in enumerate(listed)}, histogram
+    return out
+
+
+def quality(text: Column, lang: Column, references: dict[str, Reference], rules: Rules = Rules()) -> Column:
     """Struct of the base counts, ``base_failed``, both distances (NULL where a guard or a missing
     reference leaves them out) and ``kept``."""
-    indexes = {name: word_index(name) for name in references}
-
     def distances(facts: TextFacts, name: str) -> tuple[float | None, float | None]:
         classes = words = None
         if len(facts.raw) >= rules.min_chars:
-            classes = js_distance(class_histogram(facts.raw), references[name][0])
+            classes = js_distance(class_histogram(facts.raw), references[name].classes)
         if facts.base[0] >= rules.min_words:
-            words = js_distance(common_word_histogram(facts, indexes[name]), references[name][1])
+            words = js_distance(common_word_histogram(facts, references[name].index), references[name].words)
         return classes, words
 
     def judge(text: str | None, lang: str | None) -> tuple:
         facts = TextFacts(text)
         if base_fails(facts.base, rules):
             return (*facts.base, True, None, None, False)
-        names = [lang] if lang in references else list(references)
-        best = min((distances(facts, x) for x in names), key=lambda d: (d[0] or 0) + (d[1] or 0), default=(None, None))
-        near = (best[0] or 0) <= class_bound(len(facts.raw), rules)
-        kept = near and (best[1] or 0) <= word_bound(facts.base[0], rules)
-        return (*facts.base, False, *best, kept)
+        classes, words = distances(facts, lang) if lang in references else (None, None)
+        near = (classes or 0) <= class_bound(len(facts.raw), rules)
+        kept = near and (words or 0) <= word_bound(facts.base[0], rules)
+        return (*facts.base, False, classes, words, kept)
 
     @F.pandas_udf(
         ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, class_distance double, word_distance double, kept boolean"
