@@ -78,8 +78,8 @@ def plain_spans(text: str) -> list[Span]:
 
 # Letters that look like ASCII ones (Cyrillic and Greek), and characters that do not show.
 LOOK_ALIKE = str.maketrans(
-    "АВЕЅІЈКМНОРСТХУаеѕіјорсухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧο",
-    "ABESIJKMHOPCTXYaesijopcyxdqwABEZHIKMNOPTYXo",
+    "АВЕЅІЈКМНОРСТХУаеѕіјорсухԁԛԝΑΒΕΖΗΙΚΜΝΟΡΤΥΧοαειικνρτυχωη",
+    "ABESIJKMHOPCTXYaesijopcyxdqwABEZHIKMNOPTYXoaeiikvptuxwn",
 )
 HIDDEN = "­​‌‍⁠﻿"
 # Spaces and dashes that stand for the plain ones.
@@ -109,16 +109,29 @@ PLACE = frozenset(
     "there shop store online see read and or work works worked working meet job jobs start starts".split()
 )
 
-LOOKS = re.compile(f"[{''.join(map(chr, LOOK_ALIKE))}{HIDDEN}{''.join(PLAIN_MARKS)}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\U0001d7ce-\U0001d7ff]")
+LOOKS = re.compile(f"[{''.join(map(chr, LOOK_ALIKE))}{HIDDEN}{''.join(PLAIN_MARKS)}\uff01-\uff5e\u0660-\u0669\u06f0-\u06f9\u0966-\u096f\U0001d400-\U0001d7ff]")
 # A run of spelled digits and numerals, of any length; it counts when a word is among them. The detectors decide.
 _unit = rf"(?:plus|{_digit}|[0-9]++)(?!\w)"
 DIGITS = re.compile(rf"(?<!\w){_unit}(?:[ ,.()-]{{1,3}}{_unit})*+", re.IGNORECASE)
 WORD = re.compile("[a-z]", re.IGNORECASE)
 ONE_DIGIT = re.compile(_unit, re.IGNORECASE)
 MARKED = re.compile(
-    rf" ?{_open} ?(?:({_at})|{_dot}) ?{_close} ?|(&#64;|&#x40;|&commat;)|&#46;|&#x2e;|&period;", re.IGNORECASE
+    rf" ?{_open} ?(?:({_at}|@)|(?:{_dot}|\.)) ?{_close} ?|(&#64;|&#x40;|&commat;)|&#46;|&#x2e;|&period;", re.IGNORECASE
 )
-_dotted = rf"[A-Za-z0-9-]+(?: (?:{_dot}) [A-Za-z]| ?\.(?-i:[a-z]{{2}}))"
+# "at" and "dot" between equal marks; the sign needs such a dot behind it, since names in code hold "_at_".
+_mark = r"""["'*~_-]"""
+WRAPPED = re.compile(
+    rf""" ?({_mark})(?:(?:{_at})\1 ?(?=[A-Za-z0-9-]+? ?({_mark})(?:{_dot})\2 ?[A-Za-z])|({_dot})\1 ?(?=[A-Za-z]))""", re.IGNORECASE
+)
+# Letters that stand for digits in a run with more digits than these, and cards grouped by other separators.
+DIGIT_LETTERS = str.maketrans("OoIl", "0011")
+LOOKED_RUN = re.compile(r"(?<![\w.])\+?[0-9OoIl]++(?:[ .()-]{1,2}[0-9OoIl]++)*+(?![\w])")
+GROUPED = re.compile(r"(?<![\w.])[0-9]{4}(?:([._/]| {2,3})(?:[0-9]{4}\1){2}[0-9]{4}(?:\1[0-9]{3})?|([._/]| {2,3})[0-9]{6}\2[0-9]{5})(?![\w])")
+GROUP_END = re.compile(r"[._/]| {2,3}")
+# What a dot with space around it has to stand before where the sign is spoken, since sentences end so too.
+_endings = "com|org|net|edu|gov|info|io|eu"
+_loose = rf" \. ?(?=(?-i:{_endings})(?!\w))"
+_dotted = rf"[A-Za-z0-9-]+(?: (?:{_dot}) [A-Za-z]| ?\.(?-i:[a-z]{{2}})|{_loose})"
 SPOKEN = re.compile(rf"(?<=[\w.+-]) (?:{_at}) (?={_dotted})", re.IGNORECASE)
 _label = "[A-Za-z0-9_%+-]++"
 _heads = "".join(f"(?<!{w} )" for w in _dot.split("|"))  # a row of labels is read from its first one only
@@ -131,6 +144,7 @@ LABEL = re.compile(r"[A-Za-z0-9-]+")
 SPOKEN_DOT = re.compile(rf" (?:{_dot}) (?=[A-Za-z])", re.IGNORECASE)
 SPACED = re.compile(rf"(?<=[\w+-])(?: @ ?|@ )(?=[A-Za-z0-9-]+(?: \. ?|\. ?| (?:{_dot}) )[A-Za-z]{{2}})", re.IGNORECASE)
 SIGN = re.compile("@")
+LOOSE_DOT = re.compile(_loose)
 SPACED_DOT = re.compile(r" \. ?(?=[a-z])|\. (?=[a-z])")
 
 
@@ -168,7 +182,11 @@ def _plain_looks(c: str) -> str:
         return PLAIN_MARKS.get(c, "")
     if 0xFF01 <= ord(c) <= 0xFF5E:
         return chr(ord(c) - 0xFEE0)
-    return c.translate(LOOK_ALIKE) if ord(c) in LOOK_ALIKE else str(unicodedata.digit(c))
+    if ord(c) in LOOK_ALIKE:
+        return c.translate(LOOK_ALIKE)
+    if ord(c) >= 0x1D400:  # mathematical letters and digits
+        return unicodedata.normalize("NFKC", c).translate(LOOK_ALIKE)
+    return str(unicodedata.digit(c))
 
 
 def _plain_digits(run: re.Match) -> list[tuple[int, int, str]]:
@@ -194,22 +212,33 @@ def _inner_dots(found: re.Match) -> list[tuple[int, int, str]]:
     return [(found.start() + m.start(), found.start() + m.end(), ".") for m in INNER_DOT.finditer(found[0])]
 
 
+def _digit_letters(run: re.Match) -> list[tuple[int, int, str]]:
+    letters = [i for i, c in enumerate(run[0]) if c in "OoIl"]
+    if not letters or sum(map(run[0].count, "0123456789")) <= len(letters):
+        return []
+    return [(run.start() + i, run.start() + i + 1, run[0][i].translate(DIGIT_LETTERS)) for i in letters]
+
+
 def normalise(text: str) -> Tracked:
-    """Look-alikes, then spelled digits, then "at" and "dot"."""
+    """Look-alikes, then spelled digits, look-alikes and separators within numbers, then "at" and "dot"."""
     out = Tracked(text)
     out.rewrite([(m.start(), m.end(), _plain_looks(m[0])) for m in LOOKS.finditer(text)])
     out.rewrite([e for run in DIGITS.finditer(out.text) if WORD.search(run[0]) for e in _plain_digits(run)])
+    out.rewrite([e for m in LOOKED_RUN.finditer(out.text) for e in _digit_letters(m)])
+    out.rewrite([(m.start() + g.start(), m.start() + g.end(), " ") for m in GROUPED.finditer(out.text) for g in GROUP_END.finditer(m[0])])
     out.rewrite([(m.start(), m.end(), "@" if m[1] or m[2] else ".") for m in MARKED.finditer(out.text)])
+    out.rewrite([(m.start(), m.end(), "." if m[3] else "@") for m in WRAPPED.finditer(out.text)])
     for dotted in (SPOKEN_IP, SPOKEN_LOCAL):
         out.rewrite([e for m in dotted.finditer(out.text) for e in _inner_dots(m)])
-    for sign, dots in ((SPOKEN, (SPOKEN_DOT,)), (SPACED, (SPOKEN_DOT, SPACED_DOT)), (SIGN, (SPOKEN_DOT,))):
+    for sign, dots in ((SPOKEN, (SPOKEN_DOT, LOOSE_DOT)), (SPACED, (SPOKEN_DOT, SPACED_DOT)), (SIGN, (SPOKEN_DOT,))):
         out.rewrite(_address(out.text, sign, dots))
     return out
 
 
 def _is_place(text: str, sign: re.Match) -> bool:
     """Whether "at" before a plain domain follows a word of prose."""
-    if " " in text[sign.end() : LABEL.match(text, sign.end()).end() + 1][-1:]:
+    end = LABEL.match(text, sign.end()).end()
+    if text.startswith(" ", end) and not text.startswith(" .", end):
         return False
     words = text[max(0, sign.start() - 12) : sign.start()].split(" ")
     return words[-1].lower() in PLACE
@@ -238,6 +267,9 @@ def _address(text: str, sign: re.Pattern, dots: tuple[re.Pattern, ...]) -> list[
 
 SPELLED_WORDS, AT_WORDS, DOT_WORDS = frozenset([*DIGIT_OF, "plus"]), frozenset(_at.split("|")), frozenset(_dot.split("|"))
 ANY_WORD = re.compile(r"\w+")
+BRACKETED = re.compile(rf"{_open} ?[.@] ?{_close}")
+# A run with a letter next to a numeral or between dots, as a first look.
+LOOKED_NUMBER = re.compile(r"(?<![\w.])\+?(?=[0-9OoIl .()-]{7})[0-9OoIl]++(?:[ .()-]{1,2}[0-9OoIl]++)++(?![\w])|(?<![\w.])\+?[0-9OoIl]{7,}+(?!\w)")
 
 
 def is_disguised(text: str) -> bool:
@@ -248,6 +280,10 @@ def is_disguised(text: str) -> bool:
     low = text.lower()
     if " @" in low or "@ " in low or "&" in low and MARKED.search(low):
         return True
+    if BRACKETED.search(text) or GROUPED.search(text) or any(_digit_letters(m) for m in LOOKED_NUMBER.finditer(text)):
+        return True
+    if any(w in low for w in DOT_WORDS) and WRAPPED.search(text):
+        return True
     words = ANY_WORD.findall(low)
     if not DOT_WORDS.isdisjoint(words) and any(t.search(text) for t in (MARKED, SPOKEN_IP, SPOKEN_LOCAL, SPOKEN, SPOKEN_DOT)):
         return True
