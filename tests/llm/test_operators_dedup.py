@@ -197,3 +197,39 @@ def test_odd_documents(spark):
     assert kept.columns == frame.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 7]
     assert simhash.classes(frame.limit(0)).count() == 0
+
+
+def test_neighbours_across_partition_cuts(spark):
+    """Pairs next to each other in the order are found whatever the partitions."""
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((1_500, 16))
+    rows = []
+    for i, v in enumerate(base):
+        rows += [(0, "l", 16, 2 * i, 2 * i, v.tolist()), (0, "l", 16, 2 * i + 1, 2 * i + 1, (v + 0.01).tolist())]
+    frame = spark.createDataFrame(rows, "pass int, label string, size int, key long, node long, vector array<double>")
+    for parts in (1, 7, 20):
+        placed = frame.repartitionByRange(parts, "key").sortWithinPartitions(*embedding_dedup.PLACE)
+        found = {(r.a, r.b) for r in embedding_dedup.window_links(placed, 64, 0.98).collect()}
+        assert {(2 * i + 1, 2 * i) for i in range(1_500)} <= found
+
+
+def test_recall_over_many_partitions(spark):
+    """Isolated pairs at a cosine of about 0.985, with many more partitions than the data needs."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((2_000, 32))
+    noise = rng.standard_normal((2_000, 32))
+    near = base + 0.17 * noise * (np.linalg.norm(base, axis=1) / np.linalg.norm(noise, axis=1))[:, None]
+    vectors = np.concatenate([base, near])
+    frame = spark.createDataFrame([(i, v.tolist(), "l") for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label string")
+    before = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = {r.vec_id: r.component_id for r in embedding_dedup.near_duplicates(frame).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
+    cosine = (vectors[:2_000] * vectors[2_000:]).sum(1) / np.linalg.norm(vectors[:2_000], axis=1) / np.linalg.norm(vectors[2_000:], axis=1)
+    pairs = [i for i in range(2_000) if cosine[i] >= 0.98]
+    assert len(pairs) > 1_000
+    assert sum(found[i + 2_000] == found[i] for i in pairs) >= 0.99 * len(pairs)

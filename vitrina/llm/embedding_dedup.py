@@ -2,7 +2,8 @@
 
 Equal vectors of a label are one row with a count first. In each pass every vector gets a key of
 random-hyperplane bits; vectors are dealt by ranges of (pass, label, key), sorted, and compared with
-their next ``window`` neighbours in that order. Pairs are verified by cosine in double precision. What
+their next ``window`` neighbours in that order, across the cuts between ranges as well (a range of fewer
+than ``window`` rows hides what lies beyond it). Pairs are verified by cosine in double precision. What
 leaves a partition is one link per vector to the first of its class there, which keeps all classes and
 no pair list; links of all passes are united into components.
 
@@ -23,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -85,31 +87,76 @@ def first_of_class(near_a: np.ndarray, near_b: np.ndarray, n: int) -> np.ndarray
     return root
 
 
+PLACE = ["pass", "label", "size", "key", "node"]
+GROUP = ["pass", "label", "size"]
+
+
+def _window_hits(node: np.ndarray, rows: np.ndarray, old: int, window: int, cosine: float) -> pd.DataFrame:
+    """Links of neighbours in order, those among the first ``old`` rows aside: each node to its class's first."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for step in range(1, min(window, node.size - 1) + 1):
+        low = max(0, old - step)
+        hit = low + np.flatnonzero(np.einsum("ij,ij->i", rows[low:-step], rows[low + step :]) >= cosine)
+        a.append(hit)
+        b.append(hit + step)
+    root = first_of_class(np.concatenate(a), np.concatenate(b), node.size)
+    moved = np.flatnonzero(root != np.arange(node.size))
+    return pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
+
+
 def window_links(sorted_rows: DataFrame, window: int, cosine: float) -> DataFrame:
-    """``(a, b)`` node links found among neighbours of partitions sorted by pass, label and key."""
+    """``(a, b)`` node links found among neighbours in the order of pass, label and key. ``sorted_rows`` is
+    cut into ordered partitions; each also gives out its first and its last ``window`` rows, and those on
+    both sides of a cut are compared in a second step."""
+    kind = sorted_rows.schema["vector"].dataType.simpleString()
+
+    def edge(rows: pd.DataFrame, cut: int) -> pd.DataFrame:
+        return rows[[*PLACE, "vector"]].assign(cut=cut, a=None, b=None)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        part_id, held, tail, seen = TaskContext.get().partitionId(), None, None, 0
         for batch in batches:
-            for _, part in batch.groupby(["pass", "label", "size"], sort=False):
-                group = (part["pass"].iloc[0], part["label"].iloc[0], part["size"].iloc[0])
+            if batch.empty:
+                continue
+            if seen < window:
+                yield edge(batch.iloc[: window - seen], part_id)
+            seen += len(batch)
+            tail = batch if tail is None else pd.concat([tail.iloc[-window:], batch], ignore_index=True)
+            tail = tail.iloc[-window:]
+            for _, part in batch.groupby(GROUP, sort=False):
+                group = tuple(part[c].iloc[0] for c in GROUP)
                 node, rows = part["node"].to_numpy(), unit_rows(part["vector"].tolist())
                 old = 0
                 if held is not None and held[0] == group:  # the end of the last batch belongs to it
                     node, rows, old = np.concatenate([held[1], node]), np.concatenate([held[2], rows]), held[1].size
-                a, b = [], []
-                for step in range(1, min(window, node.size - 1) + 1):
-                    low = max(0, old - step)
-                    hit = low + np.flatnonzero(np.einsum("ij,ij->i", rows[low:-step], rows[low + step :]) >= cosine)
-                    a.append(hit)
-                    b.append(hit + step)
                 held = (group, node[-window:], rows[-window:])
-                if a:
-                    root = first_of_class(np.concatenate(a), np.concatenate(b), node.size)
-                    moved = np.flatnonzero(root != np.arange(node.size))
-                    yield pd.DataFrame({"a": node[moved], "b": node[root[moved]]})
+                found = _window_hits(node, rows, old, window, cosine)
+                yield found.assign(cut=None, **{c: None for c in (*PLACE, "vector")})
+        if tail is not None:
+            yield edge(tail, part_id + 1)
 
-    return sorted_rows.mapInPandas(compare, "a long, b long")
+    def over_cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if batch.empty:
+                continue
+            last = batch["cut"] == batch["cut"].iloc[-1]  # the rows of a cut are few
+            held = batch[last]
+            yield from cut_links(batch[~last])
+        if held is not None:
+            yield from cut_links(held)
+
+    def cut_links(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        for _, part in rows.groupby(["cut", *GROUP], sort=False):
+            part = part.drop_duplicates("node")
+            yield _window_hits(part["node"].to_numpy(), unit_rows(part["vector"].tolist()), 0, window, cosine)
+
+    placed = f"pass int, label string, size int, key long, node long, vector {kind}"
+    found, _ = stored(sorted_rows.mapInPandas(compare, f"a long, b long, cut long, {placed}"), "window-links")
+    edges = found.filter("cut IS NOT NULL").select("cut", *PLACE, "vector")
+    across = edges.repartition("cut").sortWithinPartitions("cut", *PLACE).mapInPandas(over_cut, "a long, b long")
+    return found.filter("cut IS NULL").select("a", "b").unionByName(across)
 
 
 def counted_links(members: DataFrame, cosine: float, block: int = BLOCK) -> DataFrame:
