@@ -45,6 +45,8 @@ TOP = 50
 VOCABULARY_BYTES = 8 << 20
 #: Shares of all postings that have been read after each layer.
 LAYERS = (1 / 27, 1 / 9, 1 / 3, 1.0)
+#: Candidates of closed items that are sent to the tasks to pick their postings, at some 50 bytes each.
+CANDIDATES_SENT = 500_000
 #: Partitions whose best documents meet in the first step of taking a threshold.
 TOGETHER = 256
 
@@ -174,6 +176,7 @@ class Search:
 
     def __init__(self, postings: DataFrame, item_terms: DataFrame, cuts: list[int], top: int) -> None:
         self.postings, self.cuts, self.top = postings, cuts, top
+        self.paths: list[str] = []  # of the candidates of the last layers
         most = item_terms.groupBy("item").count().agg(F.max("count")).first()[0] or 1
         self.bits = most.bit_length()
         #: Places for the numbers of seen terms: that of a list is the layer that ends it.
@@ -210,22 +213,29 @@ class Search:
             read.join(wanted.filter(kind).drop("closed"), "tid").select("item", "row", "doc_id", "impact", "ends")
             for kind in ("NOT closed", "closed")
         ]
-        # A table of its own: closed items have few candidates, which its size shows to the planner.
         few, _ = stored(state.join(status.filter("closed AND NOT resolved"), "item", "left_semi").select("item", "row"), "closed")
-        return hits[0].unionByName(hits[1].join(few, ["item", "row"], "left_semi"))
+        if few.count() <= CANDIDATES_SENT:
+            hits[1] = hits[1].join(F.broadcast(few), ["item", "row"], "left_semi")
+        return hits[0].unionByName(hits[1])  # others that are no candidates leave once they are added up
 
     def advance(self, r: int, state: DataFrame | None, status: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """Candidates and item status after layer ``r``."""
         one = F.call_function("shiftleft", F.lit(1).cast("long"), self.place(F.col("ends")) * self.bits)
         read = self.layer(r, state, status).select("item", "row", "doc_id", F.col("impact").alias("lower"), one.alias("seen"))
-        both = read if state is None else state.select(read.columns).unionByName(read)
-        sums = F.max("doc_id").alias("doc_id"), F.sum("lower").alias("lower"), F.sum("seen").alias("seen")
-        met, met_path = stored(both.groupBy("item", "row").agg(*sums), "intervals")
+        both = read.withColumn("known", F.lit(0))
+        if state is not None:
+            both = both.unionByName(state.select(*read.columns, F.lit(1).alias("known")))
+        sums = [F.max("doc_id").alias("doc_id"), F.sum("lower").alias("lower"), F.sum("seen").alias("seen"), F.max("known").alias("known")]
+        together = both.groupBy("item", "row").agg(*sums)
+        if status is not None:
+            shut = status.filter("closed").select("item", F.lit(1).alias("shut"))
+            together = together.join(shut, "item", "left").filter("shut IS NULL OR known = 1").drop("shut")
+        met, met_path = stored(together.drop("known"), "intervals")
         last = _best(met.select("item", "row", "doc_id", "lower"), self.top).filter(F.col("rank") == self.top)
         mark = last.select("item", F.col("lower").alias("mark"), F.col("doc_id").alias("mark_doc_id"), F.col("row").alias("mark_row"))
         marks, _ = stored(self.bounds(r).join(mark, "item", "left"), "marks")
         ahead = (F.col("upper") > F.col("mark")) | ((F.col("upper") == F.col("mark")) & (_order() <= _order("mark_")))
-        kept, _ = stored(
+        kept, kept_path = stored(
             met.join(marks, "item").withColumn("upper", self.upper(r)).filter(F.col("mark").isNull() | ahead).select(*met.columns, "upper"),
             "candidates",
         )
@@ -236,13 +246,17 @@ class Search:
             "status",
         )
         discard(met.sparkSession, met_path)
+        self.paths.append(kept_path)
         return kept, after
 
     def run(self) -> DataFrame:
         """``(item, row, doc_id, lower, rank)`` of the best documents of every item."""
         state = status = None
         for r in range(len(self.cuts)):
+            before = state
             state, status = self.advance(r, state, status)
+            if before is not None:
+                discard(before.sparkSession, self.paths.pop(0))
             if status.filter("NOT resolved").count() == 0:
                 break
         return _best(state.select("item", "row", "doc_id", "lower"), self.top)

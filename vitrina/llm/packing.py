@@ -46,7 +46,7 @@ from vitrina.llm.common import portions, short_batches, stored
 
 CAPACITY = 2048
 #: Encoded words that a worker keeps; the store is emptied when full, which affects speed only.
-KEPT_WORDS, KEPT_LENGTH = 800_000, 48
+KEPT_WORDS, KEPT_LENGTH = 1_000_000, 48
 #: Texts that are split and encoded together, in characters.
 TOGETHER_CHARS = 8_000_000
 
@@ -61,8 +61,9 @@ Run = tuple[list[tuple[int, int]], int]
 _SPACES = {0x09, 0x0A, 0x0D}
 _CUT = bytes(0x20 if b in _SPACES else b for b in range(256))
 _CUT_FOLD = bytes(0x20 if b in _SPACES else b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
-#: Small Latin letters, which normalisation leaves alone and no pre-tokenizer parts.
-_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+([.,])?")
+#: Small Latin letters, which normalisation leaves alone and no pre-tokenizer parts, and ASCII marks behind
+#: them, which it parts from them; but for the apostrophe, which can begin a suffix.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+([!-&(-/:-@\[-`{-~]+)?")
 #: Where folding before the tokenizer would change what it sees: capitals that compose with a mark, and
 #: strings that could become those of special tokens.
 _KEEP_CAPITALS = re.compile(rb"[A-Z][\xcc-\xff]|<\|")
@@ -83,7 +84,7 @@ class WordEncoder:
     Texts are split, and their words told apart and replaced by their ids, by Arrow functions. Words that
     were met before come from a store. New ones are encoded many at once, so that an encoding is not made for
     each: words of small Latin letters one after the other, told apart by the mark that ends a word; words
-    ending in "." or "," in two parts; most others with a word between them that holds a character of its own.
+    that end in marks in two parts; most others with a word between them that holds a character of its own.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -141,14 +142,18 @@ class WordEncoder:
         kept = self.kept
         plain, ending, others = [], [], []
         for w, said in zip(words, map(_PLAIN.fullmatch, words)):
-            (others if said is None else plain if said[1] is None else ending).append(w)
-        stems = {w[:-1] for w in ending}
+            if said is None:
+                others.append(w)
+            elif said[1] is None:
+                plain.append(w)
+            else:
+                ending.append((w, said[1]))
+        stems = {w[: -len(tail)] for w, tail in ending}
         found = self.plain_words([*plain, *stems.difference(plain, kept)])
-        found |= self.any_words([*others, *(m for m in (b".", b",") if m not in kept and m not in others)])
-        marks = {m: kept.get(m) or found[m] for m in (b".", b",")}
-        for w in ending:
-            stem = w[:-1]
-            found[w] = (found.get(stem) or kept[stem]) + marks[w[-1:]]
+        found |= self.any_words(list({*others, *(tail for _, tail in ending if tail not in kept)}))
+        for w, tail in ending:
+            stem = w[: -len(tail)]
+            found[w] = (found.get(stem) or kept[stem]) + (found.get(tail) or kept[tail])
         return found
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
