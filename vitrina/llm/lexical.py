@@ -208,10 +208,10 @@ class Search:
         terms = self.item_terms.select("item", "tid", "ends")
         if status is None:
             return read.join(terms, "tid").select("item", "row", "doc_id", "impact", "ends")
-        wanted = terms.join(status.filter("NOT resolved").select("item", "closed"), "item")
+        # Semi-joins keep the items' few terms small in the planner's eyes, and the postings unshuffled.
         hits = [
-            read.join(wanted.filter(kind).drop("closed"), "tid").select("item", "row", "doc_id", "impact", "ends")
-            for kind in ("NOT closed", "closed")
+            read.join(terms.join(status.filter(kind), "item", "left_semi"), "tid").select("item", "row", "doc_id", "impact", "ends")
+            for kind in ("NOT closed", "closed AND NOT resolved")
         ]
         few, _ = stored(state.join(status.filter("closed AND NOT resolved"), "item", "left_semi").select("item", "row"), "closed")
         if few.count() <= CANDIDATES_SENT:
