@@ -56,10 +56,16 @@ def test_entry(spark):
 WITHOUT_JOBS = sorted(set(QUERIES) - {"roundtrip_parquet"})
 
 
+# Records that lie over byte ranges are put together in file order, a task at a time, which no
+# built-in operator expresses: these readers alone run Python.
+BYTE_RANGES = {"ingest_csv", "dump_tuple_rows", "dump_tuple_tables"}
+
+
 @pytest.mark.parametrize("name", WITHOUT_JOBS)
 def test_plan_has_no_cross_join_or_python(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search(r"CartesianProduct|NestedLoopJoin|PythonUDF|MapInPandas|MapInArrow", plan)
+    assert not re.search(r"CartesianProduct|NestedLoopJoin|PythonUDF|MapInArrow", plan)
+    assert ("MapInPandas" in plan) == (name in BYTE_RANGES)
 
 
 @pytest.mark.parametrize("name", ["rep_kpis", "shelf_kpis", "monthly_rollup", "geo_kpis"])
