@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.clock import clock_text
@@ -22,6 +25,7 @@ from vitrina.operators.filters import between_days, chosen, plausible_years
 from vitrina.operators.lookups import one_row_per_id, with_attributes
 from vitrina.operators.quantiles import exact_quantiles
 from vitrina.operators.ranking import ascending, descending, options
+from vitrina.sources.daily import Refresh, refresh_days
 from vitrina.sources.tables import write_parquet
 
 # Display names of the visit listing.
@@ -40,17 +44,26 @@ DETAIL_LABELS = {
 }
 
 
-def enriched_visits(
-    visits: DataFrame,
-    stores: DataFrame,
-    teams: DataFrame,
-    clients: list[int] | None = None,
-    first_year: int | None = None,
-    last_year: int | None = None,
+# Columns of the visit table that the enrichment reads.
+VISIT_COLUMNS = [
+    "cliente_id",
+    "usuario_id",
+    "cuadrilla_id",
+    "punto_venta_id",
+    "fecha_planeada",
+    "fecha_real_inicio",
+    "latitude_check_in",
+    "longitude_check_in",
+    "latitude_pdv",
+    "longitude_pdv",
+    "is_no_planeada",
+]
+TEAM_COLUMNS = ["ruta", "entidad", "region", "plaza"]
+
+
+def _located(
+    visits: DataFrame, clients: list[int] | None, first_year: int | None, last_year: int | None
 ) -> DataFrame:
-    """Started visits with usable coordinates, plus store and team attributes. Names are
-    normalised on the store table, before the join, not once per visit. Years are bounded only
-    where the caller says so."""
     located = plausible_years(visits, "fecha_planeada", first_year, last_year).where(
         F.col("fecha_real_inicio").isNotNull()
         & usable("latitude_check_in")
@@ -58,23 +71,22 @@ def enriched_visits(
         & F.col("latitude_pdv").isNotNull()
         & F.col("longitude_pdv").isNotNull()
     )
-    if clients is not None:
-        located = located.where(F.col("cliente_id").isin(clients))
-    in_store = with_attributes(
-        located,
-        stores,
-        "punto_venta_id",
-        {
-            "sucursal": "sucursal",
-            "cadena": clean_chain("cadena_str"),
-            "estado": clean_state("estado_str"),
-            "municipio": clean_municipality("municipio_str"),
-        },
-    )
+    return located if clients is None else located.where(F.col("cliente_id").isin(clients))
+
+
+def _store_attributes() -> dict[str, str | Column]:
+    return {
+        "sucursal": "sucursal",
+        "cadena": clean_chain("cadena_str"),
+        "estado": clean_state("estado_str"),
+        "municipio": clean_municipality("municipio_str"),
+    }
+
+
+def _placed(located: DataFrame, stores: DataFrame, teams: DataFrame) -> DataFrame:
+    in_store = with_attributes(located, stores, "punto_venta_id", _store_attributes())
     team_rows = one_row_per_id(teams, "entidad", "ruta", "region", "plaza")
-    placed = with_attributes(
-        in_store, team_rows, "cuadrilla_id", {c: c for c in ("ruta", "entidad", "region", "plaza")}
-    )
+    placed = with_attributes(in_store, team_rows, "cuadrilla_id", {c: c for c in TEAM_COLUMNS})
     return placed.select(
         "cliente_id",
         "usuario_id",
@@ -87,14 +99,59 @@ def enriched_visits(
         F.col("latitude_pdv").alias("lat_pdv"),
         F.col("longitude_pdv").alias("lon_pdv"),
         F.col("is_no_planeada").cast("int").alias("es_fuera_ruta"),
-        "sucursal",
-        "cadena",
-        "estado",
-        "municipio",
-        "ruta",
-        "entidad",
-        "region",
-        "plaza",
+        *_store_attributes(),
+        *TEAM_COLUMNS,
+    )
+
+
+def enriched_visits(
+    visits: DataFrame,
+    stores: DataFrame,
+    teams: DataFrame,
+    clients: list[int] | None = None,
+    first_year: int | None = None,
+    last_year: int | None = None,
+) -> DataFrame:
+    """Started visits with usable coordinates, plus store and team attributes. Names are
+    normalised on the store table, before the join, not once per visit. Years are bounded only
+    where the caller says so."""
+    return _placed(_located(visits, clients, first_year, last_year), stores, teams)
+
+
+def _days_with_old(stored: DataFrame, dim: DataFrame, key: str, attributes: dict[str, str | Column]) -> DataFrame:
+    """Days with rows whose stored attributes are no longer those of the dimension. The ids that changed are
+    found on distinct (id, attributes); only their days are looked up after that."""
+    kept = stored.select(key, *attributes).distinct()
+    now = with_attributes(kept, dim, key, {f"_{name}": source for name, source in attributes.items()})
+    differs = [~F.col(name).eqNullSafe(F.col(f"_{name}")) for name in attributes]
+    changed = now.where(reduce(or_, differs)).select(key).distinct()
+    return stored.join(changed, key, "left_semi").select("dia")
+
+
+def refresh_enriched(
+    visits: DataFrame,
+    stores: DataFrame,
+    teams: DataFrame,
+    path: str,
+    clients: list[int] | None = None,
+    first_year: int | None = None,
+    last_year: int | None = None,
+    start: str | None = None,
+    end: str | None = None,
+) -> Refresh:
+    """Bring the enriched visits kept by day under ``path`` up to date in one commit. Built anew are the days
+    whose counted visits changed and the days with a store or team whose attributes changed; with ``start`` and
+    ``end`` only days between them. ``daily_table(spark, path).read()`` gives the result."""
+
+    def outdated(stored: DataFrame) -> DataFrame:
+        team_rows = one_row_per_id(teams, "entidad", "ruta", "region", "plaza")
+        return _days_with_old(stored, stores, "punto_venta_id", _store_attributes()).union(
+            _days_with_old(stored, team_rows, "cuadrilla_id", {c: c for c in TEAM_COLUMNS})
+        )
+
+    located = _located(visits, clients, first_year, last_year).select(VISIT_COLUMNS)
+    return refresh_days(
+        located, lambda rows: _placed(rows, stores, teams), path, "fecha_planeada", start=start, end=end, stale=outdated
     )
 
 

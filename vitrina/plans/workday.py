@@ -27,6 +27,7 @@ from vitrina.functions.text import or_default
 from vitrina.operators.filters import chosen, plausible_years
 from vitrina.operators.lookups import unique_by_id, with_attributes
 from vitrina.operators.ranking import ascending
+from vitrina.sources.daily import Refresh, refresh_days
 
 # Default limits of the reports.
 BUSY_VISITS_PER_DAY = 50
@@ -51,6 +52,17 @@ ITINERARY_LABELS = {
 
 REP = ["cliente_id", "usuario_id"]
 
+# Columns of the visit table that the day facts read.
+VISIT_COLUMNS = [
+    *REP,
+    "cuadrilla_id",
+    "fecha_planeada",
+    "fecha_real_inicio",
+    "fecha_real_final",
+    "is_tarea",
+    "is_no_planeada",
+]
+
 
 # --- exclusions ---------------------------------------------------------------------------------
 
@@ -158,11 +170,19 @@ def _counted(collapsed: DataFrame, users: DataFrame, busy_limit: int) -> DataFra
     return named.where(~_is_system_name("username", own)).drop("_cliente")
 
 
+def refresh_rep_days(visits: DataFrame, path: str, start: str | None = None, end: str | None = None) -> Refresh:
+    """Bring the visits kept under ``path``, collapsed on (client, rep, team, day), up to date in one commit: days
+    whose visits changed are collapsed anew. What depends on other days or on names (busy reps, teams) is left
+    to the reports, which take ``daily_table(spark, path).read()`` with ``collapsed=True``."""
+    counted = visits.where(F.col("usuario_id").isNotNull()).select(VISIT_COLUMNS)
+    return refresh_days(counted, _collapsed, path, "fecha_planeada", start=start, end=end)
+
+
 def _rep_days(
-    visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int
+    visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int, collapsed: bool = False
 ) -> DataFrame:
     in_team = with_attributes(
-        _collapsed(visits), _team_names(teams), "cuadrilla_id", {"entidad": "entidad"}
+        visits if collapsed else _collapsed(visits), _team_names(teams), "cuadrilla_id", {"entidad": "entidad"}
     )
     merged = _counted(in_team, users, busy_limit).groupBy(*REP, "username", "user_real_name", "entidad", "dia").agg(
         *[
@@ -184,12 +204,16 @@ def _rep_days(
 
 
 def rep_day_facts(
-    visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY
+    visits: DataFrame,
+    users: DataFrame,
+    teams: DataFrame,
+    busy_limit: int = BUSY_VISITS_PER_DAY,
+    collapsed: bool = False,
 ) -> DataFrame:
     """One row per rep, team and day: planned and done visits, first start, last end, workday
-    and in-store hours (never more than the workday)."""
+    and in-store hours (never more than the workday). ``collapsed``: ``visits`` is the stored day table."""
     second = F.lit(float(MICROS_PER_SECOND))
-    return _rep_days(visits, users, teams, busy_limit).select(
+    return _rep_days(visits, users, teams, busy_limit, collapsed).select(
         *REP,
         "username",
         "user_real_name",
@@ -217,8 +241,10 @@ def rep_kpis(
     start_target: int = START_TARGET_SECONDS,
     workday_target: int = WORKDAY_TARGET_HOURS,
     workday_max: int = WORKDAY_MAX_HOURS,
+    collapsed: bool = False,
 ) -> DataFrame:
-    """One row per client, rep and team with workday and compliance figures."""
+    """One row per client, rep and team with workday and compliance figures. ``collapsed``: ``visits`` is the
+    stored day table."""
     active = F.col("realizadas") > 0
     usual = (F.col("us_jornada") > 0) & (F.col("us_jornada") <= workday_max * MICROS_PER_HOUR)
     moving = F.col("us_jornada") - F.col("us_en_pdv")
@@ -234,7 +260,7 @@ def rep_kpis(
         return half_up(F.avg(F.when(usual, part)), 0)
 
     return (
-        _rep_days(visits, users, teams, busy_limit)
+        _rep_days(visits, users, teams, busy_limit, collapsed)
         .groupBy(*REP, "username", "user_real_name", "entidad")
         .agg(
             F.count_if(active).alias("dias_activos"),  # facts hold one row per day
@@ -339,11 +365,12 @@ def rep_status(reps: DataFrame) -> DataFrame:
 
 
 def daily_trend(
-    visits: DataFrame, users: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY
+    visits: DataFrame, users: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY, collapsed: bool = False
 ) -> DataFrame:
-    """Per client and day: reps, planned and done visits, compliance."""
+    """Per client and day: reps, planned and done visits, compliance. ``collapsed``: ``visits`` is the stored
+    day table."""
     per_rep = (
-        _counted(_collapsed(visits), users, busy_limit)
+        _counted(visits if collapsed else _collapsed(visits), users, busy_limit)
         .groupBy(*REP, "dia")
         .agg(F.sum("planeadas").alias("planeadas"), F.sum("realizadas").alias("realizadas"))
     )

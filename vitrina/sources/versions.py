@@ -13,7 +13,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +28,13 @@ class CommitConflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Manifest:
-    """A state of the table: its schema, and the version of every partition (``anio=2024/mes=1``)."""
+    """A state of the table: its schema, the version of every partition (``anio=2024/mes=1``), and what its
+    writer noted about the input."""
 
     number: int
     schema: StructType
     partitions: dict[str, str]
+    log: dict[str, str] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -66,7 +68,7 @@ class VersionedTable:
             said = json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
-        return Manifest(number, StructType.fromJson(said["schema"]), said["partitions"])
+        return Manifest(number, StructType.fromJson(said["schema"]), said["partitions"], said.get("log", {}))
 
     def read(self, number: int | None = None) -> DataFrame:
         """The table in its current state (or that of a number). Partition columns come from the folders, so
@@ -93,14 +95,21 @@ class VersionedTable:
             written["/".join(folders[-1 - len(self.partition_by) : -1])] = version
         return written
 
-    def commit(self, schema: StructType, partitions: dict[str, str], after: int) -> int:
+    def stored_schema(self, df: DataFrame) -> StructType:
+        """Columns in the order they are read in: data columns, then partition columns."""
+        return df.select([c for c in df.columns if c not in self.partition_by] + list(self.partition_by)).schema
+
+    def commit(
+        self, schema: StructType, partitions: dict[str, str], after: int, log: dict[str, str] | None = None
+    ) -> int:
         """Make ``partitions`` the state that follows state ``after`` (0: the first)."""
         number = after + 1
         place, files = self._place(f"versions/{number}.json")
         staged, _ = self._place(f"versions/.{uuid.uuid4().hex}.tmp")
         out = files.create(staged, False)
         try:
-            out.write(bytearray(json.dumps({"schema": schema.jsonValue(), "partitions": partitions}, sort_keys=True).encode()))
+            state = {"schema": schema.jsonValue(), "partitions": partitions, "log": log or {}}
+            out.write(bytearray(json.dumps(state, sort_keys=True).encode()))
         finally:
             out.close()
         if files.exists(place) or not files.rename(staged, place):
@@ -108,15 +117,24 @@ class VersionedTable:
             raise CommitConflict(f"state {number} of {self.path} exists already")
         return number
 
-    def replace(self, df: DataFrame, outdated: Callable[[dict[str, str]], bool]) -> int:
+    def replace(
+        self,
+        df: DataFrame,
+        outdated: Callable[[dict[str, str]], bool],
+        after: int | None = None,
+        log: dict[str, str] | None = None,
+    ) -> int:
         """One commit that takes out the partitions for which ``outdated`` holds (values as text) and puts
-        those of ``df`` in; a partition of ``df`` replaces one of the same values."""
-        before = self.manifest()
+        those of ``df`` in; a partition of ``df`` replaces one of the same values. ``after`` is the state the
+        caller worked from, by default the one current now; ``log`` replaces the log, which stays otherwise."""
+        before = self.manifest(after or None)
+        if after is None:
+            after = before.number if before else 0
         written = self.stage(df)
         kept = {p: v for p, v in (before.partitions if before else {}).items() if not outdated(partition_values(p))}
-        # Column order on reading: data columns, then partition columns.
-        columns = [c for c in df.columns if c not in self.partition_by] + list(self.partition_by)
-        return self.commit(df.select(columns).schema, kept | written, before.number if before else 0)
+        noted = (before.log if before else {}) if log is None else log
+        state = (self.stored_schema(df), kept | written, after)
+        return self.commit(*state, noted) if noted else self.commit(*state)
 
     def expire(self, keep: int = 2) -> int:
         """Delete files that none of the last ``keep`` states refers to; how many folders went. Not to be run

@@ -538,6 +538,8 @@ ORACLES: dict[str, str] = {
     ),
     # geofence
     "geo_enriched_visits": _sql("geo", "SELECT * FROM geo"),
+    "geo_refreshed": _sql("geo", "SELECT * FROM geo"),
+    "rep_day_facts_refreshed": _sql("day_facts", "SELECT * FROM day_facts"),
     "geo_visits": _sql("classed", f"SELECT {_VISIT_COLUMNS}, distancia_metros, estado_geo FROM classed"),
     "geo_period": _sql(
         "geo", "SELECT cliente_id, MIN(dia) AS dia_min, MAX(dia) AS dia_max FROM geo GROUP BY cliente_id"

@@ -36,6 +36,7 @@ from vitrina.plans import (
 )
 from vitrina.session import shared_dir
 from vitrina.sources import dump, export, profile, views
+from vitrina.sources.daily import daily_table
 from vitrina.sources.tables import read_parquet, write_parquet
 from vitrina.workload import adapters as a
 
@@ -234,6 +235,44 @@ def geo_visits(spark, sf_dir):
     )
 
 
+def _former_visits(visits):
+    """The visits before the last day came in, with one day's marks and one day's hours still wrong."""
+    last, first = (
+        visits.agg(F.max("fecha_planeada").alias("ultimo"), F.min("fecha_planeada").alias("primero")).first()
+    )
+    day, hour = F.col("fecha_planeada"), F.expr("INTERVAL 1 HOUR")
+    return visits.where(day.isNull() | (day < F.lit(last))).withColumns(
+        {
+            "is_no_planeada": F.when(day == F.lit(first), ~F.col("is_no_planeada")).otherwise(F.col("is_no_planeada")),
+            "fecha_real_final": F.when(day == F.date_add(F.lit(first), 1), F.col("fecha_real_final") + hour).otherwise(
+                F.col("fecha_real_final")
+            ),
+        }
+    )
+
+
+@query
+def geo_refreshed(spark, sf_dir):
+    """Enriched visits kept by day, brought up to date after a new day, a corrected day and a renamed store."""
+    visits, stores, teams = a.visits(spark, sf_dir), _stores(spark, sf_dir), a.teams(spark, sf_dir)
+    path, clients = shared_dir(spark, "geo"), [0, 1, 2, 3]
+    former = stores.withColumn("sucursal", F.when(F.col("id") != 1, F.col("sucursal")).otherwise("Suc antigua"))
+    geofence.refresh_enriched(_former_visits(visits), former, teams, path, clients)
+    geofence.refresh_enriched(visits, stores, teams, path, clients)
+    stored = daily_table(spark, path).read()
+    return stored.withColumn("lon_pdv", F.nanvl("lon_pdv", F.lit(None)))
+
+
+@query
+def rep_day_facts_refreshed(spark, sf_dir):
+    """Rep-day facts from the collapsed visits kept by day, after a new day and corrected days."""
+    visits, users, teams = _ops(spark, sf_dir)
+    path = shared_dir(spark, "rep-days")
+    workday.refresh_rep_days(_former_visits(visits), path)
+    workday.refresh_rep_days(visits, path)
+    return workday.rep_day_facts(daily_table(spark, path).read(), users, teams, a.BUSY_LIMIT, collapsed=True)
+
+
 QUERIES["geo_period"] = _on(_geo, geofence.geo_period)
 QUERIES["geo_options_state"] = _on(_geo, geofence.state_options)
 QUERIES["geo_options_municipality"] = _on(
