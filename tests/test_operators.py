@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from vitrina.operators import filters, lookups, quantiles, ranking, reshape
 from vitrina.plans.geofence import DETAIL_LABELS
 from vitrina.plans.workday import ITINERARY_LABELS
+from vitrina.sources.tables import Tables
 
 
 def test_chosen_skips_the_all_choices(spark):
@@ -124,3 +125,23 @@ def test_quantiles_of_many_groups_and_infinite_values(spark, monkeypatch):
     assert {r.k: r.q for r in quantiles.exact_quantiles(df, ["k"], "v", {"q": 0.3}).collect()} == pytest.approx(expected)
     endless = spark.createDataFrame([(1, 1.0), (1, 2.0), (1, float("inf"))], "k int, v double")
     assert quantiles.exact_quantiles(endless, ["k"], "v", {"q": 0.5}).first().q == 2.0
+
+
+def test_stored_dimension_is_not_grouped_again(spark, rows, tmp_path):
+    dim = spark.createDataFrame(
+        [(1, None, 5), (1, "b", 7), (1, "b", 6), (2, None, None), (None, "x", 1)], "id long, nombre string, k int"
+    )
+    tables = Tables(spark, str(tmp_path))
+    tables.write_dimension(dim, "articulos")
+    stored = tables.dimension("articulos")
+    assert lookups.is_unique(stored) and not lookups.is_unique(dim) and not lookups.is_unique(lookups.unmarked(stored))
+    assert sorted(rows(stored)) == [(1, "b", 6), (2, None, None)]
+    fact = spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "x long")
+    expected = sorted(rows(lookups.with_attributes(fact, dim, "x", {"n": "nombre"})), key=str)
+    joined = lookups.with_attributes(fact, stored, "x", {"n": "nombre"})
+    assert sorted(rows(joined), key=str) == expected
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "ReadSchema: struct<id:bigint,nombre:string>" in plan
+    # A union repeats ids: without the mark they are one row again.
+    twice = lookups.unmarked(stored.union(stored))
+    assert sorted(rows(lookups.with_attributes(fact, twice, "x", {"n": "nombre"})), key=str) == expected

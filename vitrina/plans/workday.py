@@ -25,7 +25,7 @@ from vitrina.functions.labels import VISIT_LEVELS, is_supervisor, level
 from vitrina.functions.numbers import half_even, half_up, mean, percent
 from vitrina.functions.text import or_default
 from vitrina.operators.filters import chosen, plausible_years
-from vitrina.operators.lookups import unique_by_id, with_attributes
+from vitrina.operators.lookups import marked_unique, unique_by_id, with_attributes
 from vitrina.operators.ranking import ascending
 from vitrina.sources.daily import Refresh, refresh_days
 
@@ -117,7 +117,7 @@ def clean_visits(
 
 def _team_names(teams: DataFrame) -> DataFrame:
     named = teams.where(F.trim("entidad") != "")
-    return named.groupBy("id").agg(F.min("entidad").alias("entidad"))
+    return marked_unique(named.groupBy("id").agg(F.min("entidad").alias("entidad")))
 
 
 # --- collapsed visits ---------------------------------------------------------------------------

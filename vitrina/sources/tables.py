@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrina.operators.lookups import unique_by_id
 from vitrina.schemas import SCHEMAS
 
 
@@ -23,15 +25,26 @@ class Tables:
         return f"{self.base.rstrip('/')}/{folder}/{name}.parquet"
 
     def read(self, name: str, client: str | None = None) -> DataFrame:
+        return self._first(name, client, lambda path: self._scan(name, path))
+
+    def dimension(self, name: str, client: str | None = None) -> DataFrame:
+        """A dimension by its own schema, which says whether it holds one row per id (``write_dimension``)."""
+        return self._first(name, client, self.spark.read.parquet)
+
+    def _first(self, name: str, client: str | None, scan: Callable[[str], DataFrame]) -> DataFrame:
         candidates = [client] if client else list(self.folders)
         for folder in candidates:
             try:
-                return self._scan(name, self.path(name, folder))
+                return scan(self.path(name, folder))
             except AnalysisException as missing:
                 if missing.getCondition() != "PATH_NOT_FOUND":
                     raise
         raise FileNotFoundError(f"table {name!r} not found under {self.base} in {candidates}")
 
+    def write_dimension(self, dim: DataFrame, name: str, folder: str | None = None) -> None:
+        """Store a dimension with one row per id, once, at ingest."""
+        write_dimension(dim, self.path(name, folder or self.folders[0]))
+
     def _scan(self, name: str, path: str) -> DataFrame:
         return read_parquet(self.spark, path, name)
 
@@ -41,6 +54,12 @@ class Tables:
             self.read(name, client).createOrReplaceTempView(name)
 
 
+def write_dimension(dim: DataFrame, path: str, key: str = "id") -> None:
+    """Overwrite a dimension with one row per ``key``; its file says so, and jobs that read it skip the
+    grouping."""
+    write_parquet(unique_by_id(dim, key), path)
+
+
 def read_parquet(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """Scan with the declared schema when the logical name has one."""
     reader = spark.read
