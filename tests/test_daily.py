@@ -164,6 +164,26 @@ def test_reports_from_the_stored_days(spark, tmp_path, dims):
     assert bag(workday.daily_trend(stored, users, limit, collapsed=True)) == bag(workday.daily_trend(more, users, limit))
 
 
+def visit_scans(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return sum("fecha_planeada" in columns for columns in re.findall(r"FileScan parquet \[([^\]]*)\]", plan))
+
+
+def test_busy_reps_from_the_stored_days(spark, tmp_path, dims):
+    _, teams, users = dims
+    visits, path = on_disk(made_visits(spark, 8), str(tmp_path / "visits")), str(tmp_path / "days")
+    workday.refresh_rep_days(visits, path)
+    days = daily.daily_table(spark, path).read()
+    busiest = [r[0] for r in visits.where("usuario_id IS NOT NULL").groupBy("cliente_id", "usuario_id", "fecha_planeada").count().select("count").collect()]
+    limit = sorted(busiest)[-3]
+    assert 0 < workday.excluded_users(visits, users, limit).count() < 12
+    assert bag(workday.excluded_users(visits, users, limit, days)) == bag(workday.excluded_users(visits, users, limit))
+    for job in (workday.clean_visits, workday.itinerary):
+        once = job(visits, users, teams, limit, days)
+        assert bag(once) == bag(job(visits, users, teams, limit))
+        assert visit_scans(once) == 1 and visit_scans(job(visits, users, teams, limit)) == 2
+
+
 def test_second_of_two_refreshes_fails(spark, tmp_path, dims, monkeypatch):
     stores, teams, _ = dims
     visits, path = made_visits(spark, 6), str(tmp_path / "geo")

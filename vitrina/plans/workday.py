@@ -73,10 +73,14 @@ def _is_system_name(username: str, own_client: Column) -> Column:
 
 
 def excluded_users(
-    visits: DataFrame, users: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY
+    visits: DataFrame, users: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY, days: DataFrame | None = None
 ) -> DataFrame:
-    """Reps left out of the reports: more than ``busy_limit`` visits on any day, or a dotted name."""
-    per_day = visits.where(F.col("usuario_id").isNotNull()).groupBy(*REP, "fecha_planeada").count()
+    """Reps left out of the reports: more than ``busy_limit`` visits on any day, or a dotted name. With the
+    stored day table of the same visits (``refresh_rep_days``) as ``days`` the visits are not read."""
+    if days is not None:
+        per_day = days.groupBy(*REP, "dia").agg(F.sum("planeadas").alias("count"))
+    else:
+        per_day = visits.where(F.col("usuario_id").isNotNull()).groupBy(*REP, "fecha_planeada").count()
     busy = per_day.groupBy(*REP).agg(F.max("count").alias("n")).where(F.col("n") > busy_limit)
     named = unique_by_id(users).where(F.col("username").contains(".")).select(
         "cliente_id", F.col("id").alias("usuario_id")
@@ -93,10 +97,15 @@ def _without(visits: DataFrame, excluded: DataFrame) -> DataFrame:
 
 
 def clean_visits(
-    visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY
+    visits: DataFrame,
+    users: DataFrame,
+    teams: DataFrame,
+    busy_limit: int = BUSY_VISITS_PER_DAY,
+    days: DataFrame | None = None,
 ) -> DataFrame:
-    """Visit rows of counted reps with rep and team attributes and the minutes spent in store."""
-    counted = _without(visits, excluded_users(visits, users, busy_limit))
+    """Visit rows of counted reps with rep and team attributes and the minutes spent in store. ``days``, the
+    stored day table, saves the scan for busy reps."""
+    counted = _without(visits, excluded_users(visits, users, busy_limit, days))
     named = with_attributes(
         counted, users, "usuario_id", {"username": "username", "user_real_name": "user_real_name"}
     )
@@ -387,12 +396,17 @@ def daily_trend(
 
 
 def itinerary(
-    visits: DataFrame, users: DataFrame, teams: DataFrame, busy_limit: int = BUSY_VISITS_PER_DAY
+    visits: DataFrame,
+    users: DataFrame,
+    teams: DataFrame,
+    busy_limit: int = BUSY_VISITS_PER_DAY,
+    days: DataFrame | None = None,
 ) -> DataFrame:
-    """Per day and rep: entry, exit, planned, done, stores and off-route visits."""
+    """Per day and rep: entry, exit, planned, done, stores and off-route visits. ``days``, the stored day table,
+    saves the scan for busy reps."""
     # Store visits of a system account are unbounded, so those reps go first; what is left is at
     # most ``busy_limit`` rows per rep and day.
-    counted = _collapsed(_without(visits, excluded_users(visits, users, busy_limit)), "punto_venta_id")
+    counted = _collapsed(_without(visits, excluded_users(visits, users, busy_limit, days)), "punto_venta_id")
     in_team = with_attributes(counted, _team_names(teams), "cuadrilla_id", {"entidad": "entidad"})
     named = with_attributes(
         in_team, users, "usuario_id", {"username": "username", "user_real_name": "user_real_name"}
