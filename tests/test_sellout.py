@@ -1,3 +1,5 @@
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,3 +141,20 @@ def test_catalog_search(spark, rows):
     assert rows(catalog.search_counts(catalog.matching(teams, spec, q="nada"))) == [(0, 1, 50, 1)]
     assert catalog.matching(teams, spec, q="zona 5").count() == 1
     assert catalog.matching(teams, spec, q="EQUIPO", agencia="x").count() == 7
+
+
+def test_sellout_kpis_group_by_words_of_ids_not_by_pairs(spark):
+    ids = [None, -130, -1, 0, 63, 64, 2**62, 7]
+    rows = [(s, p, Decimal("1.5000"), Decimal("2.00"), 3, None if p == 7 else Decimal("4.01")) for s in ids for p in (*ids, 7)]
+    sales = spark.createDataFrame(
+        rows, "punto_venta_id BIGINT, producto_id BIGINT, venta DECIMAL(18,4), monto DECIMAL(18,2), piezas BIGINT, precio DECIMAL(18,2)"
+    )
+    kpis = sellout.sellout_kpis(sales)
+    assert tuple(kpis.first()) == (108.0, 144.0, 216, 7, 7, 4.01)
+    plan = kpis._jdf.queryExecution().optimizedPlan().toString()
+    assert "Expand" not in plan and "Aggregate [punto_venta_id" not in plan
+    many = spark.range(4_096).select(
+        (F.col("id") % 64).alias("punto_venta_id"), F.floor(F.col("id") / 64).alias("producto_id"),
+        *[F.lit(1).alias(c) for c in ("venta", "monto", "piezas", "precio")],
+    )
+    assert tuple(sellout.sellout_kpis(many).first()) == (4096.0, 4096.0, 4096, 64, 64, 1.0)

@@ -64,5 +64,10 @@ def mean(c: ColumnLike) -> Column:
     return ratio(F.sum(c), F.count(c))
 
 
+def id_bits(c: str) -> Column:
+    """Whole-number ids of one word (``id >> 6``) merged into 64 bits; NULL without any."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(c).bitwiseAND(63).cast("int")))
+
+
 def count_where(condition: Column) -> Column:
     return F.count_if(condition)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.clock import period_text, year_month
-from vitrina.functions.numbers import amount, half_even, ratio, total
+from vitrina.functions.numbers import amount, half_even, id_bits, ratio, total
 from vitrina.operators.ranking import ascending, descending, top
 
 
@@ -26,17 +26,22 @@ def _by(sales: DataFrame, *keys: str, extra=()) -> DataFrame:
 
 
 def sellout_kpis(sales: DataFrame) -> DataFrame:
-    """One row. Rows collapse on store and product first, map-side; the distinct counts are taken
-    from what is left."""
-    collapsed = sales.groupBy("punto_venta_id", "producto_id").agg(
-        *[F.sum(c).alias(c) for c in ("venta", "monto", "piezas", "precio")], F.count("precio").alias("precios")
+    """One row. Stores and products are counted from bitmaps with 64 ids to a word: each sale goes to the word of its
+    store, with its amounts, and to that of its product. Words merge map-side, so a task holds a row per 64 ids and
+    nothing is grouped by pairs of store and product. Ids are whole numbers; NULL ids count as none."""
+    of_product = F.col("_de_producto")
+    each = sales.withColumn("_de_producto", F.explode(F.array(F.lit(False), F.lit(True))))
+    each = each.withColumn("_id", F.when(of_product, F.col("producto_id").cast("bigint")).otherwise(F.col("punto_venta_id").cast("bigint")))
+    once = {c: F.when(~of_product, F.col(c)) for c in ("venta", "monto", "piezas", "precio")}
+    words = each.groupBy("_de_producto", F.shiftright("_id", 6).alias("palabra")).agg(
+        *[F.sum(x).alias(c) for c, x in once.items()], F.count(once["precio"]).alias("precios"), id_bits("_id").alias("bits")
     )
-    return collapsed.agg(
+    return words.agg(
         half_even(amount("venta"), 2).alias("total_venta"),
         half_even(amount("monto"), 2).alias("total_monto"),
         total("piezas").alias("total_piezas"),
-        F.countDistinct("punto_venta_id").alias("pdvs_activos"),
-        F.countDistinct("producto_id").alias("productos"),
+        total(F.when(~of_product, F.bit_count("bits"))).alias("pdvs_activos"),
+        total(F.when(of_product, F.bit_count("bits"))).alias("productos"),
         F.coalesce(half_even(ratio(F.sum("precio"), F.sum("precios")), 2), F.lit(0.0)).alias("precio_promedio"),
     )
 
