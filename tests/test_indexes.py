@@ -65,6 +65,27 @@ def test_only_blocks_with_candidates_are_read(spark, tmp_path):
     assert index.search([(["nombre"], "zzz")]).count() == 0
 
 
+def test_a_text_is_indexed_once_per_block(spark, tmp_path):
+    repeated = spark.range(2_000).select("id", F.when(F.col("id") % 4 > 0, F.concat(F.lit("Marca "), F.col("id") % 4)).alias("nombre"), F.lit("ab").alias("puesto"))
+    index = TrigramIndex.build(repeated, ["nombre", "puesto"], str(tmp_path / "i"), block=1_000)
+    # Two blocks of three texts with five trigrams each; a row for every id before.
+    assert spark.read.parquet(f"{index.path}/trigramas").count() == 2 * 3 * 5
+    assert index.search([(["nombre"], "marca 3")]).count() == 500
+    assert index.search([(["nombre"], "marca 3"), (["nombre", "puesto"], "AB")]).count() == 500
+    assert index.search([(["nombre"], "marca 3"), (["puesto", "nombre"], "Mar%a")]).count() == 500
+
+
+def test_blocks_that_hold_all_texts_of_a_search(spark, tmp_path):
+    rows = [(0, "norte", "x1y"), (1, "norte", None), (100, "norte", None), (200, "sur", "x1y"), (300, "norteña", "_x1y_"), (None, "norte", "x1y")]
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    index = TrigramIndex.build(df, ["a", "b"], str(tmp_path / "i"), block=100)
+    conditions = [(["a"], "NORTE"), (["b"], "x1y")]
+    assert [sorted(r.bloque for r in index.candidates(c).collect()) for c in conditions] == [[0, 1, 3], [0, 2, 3]]
+    found = index.search(conditions)
+    assert sorted(r.id for r in found.collect()) == [0, 300]
+    assert found.columns == ["id", "a", "b"]
+
+
 @pytest.mark.parametrize("newest", [True, False])
 def test_pages_by_number_equal_the_sorted_listing(spark, tmp_path, newest):
     df = spark.range(1_234).select((F.col("id") * 3 % 1_237).alias("id"), (F.col("id") % 5).alias("n"))

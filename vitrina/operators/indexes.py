@@ -34,22 +34,25 @@ def _bucket(gram: Column) -> Column:
 
 @dataclass(frozen=True)
 class TrigramIndex:
-    """Rows by block of ids, and for every (column, trigram) the ids of the rows that hold it."""
+    """Rows by block of ids, and for every (column, trigram) the texts of each block that hold it."""
 
     spark: SparkSession
     path: str
 
     @classmethod
     def build(cls, df: DataFrame, columns: list[str], path: str, identifier: str = "id", block: int = BLOCK_IDS) -> TrigramIndex:
-        """Write the rows of ``df`` and the trigrams of its text ``columns``. Ids are whole numbers; rows of
-        one id are found together and then told apart by the condition itself."""
+        """Write the rows of ``df``, once, and the trigrams of the texts in ``columns``: those of a text once per block,
+        however many rows of the block hold it. The texts are read back from the stored rows. Ids are whole numbers;
+        rows of one id are found together and then told apart by the condition itself."""
         rows = df.withColumn("bloque", F.floor(F.col(identifier) / block).cast("bigint"))
         rows.hint("rebalance", "bloque").write.mode("overwrite").partitionBy("bloque").parquet(f"{path}/filas")
+        stored = df.sparkSession.read.schema(rows.schema).parquet(f"{path}/filas").where(F.col("bloque").isNotNull())
         texts = F.explode(F.array(*[F.struct(F.lit(c).alias("columna"), F.col(c).cast("string").alias("texto")) for c in columns]))
-        each = rows.select(F.col(identifier).alias("id"), "bloque", texts.alias("t"))
-        grams = each.select("t.columna", F.explode(trigrams(F.col("t.texto"))).alias("trigrama"), "bloque", "id")
+        each = stored.select("bloque", texts.alias("t")).select("bloque", "t.*").where(F.length("texto") >= 3).distinct()
+        # A text is named by its hash: texts of one hash make a block a candidate too often, never too seldom.
+        grams = each.select("columna", F.explode(trigrams(F.col("texto"))).alias("trigrama"), "bloque", F.xxhash64("texto").alias("clave"))
         spread = grams.withColumn("cubeta", _bucket(F.col("trigrama"))).hint("rebalance", "cubeta", "trigrama")
-        spread.sortWithinPartitions("cubeta", "trigrama", "columna", "id").write.mode("overwrite").partitionBy("cubeta").parquet(f"{path}/trigramas")
+        spread.sortWithinPartitions("cubeta", "trigrama", "columna", "bloque").write.mode("overwrite").partitionBy("cubeta").parquet(f"{path}/trigramas")
         return cls(df.sparkSession, path)
 
     def rows(self) -> DataFrame:
@@ -64,7 +67,7 @@ class TrigramIndex:
         return list(found.first()[0])
 
     def candidates(self, condition: Condition) -> DataFrame | None:
-        """``(bloque, id)`` of the rows that can meet a condition; None where its text has no trigram."""
+        """``bloque`` of the blocks with a text that can meet a condition; None where its text has no trigram."""
         columns, text = condition
         wanted = self.needles(text)
         if not wanted:
@@ -72,22 +75,21 @@ class TrigramIndex:
         grams = self.spark.read.parquet(f"{self.path}/trigramas")
         buckets = [r[0] for r in self.spark.createDataFrame([(g,) for g in wanted], "g string").select(_bucket(F.col("g"))).distinct().collect()]
         picked = grams.where(F.col("cubeta").isin(buckets) & F.col("trigrama").isin(wanted) & F.col("columna").isin(columns))
-        held = picked.groupBy("bloque", "id", "columna").agg(F.countDistinct("trigrama").alias("n")).where(F.col("n") == len(wanted))
-        return held.select("bloque", "id").distinct()
+        held = picked.groupBy("bloque", "columna", "clave").agg(F.countDistinct("trigrama").alias("n")).where(F.col("n") == len(wanted))
+        return held.select("bloque").distinct()
 
-    def search(self, conditions: list[Condition], identifier: str = "id") -> DataFrame:
-        """Rows that contain each text in any of its columns, as a scan would find them: candidates from the
-        trigrams, then the condition itself. Only blocks with candidates are read. Texts without a part
+    def search(self, conditions: list[Condition]) -> DataFrame:
+        """Rows that contain each text in any of its columns, as a scan would find them: the trigrams name the blocks
+        that hold such texts, only those are read, and the condition itself picks their rows. Texts without a part
         of three characters narrow nothing; if no text does, the rows are scanned."""
         found = [c for c in map(self.candidates, conditions) if c is not None]
         rows = self.rows()
         if found:
-            ids = reduce(lambda a, b: a.join(b, ["bloque", "id"], "left_semi"), found)
-            blocks = [r[0] for r in ids.select("bloque").distinct().collect()]  # at most the folders of the rows
-            ids = ids.select(F.col("bloque").alias("_bloque"), F.col("id").alias("_id"))
+            held = reduce(lambda a, b: a.join(b, "bloque", "left_semi"), found)
+            blocks = [r[0] for r in held.collect()]  # at most the folders of the rows
             rows = rows.where(F.col("bloque").isin(blocks)) if blocks else rows.where(F.lit(False))
-            same = (F.col("bloque") == F.col("_bloque")) & (F.col(identifier) == F.col("_id"))
-            rows = rows.join(ids, same, "left_semi")
+            # The limit is the number of blocks: it takes none away and tells the planner that the side is small.
+            rows = rows.join(held.limit(len(blocks)), "bloque", "left_semi")
         return reduce(lambda df, c: df.where(containing_any(*c)), conditions, rows).drop("bloque")
 
 
