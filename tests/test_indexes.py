@@ -107,6 +107,28 @@ def test_a_deep_page_reads_one_range(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(tramo" in plan or "PartitionFilters: [tramo" in plan
 
 
+def test_many_ranges_share_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("vitrina.operators.indexes.FOLDER_ROWS", 2_000, raising=False)
+    df = spark.range(10_000).select((F.col("id") * 7 % 10_007).alias("id"))
+    listed = sorted((r.id for r in df.collect()), reverse=True)
+    index = PageIndex.build(df, ["id"], str(tmp_path / "p"), rows=20)
+    stored = spark.read.parquet(f"{index.path}/filas")
+    # A folder, a task and a sample for every range before.
+    assert stored.select("tramo").distinct().count() == 5
+    assert spark.read.parquet(f"{index.path}/conteos").count() >= 500
+    for number, size in ((1, 30), (8, 25), (70, 30), (3, 4_000), (100, 100), (101, 100), (2, 9_990)):
+        found = index.page(number, size)
+        assert [r.id for r in found.collect()] == listed[(number - 1) * size : number * size], (number, size)
+    assert found.columns == ["id"]
+
+
+def test_pages_of_equal_keys_lose_no_row(spark, tmp_path):
+    df = spark.range(300).select((F.col("id") % 3).alias("k"), F.col("id").alias("n")).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    index = PageIndex.build(df, ["k"], str(tmp_path / "p"), rows=20)
+    pages = [r for i in range(1, 8) for r in index.page(i, 50).collect()]
+    assert [r.k for r in pages] == [2] * 100 + [1] * 100 + [None] * 100
+
+
 def test_empty_catalogue(spark, tmp_path):
     none = spark.createDataFrame([], "id long, nombre string")
     assert TrigramIndex.build(none, ["nombre"], str(tmp_path / "i")) is not None

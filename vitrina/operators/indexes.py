@@ -13,6 +13,8 @@ from vitrina.operators.filters import containing_any
 
 #: Rows of a block (by id) and of a range (by order): what a lookup reads at least.
 BLOCK_IDS, RANGE_ROWS = 1_000_000, 100_000
+#: Rows of a folder of ranges at least.
+FOLDER_ROWS = 100_000
 #: Folders that the trigrams are dealt to.
 BUCKETS = 64
 
@@ -95,7 +97,9 @@ class TrigramIndex:
 
 @dataclass(frozen=True)
 class PageIndex:
-    """Rows in ranges of the listing's order, with the number of rows of each range."""
+    """Rows in ranges of the listing's order, with the number of rows of each range. Ranges lie together in folders
+    (``tramo``) of ``FOLDER_ROWS`` rows or of one range, whichever is more, and are numbered in them (``parte``): what
+    the driver hears of (samples, tasks, files) goes by folders."""
 
     spark: SparkSession
     path: str
@@ -106,13 +110,18 @@ class PageIndex:
     def build(
         cls, df: DataFrame, columns: list[str], path: str, newest_first: bool = True, rows: int = RANGE_ROWS
     ) -> PageIndex:
-        """Write ``df`` in ranges of about ``rows`` rows by ``columns``, which tell rows apart."""
+        """Write ``df`` in ranges of ``rows`` rows by ``columns``, which tell rows apart; the last range of a folder
+        may hold fewer. A file keeps its ranges in order, in pages of about a range, so that a reader skips the others."""
         index = cls(df.sparkSession, path, tuple(columns), newest_first)
-        ranges = max(1, -(-df.count() // rows))
-        placed = df.repartitionByRange(ranges, *index.order()).withColumn("tramo", F.spark_partition_id())
-        placed.write.mode("overwrite").partitionBy("tramo").parquet(f"{path}/filas")
-        stored = df.sparkSession.read.parquet(f"{path}/filas")
-        stored.groupBy("tramo").agg(F.count(F.lit(1)).alias("n")).coalesce(1).write.mode("overwrite").parquet(f"{path}/conteos")
+        folders = max(1, -(-df.count() // max(rows, FOLDER_ROWS)))
+        placed = df.repartitionByRange(folders, *index.order()).sortWithinPartitions(*index.order())
+        # The low 33 bits of the id are the place in the partition, which holds the rows of a folder in order.
+        place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+        placed = placed.withColumns({"parte": F.floor(place / rows).cast("int"), "tramo": F.spark_partition_id()})
+        ordered = placed.sortWithinPartitions("tramo", "parte", *index.order())
+        ordered.write.mode("overwrite").option("parquet.page.row.count.limit", rows).partitionBy("tramo").parquet(f"{path}/filas")
+        stored = df.sparkSession.read.schema(placed.schema).parquet(f"{path}/filas")
+        stored.groupBy("tramo", "parte").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/conteos")
         return index
 
     def order(self) -> list[Column]:
@@ -121,13 +130,28 @@ class PageIndex:
     def page(self, number: int = 1, size: int = 50) -> DataFrame:
         """A page by number: the counts tell the ranges it lies in, mostly one, and only those are read."""
         counts = self.spark.read.parquet(f"{self.path}/conteos")
-        before = F.coalesce(F.sum("n").over(Window.orderBy("tramo").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         first = (number - 1) * size
-        # One row per range of the table; the ranges of one page reach the driver.
-        hit = counts.withColumn("antes", before).where((F.col("antes") < first + size) & (F.col("antes") + F.col("n") > first))
-        ranges = sorted((r.tramo, r.antes) for r in hit.collect())
+
+        def touched(counts: DataFrame, unit: str, before: int) -> list[tuple[int, int]]:
+            """The units in order that the page lies in, with the rows before them."""
+            earlier = F.coalesce(F.sum("n").over(Window.orderBy(unit).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+            each = counts.groupBy(unit).agg(F.sum("n").alias("n")).withColumn("antes", earlier + before)
+            hit = each.where((F.col("antes") < first + size) & (F.col("antes") + F.col("n") > first))
+            return sorted((r[unit], r.antes) for r in hit.collect())
+
+        # One row per folder of the table, then one per range of a folder; those of one page reach the driver.
+        folders = touched(counts, "tramo", 0)
         rows = self.spark.read.parquet(f"{self.path}/filas")
-        if not ranges:
-            return rows.where(F.lit(False)).drop("tramo")
-        picked = rows.where(F.col("tramo").isin([t for t, _ in ranges])).drop("tramo")
-        return picked.orderBy(*self.order()).offset(first - ranges[0][1]).limit(size)
+        if not folders:
+            return rows.where(F.lit(False)).drop("tramo", "parte")
+        held = F.col("tramo").isin([t for t, _ in folders])
+        before = folders[0][1]
+        # Of the first and the last folder only some ranges are needed; those between are read whole.
+        for (folder, start), first_one in ((folders[0], True), (folders[-1], False)):
+            parts = touched(counts.where(F.col("tramo") == folder), "parte", start)
+            if first_one:
+                before = parts[0][1]
+                held &= (F.col("tramo") != folder) | (F.col("parte") >= parts[0][0])
+            else:
+                held &= (F.col("tramo") != folder) | (F.col("parte") <= parts[-1][0])
+        return rows.where(held).drop("tramo", "parte").orderBy(*self.order()).offset(first - before).limit(size)
