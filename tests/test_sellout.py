@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from vitrina.operators.filters import between_months
 from vitrina.plans import catalog, inventory, rollup, sellout
+from vitrina.workload import adapters
 
 
 @pytest.fixture(scope="module")
@@ -158,3 +159,28 @@ def test_sellout_kpis_group_by_words_of_ids_not_by_pairs(spark):
         *[F.lit(1).alias(c) for c in ("venta", "monto", "piezas", "precio")],
     )
     assert tuple(sellout.sellout_kpis(many).first()) == (4096.0, 4096.0, 4096, 64, 64, 1.0)
+
+
+def test_exact_stores_of_top_products_shuffle_the_rollup_once(spark, sales):
+    sold = sales.withColumn("producto_id", F.when(F.col("producto_id") != 103, F.col("producto_id")))
+    none = sales.withColumns({"punto_venta_id": F.lit(None).cast("bigint"), "producto_id": F.lit(104).cast("bigint")})
+    monthly = rollup.monthly_rollup(sold.union(none.select(sold.columns)))
+    products = spark.createDataFrame(
+        [(101, "A", "M"), (102, "A", "M"), (104, "B", None), (105, "C", "M")], "id BIGINT, nombre STRING, marca STRING"
+    )
+    top = rollup.top_products(monthly, products, exact=True)
+    assert [tuple(r) for r in top.collect()] == [
+        ("B", None, 5000.0, 50.0, 0, 0), ("A", "M", 4500.0, 45.0, 3, 2), ("Sin nombre", None, 500.0, 5.0, 1, 1)
+    ]
+    assert [tuple(r) for r in rollup.top_products(monthly, products, 1, exact=True).collect()] == [("B", None, 5000.0, 50.0, 0, 0)]
+    # Words are merged for the listed products only, after their names are known, not per product and again per name.
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    explodes = [i for i, n in enumerate(plan.split("\n")) if "Generate explode" in n]
+    limits = [i for i, n in enumerate(plan.split("\n")) if "GlobalLimit" in n]
+    assert len(explodes) == 1 and explodes[0] < limits[-1]
+
+
+def test_sales_shuffle_lines_once(spark, sf_dir):
+    plan = adapters.sales(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = {t: next(n.index("Relation") for n in plan if "Relation" in n and c in n) for t, c in (("lineitem", "l_orderkey"), ("orders", "o_orderkey"))}
+    assert depth["lineitem"] < depth["orders"]

@@ -30,7 +30,8 @@ def monthly_rollup(sales: DataFrame) -> DataFrame:
         F.sum("monto").alias("monto"), F.sum("piezas").alias("piezas"), F.bit_or(bit).alias("bits")
     )
     filled = F.when(F.col("palabra").isNotNull(), F.struct("palabra", "bits"))
-    return words.groupBy(*GRAIN).agg(
+    # Words of one grain lie in many tasks: they are shuffled as rows, which are smaller than lists of one word.
+    return words.repartition(*GRAIN).groupBy(*GRAIN).agg(
         F.sum("monto").alias("monto"),
         F.sum("piezas").alias("piezas"),
         F.sum(F.coalesce(F.bit_count("bits"), F.lit(0))).alias("pdvs"),
@@ -154,15 +155,17 @@ def top_products(
         _per_id(rollup, "producto_id"), products, "producto_id", {"nombre": "nombre", "marca": "marca"}
     )
     sums = named.groupBy("nombre", "marca").agg(*_ranked_sums(), total("pdvs").alias("pdv"))
-    added = []
+    labelled = sums.withColumn("producto", or_default("nombre", "Sin nombre"))
+    best, added = top(labelled, "monto_total", ["producto", "marca"], n), []
     if exact:
-        keys = ["nombre", "marca"]
-        stores = _named_stores(rollup, products, "producto_id", {k: k for k in keys})
-        sums, added = _with_stores(sums, _counted(stores, keys), keys), ["pdv_distinct"]
-    labelled = sums.select(
-        or_default("nombre", "Sin nombre").alias("producto"), "marca", "monto_total", "piezas_total", "pdv", *added
-    )
-    return top(labelled, "monto_total", ["producto", "marca"], n)
+        # Stores are not ranked by: those of the listed products are enough. A product without any keeps its row.
+        each = with_attributes(rollup.select("producto_id", "tiendas"), products, "producto_id", {"_nombre": "nombre", "_marca": "marca"})
+        listed = [F.col("_nombre").eqNullSafe(F.col("nombre")), F.col("_marca").eqNullSafe(F.col("marca"))]
+        stores = each.join(best, listed).select(*best.columns, F.explode_outer("tiendas").alias("tienda"))
+        words = stores.groupBy(*best.columns, F.col("tienda.palabra").alias("palabra")).agg(F.bit_or("tienda.bits").alias("bits"))
+        counted = words.groupBy(*best.columns).agg(total(F.bit_count("bits")).alias("pdv_distinct"))
+        best, added = top(counted, "monto_total", ["producto", "marca"], n), ["pdv_distinct"]
+    return best.select("producto", "marca", "monto_total", "piezas_total", "pdv", *added)
 
 
 def top_chains(
